@@ -70,20 +70,27 @@ def _bracket_bounds(df: DataFrame, keys: list[str], value: str, probs: list[floa
     return (df.groupBy(*keys) if keys else df.groupBy()).agg(sketch.alias("_bounds"))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+def few(df: DataFrame, known_small: bool) -> DataFrame:
+    """Broadcast a side only when its caller knows the row bound from metadata."""
+    return F.broadcast(df) if known_small else df
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], few_groups: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (keys, prob, quantile).
 
     A bounded sketch brackets each wanted rank. Rows are counted per bracket in
     the map-side combine, and only the rows inside a bracket that holds a wanted
     rank (about ``2 * BRACKET`` of the group) are shuffled and sorted. The sketch
-    decides how much is sorted, never the result.
+    decides how much is sorted, never the result. ``few_groups`` says that the
+    number of groups is bounded by metadata (one group per column, say), so the
+    per-group bounds may be broadcast.
     """
     probs = [float(p) for p in probs]
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     bounds = _bracket_bounds(rows, keys, "_v", probs)
-    with_bounds = rows.join(bounds, keys) if keys else rows.withColumn("_bounds", bounds.scalar())
+    with_bounds = rows.join(few(bounds, few_groups), keys) if keys else rows.withColumn("_bounds", bounds.scalar())
     cut = with_bounds.select(*keys, "_v", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))).alias("_b"))
     across = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     per = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -99,7 +106,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) ->
                  .where((F.col("_rank") >= F.col("_before"))
                         & (F.col("_rank") < F.col("_before") + F.col("_n"))))
     if keys:
-        inside = cut.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+        inside = cut.join(few(wanted.select(*keys, "_b").distinct(), few_groups), [*keys, "_b"], "left_semi")
     else:
         inside = cut.where(F.array_contains(wanted.agg(F.collect_set("_b")).scalar(), F.col("_b")))
     inner = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
@@ -114,9 +121,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) ->
     return hit.groupBy(*keys, "prob").agg((low + (high - low) * frac).alias("quantile"))
 
 
-def quantiles_wide(df: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
+def quantiles_wide(df: DataFrame, keys: list[str], value: str, named: dict[str, float],
+                   few_groups: bool = False) -> DataFrame:
     """As :func:`quantiles`, one row per group with one column per name."""
-    long = quantiles(df, keys, value, sorted(set(named.values())))
+    long = quantiles(df, keys, value, sorted(set(named.values())), few_groups)
     return long.groupBy(*keys).agg(*[
         F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n)
         for n, p in named.items()])
