@@ -40,45 +40,40 @@ def missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
-def _distinct(df, name, exact: bool) -> Column:
-    present = F.when(~missing(df, name), F.col(name))
-    return F.count_distinct(present) if exact else F.approx_count_distinct(present, 0.02)
-
-
 def profile_columns(df: DataFrame, exact_distinct: bool = True, samples: bool = False) -> DataFrame:
     """One row per column: type, nulls, distinct values and numeric or length statistics.
 
     ``exact_distinct=False`` uses a bounded sketch, the choice for wide tables at
-    scale; ``samples`` adds frequent values from a bounded top-k sketch.
+    scale; ``samples`` adds frequent values from a bounded top-k sketch. Everything
+    comes from one aggregate over the full table.
     """
-    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    aggs, rows = ["count(1) AS n"], []
     for i, f in enumerate(df.schema.fields):
-        kind, gone = family(f.dataType), missing(df, f.name)
-        present = F.when(~gone, F.col(f.name))
-        aggs += [F.count_if(gone).alias(f"nul{i}"), _distinct(df, f.name, exact_distinct).alias(f"u{i}")]
-        if kind == "numeric":
-            num = present.cast("double")
-            aggs += [F.min(num).alias(f"a{i}"), F.max(num).alias(f"b{i}"), F.avg(num).alias(f"c{i}"), F.stddev_samp(num).alias(f"d{i}")]
-        elif kind == "string":
-            length = F.length(present).cast("double")
-            aggs += [F.min(length).alias(f"a{i}"), F.max(length).alias(f"b{i}"), F.avg(length).alias(f"c{i}")]
-        if samples and kind in ("numeric", "string", "datetime", "boolean"):
-            aggs.append(F.transform(F.expr(f"approx_top_k(`{f.name}`, 5)"), lambda s: s["item"].cast("string")).alias(f"s{i}"))
-        null = F.lit(None).cast("double")
-        num_or = lambda name, want, k=kind: F.col(name) if k == want else null
-        fields = [
-            F.lit(i).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.lit(kind).alias("family"), F.col("n").alias("row_count"), (F.col(f"nul{i}") > 0).alias("nullable"),
-            F.col(f"nul{i}").alias("null_count"), F.round(F.coalesce(100.0 * ratio(f"nul{i}", "n"), F.lit(0.0)), 2).alias("null_pct"),
-            F.col(f"u{i}").alias("n_unique"),
-            num_or(f"a{i}", "numeric").alias("min_value"), num_or(f"b{i}", "numeric").alias("max_value"),
-            num_or(f"c{i}", "numeric").alias("mean_value"), num_or(f"d{i}", "numeric").alias("std_value"),
-            num_or(f"a{i}", "string").alias("min_len"), num_or(f"b{i}", "string").alias("max_len"),
-            F.round(num_or(f"c{i}", "string"), 1).alias("avg_len")]
+        kind, col = family(f.dataType), f"`{f.name}`"
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            col = f"nullif({col}, double('NaN'))"
+        aggs.append(f"count({col}) AS p{i}")
+        aggs.append(f"count(DISTINCT {col}) AS u{i}" if exact_distinct else f"approx_count_distinct({col}, 0.02) AS u{i}")
+        measure = {"numeric": f"double({col})", "string": f"double(length({col}))"}.get(kind)
+        if measure:
+            aggs += [f"min({measure}) AS a{i}", f"max({measure}) AS b{i}", f"avg({measure}) AS c{i}", f"stddev_samp({measure}) AS d{i}"]
+        if samples and kind != "other":
+            aggs.append(f"transform(approx_top_k(`{f.name}`, 5), s -> string(s.item)) AS s{i}")
+
+        def pick(letter, want):
+            return f"{letter}{i}" if kind == want else "double(NULL)"
+
+        fields = {
+            "position": str(i), "column_name": f"'{f.name}'", "data_type": f"'{f.dataType.simpleString()}'", "family": f"'{kind}'",
+            "row_count": "n", "nullable": f"n > p{i}", "null_count": f"n - p{i}",
+            "null_pct": f"round(coalesce(try_divide(100.0D * (n - p{i}), n), 0D), 2)", "n_unique": f"u{i}",
+            "min_value": pick("a", "numeric"), "max_value": pick("b", "numeric"), "mean_value": pick("c", "numeric"),
+            "std_value": pick("d", "numeric"), "min_len": pick("a", "string"), "max_len": pick("b", "string"),
+            "avg_len": f"round({pick('c', 'string')}, 1)"}
         if samples:
-            fields.append((F.col(f"s{i}") if kind != "other" else F.lit(None).cast("array<string>")).alias("sample_values"))
-        rows.append(F.struct(*fields))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+            fields["sample_values"] = f"s{i}" if kind != "other" else "CAST(NULL AS array<string>)"
+        rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
+    return df.agg(*[F.expr(x) for x in aggs]).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def profile_source(tables: dict[str, DataFrame], exact_distinct: bool = True) -> DataFrame:
