@@ -67,8 +67,9 @@ def cumulative(df: DataFrame, keys, order, value) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, keys, value) -> DataFrame:
-    total = F.sum(value).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-    return df.withColumn("share", ratio(value, total))
+    if not keys:
+        return df.withColumn("share", ratio(value, df.agg(F.sum(value)).scalar()))
+    return df.withColumn("share", ratio(value, F.sum(value).over(W.partitionBy(*keys))))
 
 
 def quintile_edges(df: DataFrame, value: str, q: int = 5) -> DataFrame:

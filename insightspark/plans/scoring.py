@@ -1 +1,156 @@
-"""Queries of this family."""
+"""Confidence and findings queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from insightspark.operators import scoring as S
+from insightspark.plans.paradox import _OC, oc
+from insightspark.plans.registry import query
+
+N = lambda: F.count(F.lit(1))
+
+
+def confidence_inputs(t):
+    """One run per (market segment, priority), measured on the orders themselves."""
+    df = oc(t).withColumn("gone", (F.col("o_orderkey") % 29 == 0) & (F.col("o_orderpriority") != "1-URGENT"))
+    g = df.groupBy("c_mktsegment", "o_orderpriority").agg(
+        N().alias("row_count"), F.avg(F.when(F.col("gone"), 1.0).otherwise(0.0)).alias("null_rate"), F.count_distinct("o_custkey").alias("cust"),
+        F.sum("o_totalprice").alias("total"), F.sum(F.when(~F.col("gone"), F.col("o_totalprice"))).alias("known"),
+        F.count_distinct(F.trunc("o_orderdate", "month")).alias("months"), F.count_if(F.col("o_totalprice") > 490000).alias("high"))
+    p = F.substring("o_orderpriority", 1, 1)
+    return g.select(
+        "c_mktsegment", "o_orderpriority", "row_count", "null_rate",
+        F.when(F.col("cust") * 3 > F.col("row_count") * 2, "WARNING").otherwise("PASS").alias("structural_severity"),
+        F.when(p == "5", None).otherwise("PASS").alias("agg_severity"), (1 - F.col("known") / F.col("total")).alias("agg_diff"),
+        F.when(p == "5", None).otherwise(80 - F.col("months")).alias("missing_dates"), F.when(p == "5", None).otherwise(0).alias("break_count"), F.lit(False).alias("trend_blocker"),
+        F.when(F.col("high") / F.col("row_count") > 0.05, "BLOCKER").when(F.col("high") > 0, "WARNING").otherwise("PASS").alias("business_severity"),
+        F.when(p == "2", 1).otherwise(0).alias("paradox_count"), F.lit(False).alias("paradox_core"), F.when(p == "3", 6).otherwise(10).alias("cv_score"),
+        F.when(p == "4", "WARN").otherwise("PASS").alias("repro_status"))
+
+
+_INPUTS = f"""WITH {_OC}, b AS (SELECT *, o_orderkey % 29 = 0 AND o_orderpriority <> '1-URGENT' AS gone, substr(o_orderpriority, 1, 1) AS p FROM oc),
+g AS (SELECT c_mktsegment, o_orderpriority, p, count(*) AS row_count, avg(CASE WHEN gone THEN 1.0 ELSE 0.0 END) AS null_rate, count(DISTINCT o_custkey) AS cust, sum(o_totalprice) AS total,
+ sum(CASE WHEN NOT gone THEN o_totalprice END) AS known, count(DISTINCT date_trunc('month', o_orderdate)) AS months, count(CASE WHEN o_totalprice > 490000 THEN 1 END) AS high FROM b GROUP BY 1, 2, 3),
+i AS (SELECT *, 1 - known/total AS diff, 80 - months AS miss FROM g),
+f AS (SELECT c_mktsegment, o_orderpriority, p, CASE WHEN null_rate < 0.01 THEN 15 WHEN null_rate < 0.05 THEN 12 WHEN null_rate < 0.1 THEN 9 WHEN null_rate < 0.2 THEN 5 ELSE 2 END AS data_completeness,
+ CASE WHEN cust*3 > row_count*2 THEN 10 ELSE 15 END AS structural_integrity, CASE WHEN p = '5' THEN NULL WHEN diff > 0.05 THEN 3 WHEN diff > 0.01 THEN 8 ELSE 15 END AS aggregation_consistency,
+ CASE WHEN p = '5' THEN NULL WHEN miss > 5 THEN 5 WHEN miss > 0 THEN 10 ELSE 15 END AS temporal_consistency, CASE WHEN high/row_count > 0.05 THEN 5 WHEN high > 0 THEN 10 ELSE 15 END AS business_plausibility,
+ CASE WHEN p = '2' THEN 8 ELSE 15 END AS simpsons_paradox_risk, CASE WHEN row_count > 10000 THEN 10 WHEN row_count > 1000 THEN 8 WHEN row_count > 100 THEN 5 WHEN row_count > 30 THEN 3 ELSE 1 END AS sample_size,
+ CASE WHEN p = '3' THEN 6 ELSE 10 END AS cross_verification, CASE WHEN p = '4' THEN 3 ELSE 5 END AS reproducibility FROM i),
+s AS (SELECT *, data_completeness + structural_integrity + coalesce(aggregation_consistency, 0) + coalesce(temporal_consistency, 0) + business_plausibility + simpsons_paradox_risk + sample_size + cross_verification + reproducibility AS got,
+ CASE WHEN p = '5' THEN 85 ELSE 115 END AS possible,
+ CAST(data_completeness = 2 AS INT) + CAST(coalesce(aggregation_consistency, 15) = 3 AS INT) + CAST(business_plausibility = 5 AS INT) + CAST(sample_size = 1 AS INT) AS nb FROM f),
+r AS (SELECT c_mktsegment, o_orderpriority, CAST(round_even(100.0*got/possible, 0) AS INT) AS score, p = '5' AS partial, CASE WHEN p = '5' THEN 7 ELSE 9 END AS n_factors, nb AS n_blockers FROM s),
+q AS (SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS g0 FROM r),
+z AS (SELECT c_mktsegment, o_orderpriority, score, CASE WHEN partial AND g0 IN ('A', 'B') THEN 'C' ELSE g0 END AS grade, CAST(n_blockers AS BIGINT) AS n_blockers, CAST(n_factors AS BIGINT) AS n_factors, partial FROM q)"""
+
+
+@query("v1_confidence_score", _INPUTS + " SELECT * FROM z")
+def v1(t):
+    return S.confidence_score(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"])
+
+
+_FACTORS = ["data_completeness", "structural_integrity", "aggregation_consistency", "temporal_consistency", "business_plausibility", "simpsons_paradox_risk",
+            "sample_size", "cross_verification", "reproducibility"]
+
+
+@query("v1_confidence_factors", _INPUTS + " " + " UNION ALL ".join(
+    f"SELECT c_mktsegment, o_orderpriority, '{n}' AS factor, CAST(coalesce({n}, 0) AS INT) AS score, {S.FACTOR_MAX[n]} AS max_score FROM f" for n in _FACTORS))
+def v1b(t):
+    return S.confidence_factors(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"]).drop("status")
+
+
+@query("v2_merge_scores", _INPUTS + """, m AS (SELECT c_mktsegment, CAST(round_even(avg(score), 0) AS INT) AS score, count(*) AS n_runs, CAST(sum(n_blockers) AS BIGINT) AS n_blockers, bool_or(grade IN ('D','F')) AS low FROM z GROUP BY 1)
+SELECT c_mktsegment, score, n_runs, n_blockers, CASE WHEN low AND score >= 70 THEN 'C' WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM m""")
+def v2(t):
+    return S.merge_scores(S.confidence_score(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"]), ["c_mktsegment"])
+
+
+@query("v2_merge_factors", _INPUTS + " SELECT factor, CAST(min(score) AS INT) AS score, CAST(max(max_score) AS INT) AS max_score FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS factor, coalesce({n}, 0) AS score, {S.FACTOR_MAX[n]} AS max_score FROM f" for n in _FACTORS) + ") GROUP BY 1")
+def v2b(t):
+    return S.merge_factors(S.confidence_factors(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"])).drop("status")
+
+
+_DIMS = ["o_orderpriority", "c_mktsegment", "c_nationkey"]
+_METRICS = {"aov": "o_totalprice", "status_f": "is_f"}
+
+
+def findings(t):
+    df = oc(t).where("o_orderdate >= '1996-06-01' AND o_orderdate < '1999-06-01'").withColumn("is_f", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
+    return S.insight_scan(df, _DIMS, _METRICS, "period")
+
+
+_FINDINGS = f"""WITH {_OC}, b AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_f FROM oc WHERE o_orderdate >= DATE '1996-06-01' AND o_orderdate < DATE '1999-06-01'),
+l AS ({" UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS segment, period, o_totalprice, is_f FROM b" for d in _DIMS)}),
+g AS (SELECT dimension, segment, count(CASE WHEN period='curr' THEN 1 END) AS n_curr, avg(CASE WHEN period='curr' THEN o_totalprice END) AS c1, avg(CASE WHEN period='prev' THEN o_totalprice END) AS p1,
+ avg(CASE WHEN period='curr' THEN is_f END) AS c2, avg(CASE WHEN period='prev' THEN is_f END) AS p2 FROM l GROUP BY 1, 2),
+r AS (SELECT dimension, segment, n_curr, 'aov' AS metric_name, c1 AS metric_value, p1 AS baseline_value FROM g UNION ALL SELECT dimension, segment, n_curr, 'status_f', c2, p2 FROM g),
+x AS (SELECT concat_ws('|', dimension, segment, metric_name) AS finding_id, *, n_curr / (SELECT count(*) FROM b WHERE period='curr') AS affected_pct, (metric_value - baseline_value)/nullif(abs(baseline_value), 0) AS ch FROM r WHERE metric_value IS NOT NULL AND baseline_value IS NOT NULL),
+y AS (SELECT *, abs(ch) > 0.2 AS actionable, least(1.0, n_curr/1000) AS confidence, CASE WHEN ch > 0 THEN 'up' WHEN ch < 0 THEN 'down' ELSE '' END AS direction FROM x),
+s AS (SELECT *, CASE WHEN baseline_value = 0 THEN CASE WHEN metric_value <> 0 THEN 15 ELSE 5 END WHEN abs(ch) > 0.5 THEN 25 WHEN abs(ch) > 0.2 THEN 20 WHEN abs(ch) > 0.1 THEN 15 WHEN abs(ch) > 0.05 THEN 10 ELSE 5 END AS magnitude,
+ CASE WHEN affected_pct > 0.5 THEN 25 WHEN affected_pct > 0.3 THEN 20 WHEN affected_pct > 0.1 THEN 15 WHEN affected_pct > 0.05 THEN 10 ELSE 5 END AS breadth,
+ CASE WHEN actionable THEN 25 WHEN coalesce(abs(ch) > 0.5, false) THEN 10 ELSE 5 END AS actionability, CAST(round_even(25 * confidence, 0) AS INT) AS confidence_points FROM y),
+t AS (SELECT *, magnitude + breadth + actionability + confidence_points AS score FROM s)"""
+
+
+@query("v3_score_findings", _FINDINGS + " SELECT finding_id, magnitude, breadth, actionability, confidence_points, score, row_number() OVER (ORDER BY score DESC, finding_id) AS rank FROM t")
+def v3(t):
+    ranked = S.rank_findings(S.score_findings(findings(t)), "finding_id")
+    return ranked.select("finding_id", "magnitude", "breadth", "actionability", "confidence_points", "score", "rank")
+
+
+@query("v4_theme_group", _FINDINGS + " SELECT 'Segment' AS theme, count(*) AS n_findings, count(CASE WHEN actionable THEN 1 END) AS n_actionable, max(score) AS max_score FROM t HAVING count(*) > 0")
+def v4(t):
+    scored = S.score_findings(findings(t)).withColumn("finding_no", F.xxhash64("finding_id"))
+    return S.theme_groups(scored, "finding_no").drop("top_id")
+
+
+@query("v5_contradictions", _FINDINGS + """, f AS (SELECT *, metric_name AS m FROM t WHERE direction <> ''),
+p AS (SELECT u.m AS mu, d.m AS md, u.confidence AS cu, d.confidence AS cd, d.affected_pct AS ad FROM f u JOIN f d ON u.direction = 'up' AND d.direction = 'down'),
+k AS (SELECT CASE WHEN mu = md THEN 'opposite_direction' WHEN ad > 0.2 THEN 'segment_decline' WHEN cu >= 0.8 AND cd >= 0.8 THEN 'confident_opposites' END AS kind, CASE WHEN mu = md THEN mu END AS metric_name FROM p)
+SELECT kind, metric_name, count(*) AS n_pairs FROM k WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def v5(t):
+    return S.contradictions(findings(t).withColumn("k", F.xxhash64("finding_id")), "k").select("kind", "metric_name", "n_pairs")
+
+
+@query("v6_action_items", _FINDINGS + """ SELECT finding_id, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS priority,
+ CASE WHEN direction = 'down' THEN 'Investigate and address' WHEN direction = 'up' THEN 'Capitalize on momentum' ELSE 'Act on finding' END AS action, metric_name AS metric FROM t WHERE actionable""")
+def v6(t):
+    return S.action_items(S.score_findings(findings(t))).select("finding_id", "priority", "action", "metric")
+
+
+@query("v7_meta_patterns", _FINDINGS + """, d AS (SELECT count(CASE WHEN direction='up' THEN 1 END) AS u, count(CASE WHEN direction='down' THEN 1 END) AS w, count(*) AS n FROM t WHERE direction <> ''),
+h AS (SELECT count(*) AS n FROM t WHERE score >= 60)
+SELECT 'direction' AS pattern, CASE WHEN u = n AND n >= 2 THEN 'all up' WHEN w = n AND n >= 2 THEN 'all down' ELSE 'mixed' END AS subject, n FROM d WHERE (u = n AND n >= 2) OR (w = n AND n >= 2) OR (u >= 2 AND w >= 2)
+UNION ALL SELECT 'theme_cluster', 'Segment', n FROM h WHERE n >= 2
+UNION ALL SELECT 'dimension_word', 'mobile', count(*) FROM t WHERE lower(segment) LIKE '%mobile%' HAVING count(*) >= 2""")
+def v7(t):
+    return S.meta_patterns(S.score_findings(findings(t)))
+
+
+@query("v8_insight_scan", _FINDINGS + " SELECT finding_id, n_curr < 100 AS small_sample, round(metric_value, 4) AS metric_value, round(baseline_value, 4) AS baseline_value, round(affected_pct, 4) AS affected_pct, actionable, round(confidence, 4) AS confidence, direction FROM t", digits=4)
+def v8(t):
+    return findings(t).select("finding_id", "small_sample", "metric_value", "baseline_value", "affected_pct", "actionable", "confidence", "direction")
+
+
+@query("v9_scorecard_status", """
+WITH g AS (SELECT l_suppkey, avg(l_quantity) AS v FROM lineitem GROUP BY 1), x AS (SELECT l_suppkey, v, (26.5 - v)/26.5 AS shortfall FROM g)
+SELECT l_suppkey, round(v, 6) AS v, round(shortfall, 6) AS shortfall, CASE WHEN shortfall <= 0.05 THEN 'green' WHEN shortfall <= 0.15 THEN 'yellow' ELSE 'red' END AS status FROM x""")
+def v9(t):
+    g = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("v")).withColumn("benchmark", F.lit(26.5))
+    return S.scorecard_status(g, "v", "benchmark").drop("benchmark")
+
+
+@query("v10_rank_and_outlier", """
+WITH m AS (SELECT o_orderpriority AS kpi, CAST(date_trunc('month', o_orderdate) AS DATE) AS it, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY 1, 2),
+q AS (SELECT kpi, quantile_cont(v, 0.25) AS q1, median(v) AS med, quantile_cont(v, 0.75) AS q3 FROM m GROUP BY 1),
+s AS (SELECT m.*, med, rank() OVER (PARTITION BY kpi ORDER BY v DESC) AS rank, abs(v - med) > 1.5*(q3-q1) AS outlier, sign(v - lag(v) OVER (PARTITION BY kpi ORDER BY it)) AS st FROM m JOIN q USING (kpi)),
+r AS (SELECT *, sum(CASE WHEN st IS NOT DISTINCT FROM ps THEN 0 ELSE 1 END) OVER (PARTITION BY kpi ORDER BY it) AS rid FROM (SELECT *, lag(st) OVER (PARTITION BY kpi ORDER BY it) AS ps FROM s))
+SELECT kpi, CAST(it AS VARCHAR) AS it, v, rank, outlier, CASE WHEN st IS NULL OR st = 0 THEN 0 ELSE row_number() OVER (PARTITION BY kpi, rid ORDER BY it) END AS run_length,
+ CASE WHEN st IS NULL OR st = 0 THEN 0 ELSE row_number() OVER (PARTITION BY kpi, rid ORDER BY it) END >= 3 AS trend_flag FROM r""")
+def v10(t):
+    m = t.orders.groupBy(F.col("o_orderpriority").alias("kpi"), F.trunc("o_orderdate", "month").alias("it")).agg(N().cast("double").alias("v"))
+    out = S.rank_and_outlier(m, "kpi", "it", "v")
+    return out.withColumn("rank", F.col("rank").cast("long")).withColumn("run_length", F.col("run_length").cast("long"))
