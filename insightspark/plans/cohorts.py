@@ -61,13 +61,13 @@ def y6(t):
     return C.cohort_trend(C.retention_matrix(t.orders, "o_custkey", "o_orderdate"), [1, 3, 6])
 
 
-@query("y7_cohort_ltv", f"""WITH {_OC} SELECT CAST(cohort AS VARCHAR) AS cohort, CAST(off AS INT) AS "offset", size AS cohort_size, round(sum(v) OVER (PARTITION BY cohort ORDER BY off)/size, 2) AS ltv FROM m WHERE reached""", digits=2)
+@query("y7_cohort_ltv", f"""WITH {_OC} SELECT CAST(cohort AS VARCHAR) AS cohort, CAST(off AS INT) AS "offset", size AS cohort_size, round(sum(v) OVER (PARTITION BY cohort ORDER BY off)/size, 6) AS ltv FROM m WHERE reached""")
 def y7(t):
     return C.cohort_ltv(t.orders, "o_custkey", "o_orderdate", "o_totalprice")
 
 
 @query("y7_ltv_maturity", f"""WITH {_OC}, l AS (SELECT cohort, off, sum(v) OVER (PARTITION BY cohort ORDER BY off)/size AS ltv FROM m WHERE reached), f AS (SELECT *, max(ltv) OVER (PARTITION BY cohort) AS final FROM l)
-SELECT CAST(cohort AS VARCHAR) AS cohort, round(max(final), 2) AS final_ltv, CAST(min(CASE WHEN ltv >= 0.8*final THEN off END) AS INT) AS maturity_offset FROM f GROUP BY 1""", digits=2)
+SELECT CAST(cohort AS VARCHAR) AS cohort, round(max(final), 6) AS final_ltv, CAST(min(CASE WHEN ltv >= 0.8*final THEN off END) AS INT) AS maturity_offset FROM f GROUP BY 1""")
 def y7b(t):
     return C.ltv_maturity(C.cohort_ltv(t.orders, "o_custkey", "o_orderdate", "o_totalprice"))
 
