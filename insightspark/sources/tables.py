@@ -18,6 +18,12 @@ def _hadoop_path(spark: SparkSession, path: str):
     return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """True when the path is one file rather than a folder."""
+    jpath, fs = _hadoop_path(spark, path)
+    return fs.exists(jpath) and fs.getFileStatus(jpath).isFile()
+
+
 def _suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return f".{name.rsplit('.', 1)[-1].lower()}" if "." in name else ""
