@@ -30,6 +30,8 @@ def smooth(y, alpha: float, beta: float | None = None, period: int | None = None
         head = y[:period].mean()
         state = [head, (y[period:2 * period].mean() - head) / period]
         season = [v - head for v in y[:period]]
+        if not lagging:
+            season.append(season[0])
     else:
         state = [y[0], y[1] - y[0] if beta is not None and len(y) > 1 else 0.0]
         season = None
@@ -86,7 +88,7 @@ def exponential_smoothing(df: DataFrame, keys: list[str], order: str, value: str
         y = pd.to_numeric(pdf["_v"]).ffill()
         pdf, y = pdf[y.notna()], y[y.notna()].to_numpy(dtype=float)
         if len(y) == 0 or (period and len(y) < 2 * period):
-            return pd.DataFrame({f.name: [] for f in schema})
+            return pdf[[*keys, order]].iloc[:0].assign(value=np.zeros(0), fitted=np.zeros(0), residual=np.zeros(0), alpha=np.zeros(0))
         a = best_alpha(y, beta, period, mode) if alpha is None else alpha
         fitted = smooth(y, a, beta, period, mode)[0]
         out = pdf[[*keys, order]].copy()

@@ -95,6 +95,8 @@ def st7(t):
 @query("st8_late_data")
 def st8(t):
     path = work_path(t.spark, "st8-in")
+    # rows are judged late by the watermark of the batch before, so two batches come first
+    write_table(t.events.where("ts >= '2024-01-10' AND ts < '2024-01-20'"), path, mode="append")
     write_table(t.events.where("ts >= '2024-01-20'"), path, mode="append")
     write_table(t.events.where("ts < '2024-01-10'"), path, mode="append")
     e = S.read_stream(t.spark, path, t.events.schema, maxFilesPerTrigger=1)
