@@ -40,8 +40,8 @@ def proportion_z(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
     """
     pa, pb = F.col("mean_a"), F.col("mean_b")
     pool = ratio(F.col("sum_a") + F.col("sum_b"), F.col("n_a") + F.col("n_b"))
-    se0 = F.sqrt(pool * (1 - pool) * (1 / F.col("n_a") + 1 / F.col("n_b")))
-    se1 = F.sqrt(pa * (1 - pa) / F.col("n_a") + pb * (1 - pb) / F.col("n_b"))
+    se0 = F.sqrt(pool * (1 - pool) * (ratio(F.lit(1), "n_a") + ratio(F.lit(1), "n_b")))
+    se1 = F.sqrt(ratio(pa * (1 - pa), "n_a") + ratio(pb * (1 - pb), "n_b"))
     z = F.lit(norm_ppf(1 - alpha / 2))
     out = stats.withColumn("diff", pb - pa).withColumn("z", ratio(pb - pa, se0))
     out = out.withColumn("ci_low", F.col("diff") - z * se1).withColumn("ci_high", F.col("diff") + z * se1)
@@ -51,9 +51,9 @@ def proportion_z(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def welch_t(stats: DataFrame, alpha: float = 0.05, with_p: bool = True) -> DataFrame:
     """Welch test: t is a - b, the difference b - a, Cohen's d uses the pooled deviation."""
-    va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
+    va, vb = ratio("var_a", "n_a"), ratio("var_b", "n_b")
     se = F.sqrt(va + vb)
-    df = ratio((va + vb) * (va + vb), va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))
+    df = ratio((va + vb) * (va + vb), ratio(va * va, F.col("n_a") - 1) + ratio(vb * vb, F.col("n_b") - 1))
     pooled = F.sqrt(ratio((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b"), F.col("n_a") + F.col("n_b") - 2))
     out = (stats.withColumn("diff", F.col("mean_b") - F.col("mean_a")).withColumn("t_stat", ratio(F.col("mean_a") - F.col("mean_b"), se))
                 .withColumn("df", df).withColumn("se", se).withColumn("cohens_d", ratio(F.col("mean_b") - F.col("mean_a"), pooled)))
@@ -85,18 +85,18 @@ def mann_whitney(counts: DataFrame, keys: list[str], with_p: bool = True) -> Dat
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = na + nb
     u = F.col("_ra") - na * (na + 1) / 2
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    out = g.withColumn("u_stat", u).withColumn("rank_biserial", 1 - 2 * F.col("u_stat") / (na * nb))
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - ratio("_ties", n * (n - 1))))
+    out = g.withColumn("u_stat", u).withColumn("rank_biserial", 1 - 2 * ratio("u_stat", na * nb))
     out = out.withColumn("z", ratio(F.greatest(F.col("u_stat"), na * nb - F.col("u_stat")) - na * nb / 2 - 0.5, sd)).drop("_ra", "_ties")
     if with_p:
-        out = out.withColumn("p_value", F.when(F.col("z") <= 0, 1.0).otherwise(norm_sf2_udf("z")))
+        out = out.withColumn("p_value", F.when(F.col("z") > 0, norm_sf2_udf("z")).otherwise(1.0))
     return out
 
 
 def mean_ci(df: DataFrame, keys: list[str], metric: str, confidence: float = 0.95, with_ci: bool = True) -> DataFrame:
     """Mean with its t interval."""
     g = (df.groupBy(*keys) if keys else df.groupBy()).agg(F.count(clean(metric)).alias("n"), F.avg(clean(metric)).alias("mean"), F.stddev_samp(clean(metric)).alias("std"))
-    g = g.withColumn("se", F.col("std") / F.sqrt("n"))
+    g = g.withColumn("se", ratio("std", F.sqrt("n")))
     if not with_ci:
         return g
     half = t_ppf_udf(F.lit(0.5 + confidence / 2), (F.col("n") - 1).cast("double")) * F.col("se")
@@ -254,9 +254,9 @@ def detectable_effect(base: DataFrame, n: str, rate: str | None = None, std: str
     z = power_z(alpha, power)
     if rate is not None:
         p = F.col(rate)
-        out = base.withColumn("mde_absolute", z * F.sqrt(2 * p * (1 - p) / F.col(n)))
+        out = base.withColumn("mde_absolute", z * F.sqrt(ratio(2 * p * (1 - p), n)))
         return out.withColumn("mde_relative", F.coalesce(ratio("mde_absolute", rate), F.lit(0.0)))
-    out = base.withColumn("mde_absolute", z * F.col(std) * F.sqrt(2 / F.col(n)))
+    out = base.withColumn("mde_absolute", z * F.col(std) * F.sqrt(ratio(F.lit(2), n)))
     return out.withColumn("mde_relative", F.coalesce(ratio("mde_absolute", std), F.lit(0.0)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from insightspark.functions.columns import ratio
 from insightspark.operators import alerts as A
 from insightspark.operators.cohorts import forward_window, user_days, with_anchor
 from insightspark.plans.registry import query
@@ -116,7 +117,7 @@ _VREL = _values_sql({"revenue": "sum(revenue)", "dau": "count(user_id)"}, dim="p
 @query("z3_relative_threshold", f"""WITH {_UDT}, v AS ({_VREL}), d AS (SELECT * FROM (VALUES ('revenue', 15.0, 'both', 5, 1), ('dau', 3.0, '-', 3, 7)) q(alert, pct, side, n, step)),
 j AS (SELECT v.*, d.pct, d.side, d.n, (SELECT avg(o.value) FROM v o WHERE o.alert = v.alert AND o.dim1 = v.dim1 AND o.validation_date < v.validation_date AND (v.validation_date - o.validation_date) % d.step = 0 AND (v.validation_date - o.validation_date) / d.step <= d.n) AS baseline,
  (SELECT count(o.value) FROM v o WHERE o.alert = v.alert AND o.dim1 = v.dim1 AND o.validation_date < v.validation_date AND (v.validation_date - o.validation_date) % d.step = 0 AND (v.validation_date - o.validation_date) / d.step <= d.n) AS n_points FROM v JOIN d USING (alert)),
-k AS (SELECT *, 100*(value - baseline)/abs(baseline) AS dev FROM j)
+k AS (SELECT *, 100*(value - baseline)/nullif(abs(baseline), 0) AS dev FROM j)
 SELECT alert, CAST(validation_date AS VARCHAR) AS validation_date, dim1, round(value, 4) AS value, round(baseline, 4) AS baseline, n_points, round(dev, 4) AS deviation_pct,
  CASE WHEN n_points < n THEN 'INSUFFICIENT' WHEN (side <> '-' AND dev > pct) OR (side <> '+' AND dev < -pct) THEN 'FAIL' ELSE 'PASS' END AS status FROM k""", digits=4)
 def z3(t):
@@ -172,13 +173,12 @@ def z8(t):
     return A.volume_cliff(hourly(t), "hour", "n", drop=0.4)
 
 
-_PRATE = "r AS (SELECT CAST(ts AS DATE) AS day, 'p' || CAST(user_id % 3 AS VARCHAR) AS platform, CAST(count(CASE WHEN event_type='purchase' THEN 1 END) AS DOUBLE)/count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) AS rate FROM events GROUP BY 1, 2)"
+_PRATE = "r AS (SELECT CAST(ts AS DATE) AS day, 'p' || CAST(user_id % 3 AS VARCHAR) AS platform, CAST(count(CASE WHEN event_type='purchase' THEN 1 END) AS DOUBLE)/nullif(count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END), 0) AS rate FROM events GROUP BY 1, 2)"
 
 
 def platform_rates(t):
-    ok = F.count_if(F.col("event_type") == "purchase")
     return t.events.groupBy(F.to_date("ts").alias("day"), F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("platform")).agg(
-        (ok / F.count_if(F.col("event_type").isin("purchase", "error"))).alias("rate"))
+        ratio(F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type").isin("purchase", "error"))).alias("rate"))
 
 
 @query("z9_group_gap", f"WITH {_PRATE} SELECT CAST(day AS VARCHAR) AS day, round(max(rate), 6) AS best, round(min(rate), 6) AS worst, min_by(platform, rate) AS worst_group, round(max(rate) - min(rate), 6) AS gap, CASE WHEN max(rate) - min(rate) > 0.15 THEN 'FAIL' ELSE 'PASS' END AS status FROM r GROUP BY 1")
@@ -186,7 +186,7 @@ def z9(t):
     return A.group_gap(platform_rates(t), "day", "platform", "rate")
 
 
-@query("z9_lone_drop", f"""WITH {_PRATE}, c AS (SELECT *, 100*(rate - lag(rate) OVER (PARTITION BY platform ORDER BY day))/abs(lag(rate) OVER (PARTITION BY platform ORDER BY day)) AS c FROM r),
+@query("z9_lone_drop", f"""WITH {_PRATE}, c AS (SELECT *, 100*(rate - lag(rate) OVER (PARTITION BY platform ORDER BY day))/nullif(abs(lag(rate) OVER (PARTITION BY platform ORDER BY day)), 0) AS c FROM r),
 g AS (SELECT day, count(CASE WHEN c < -10 THEN 1 END) AS nd, count(CASE WHEN c >= -5 THEN 1 END) AS nh, count(*) AS n, min_by(platform, c) AS "group" FROM c WHERE c IS NOT NULL GROUP BY 1)
 SELECT CAST(day AS VARCHAR) AS day, "group" FROM g WHERE nd = 1 AND nh = n - 1""")
 def z9b(t):

@@ -228,8 +228,8 @@ def k17(t):
 WITH u AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'variant' END AS arm, sum(CASE WHEN event_type='purchase' THEN value ELSE 0 END) AS rev FROM events GROUP BY 1, 2),
 g AS (SELECT week, count(CASE WHEN arm='control' THEN 1 END) AS n_a, count(CASE WHEN arm='variant' THEN 1 END) AS n_b, avg(CASE WHEN arm='control' THEN rev END) AS mean_a, avg(CASE WHEN arm='variant' THEN rev END) AS mean_b FROM u GROUP BY 1),
 l AS (SELECT *, 100*(mean_b-mean_a)/abs(mean_a) AS lift FROM g)
-SELECT CAST(week AS VARCHAR) AS week, n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(mean_b - mean_a, 4) AS diff, round(lift, 4) AS lift_pct, round(last_value(lift) OVER w - first_value(lift) OVER w, 4) AS novelty FROM l
-WINDOW w AS (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", digits=4)
+SELECT CAST(week AS VARCHAR) AS week, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_b - mean_a, 6) AS diff, round(lift, 6) AS lift_pct, round(last_value(lift) OVER w - first_value(lift) OVER w, 6) AS novelty FROM l
+WINDOW w AS (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def k18(t):
     u = t.events.groupBy("user_id", week_start("ts").alias("week")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("rev"))
     u = u.withColumn("arm", F.when(F.col("user_id") % 2 == 0, "control").otherwise("variant"))

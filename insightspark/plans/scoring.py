@@ -130,7 +130,7 @@ def v7(t):
     return S.meta_patterns(S.score_findings(findings(t)))
 
 
-@query("v8_insight_scan", _FINDINGS + " SELECT finding_id, n_curr < 100 AS small_sample, round(metric_value, 4) AS metric_value, round(baseline_value, 4) AS baseline_value, round(affected_pct, 4) AS affected_pct, actionable, round(confidence, 4) AS confidence, direction FROM t", digits=4)
+@query("v8_insight_scan", _FINDINGS + " SELECT finding_id, n_curr < 100 AS small_sample, round(metric_value, 6) AS metric_value, round(baseline_value, 6) AS baseline_value, round(affected_pct, 6) AS affected_pct, actionable, round(confidence, 6) AS confidence, direction FROM t")
 def v8(t):
     return findings(t).select("finding_id", "small_sample", "metric_value", "baseline_value", "affected_pct", "actionable", "confidence", "direction")
 

@@ -71,10 +71,10 @@ def x4(t):
     return X.union_all([FC.exponential_smoothing(td, ["event_type"], "day", "n", **kw).withColumn("model", F.lit(m)) for m, kw in runs])
 
 
-@query("x4_simple_smoothing_sql", f"""WITH RECURSIVE {_TD}, {_IX}, r AS (SELECT event_type, idx, CAST(n AS DOUBLE) AS level FROM ix WHERE idx = 1 UNION ALL SELECT ix.event_type, ix.idx, 0.3*ix.n + 0.7*r.level FROM r JOIN ix ON ix.event_type = r.event_type AND ix.idx = r.idx + 1)
-SELECT event_type, CAST(day AS VARCHAR) AS day, round(level, 4) AS fitted FROM r JOIN ix USING (event_type, idx)""", digits=4)
+@query("x4_simple_smoothing_sql", f"""WITH RECURSIVE {_TD}, {_IX}, r AS (SELECT event_type, idx, CAST(n AS DOUBLE) AS level FROM ix WHERE idx = 1 UNION ALL SELECT ix.event_type, ix.idx, 0.25*ix.n + 0.75*r.level FROM r JOIN ix ON ix.event_type = r.event_type AND ix.idx = r.idx + 1)
+SELECT event_type, CAST(day AS VARCHAR) AS day, round(level, 6) AS fitted FROM r JOIN ix USING (event_type, idx)""")
 def x4b(t):
-    return FC.exponential_smoothing(type_days(t), ["event_type"], "day", "n", alpha=0.3, mode="reference").select("event_type", "day", "fitted")
+    return FC.exponential_smoothing(type_days(t), ["event_type"], "day", "n", alpha=0.25, mode="reference").select("event_type", "day", "fitted")
 
 
 @query("x5_alpha_search")

@@ -113,6 +113,16 @@ def test_welch_and_mann_whitney_by_hand(spark):
     assert m["u_stat"] == u and m["rank_biserial"] == pytest.approx(1 - 2 * u / 20)
 
 
+def test_empty_arm_gives_nulls_not_errors(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "arm string, v double")
+    s = ST.arm_stats(df, [], "arm", "v", "a", "b")
+    assert rows(ST.welch_t(s))[0]["p_value"] is None
+    assert rows(ST.proportion_z(s))[0]["z"] is None
+    assert rows(ST.mann_whitney(ST.side_counts(df, [], "arm", "v", "a", "b"), []))[0]["rank_biserial"] is None
+    assert rows(ST.mean_ci(df.where("false"), [], "v"))[0]["ci_low"] is None
+    assert rows(ST.normality(df, [], "v"))[0]["p_value"] is None
+
+
 def test_bootstrap_interval_matches_normal_theory(spark):
     df = spark.range(20000).select("id", (F.rand(3) * 10).alias("v"))
     r = rows(ST.bootstrap_mean_ci(df, "id", "v", replicates=400))[0]
