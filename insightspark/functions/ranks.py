@@ -63,9 +63,8 @@ def prefix_totals(distinct: DataFrame, keys: list[str], value: str, sums: dict[s
     return joined.drop("_b", *[f"_o_{n}" for n in sums])
 
 
-def _bracket_bounds(df: DataFrame, keys: list[str], value: str, probs: list[float]):
-    """Sketch bounds just below and above every wanted quantile, on the raw rows."""
-    marks = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BRACKET, BRACKET)})
+def _bracket_bounds(df: DataFrame, keys: list[str], value: str, marks: list[float]):
+    """Sketch values at the given marks, per group."""
     sketch = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(m) for m in marks]), F.lit(10000))
     return (df.groupBy(*keys) if keys else df.groupBy()).agg(sketch.alias("_bounds"))
 
@@ -75,7 +74,8 @@ def few(df: DataFrame, known_small: bool) -> DataFrame:
     return F.broadcast(df) if known_small else df
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], few_groups: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], few_groups: bool = False,
+              weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (keys, prob, quantile).
 
     A bounded sketch brackets each wanted rank. Rows are counted per bracket in
@@ -83,17 +83,23 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], fe
     rank (about ``2 * BRACKET`` of the group) are shuffled and sorted. The sketch
     decides how much is sorted, never the result. ``few_groups`` says that the
     number of groups is bounded by metadata (one group per column, say), so the
-    per-group bounds may be broadcast.
+    per-group bounds may be broadcast. ``weight`` names a count column when the
+    input holds distinct values with counts; brackets are then cut evenly.
     """
     probs = [float(p) for p in probs]
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    w = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w")).where("_v IS NOT NULL")
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    bounds = _bracket_bounds(rows, keys, "_v", probs)
+    if weight is None:
+        marks = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BRACKET, BRACKET)})
+    else:
+        marks = [i / SPLITS for i in range(1, SPLITS)]
+    bounds = _bracket_bounds(rows, keys, "_v", marks)
     with_bounds = rows.join(few(bounds, few_groups), keys) if keys else rows.withColumn("_bounds", bounds.scalar())
-    cut = with_bounds.select(*keys, "_v", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))).alias("_b"))
+    cut = with_bounds.select(*keys, "_v", "_w", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))).alias("_b"))
     across = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    per = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    per = cut.groupBy(*keys, "_b").agg(F.sum("_w").alias("_n"))
     per = per.select(
         *keys, "_b", "_n",
         F.coalesce(F.sum("_n").over(across.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)),
@@ -110,7 +116,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], fe
     else:
         inside = cut.where(F.array_contains(wanted.agg(F.collect_set("_b")).scalar(), F.col("_b")))
     inner = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (inside.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    ranked = (inside.groupBy(*keys, "_b", "_v").agg(F.sum("_w").alias("_m"))
                     .withColumn("_upto", F.sum("_m").over(inner)))
     hit = (wanted.join(ranked, [*keys, "_b"])
                  .withColumn("_end", F.col("_before") + F.col("_upto"))
@@ -122,9 +128,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], fe
 
 
 def quantiles_wide(df: DataFrame, keys: list[str], value: str, named: dict[str, float],
-                   few_groups: bool = False) -> DataFrame:
+                   few_groups: bool = False, weight: str | None = None) -> DataFrame:
     """As :func:`quantiles`, one row per group with one column per name."""
-    long = quantiles(df, keys, value, sorted(set(named.values())), few_groups)
+    long = quantiles(df, keys, value, sorted(set(named.values())), few_groups, weight)
     return long.groupBy(*keys).agg(*[
         F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n)
         for n, p in named.items()])

@@ -192,15 +192,16 @@ def corrected_kurtosis(g2, n) -> Column:
 
 
 def histogram(long: DataFrame, keys: list[str], value: str, bins: Column, bounds: DataFrame,
-              few_groups: bool = False) -> DataFrame:
+              few_groups: bool = False, weight: str | None = None) -> DataFrame:
     """Equal-width counts per group, the last bin closed, empty bins included.
 
     ``bounds`` has (keys, lo, hi) and whatever ``bins`` refers to; at most one row per group.
+    ``weight`` names a count column when the input holds distinct values.
     """
     b = bounds.withColumn("n_bins", bins.cast("int"))
     width = (F.col("hi") - F.col("lo")) / F.col("n_bins")
     place = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / width), F.col("n_bins") - 1)).otherwise(0)
-    counts = long.join(few(b, few_groups), keys).groupBy(*keys, place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = long.join(few(b, few_groups), keys).groupBy(*keys, place.cast("int").alias("bin")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     spine = b.where("n_bins > 0").select(*keys, "lo", "hi", "n_bins", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
     return spine.join(counts, [*keys, "bin"], "left").fillna(0, ["n"])
 
@@ -240,43 +241,63 @@ def transform_hint(skew, minimum) -> Column:
     return F.when((as_col(skew) > 1.0) & (as_col(minimum) > 0), "log").when((as_col(skew) > 1.0) & (as_col(minimum) >= 0), "sqrt")
 
 
-def distribution_stats(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Moments, percentiles, IQR outliers of each numeric column."""
-    long = melt(df, cols)
+def counted_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, value, c): every distinct value once. The one shuffle that the
+    figures below share; it is no larger than what an exact distinct count needs."""
+    return melt(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+
+
+def weighted_moments(counts: DataFrame) -> DataFrame:
+    """Count, distinct values, mean, sample deviation and population moments per column.
+
+    Central sums are taken around the mean of a first pass, so large offsets do
+    not cancel. The means are at most one row per column and are broadcast.
+    """
+    keys, v, c = ["column_name"], F.col("value"), F.col("c")
+    base = counts.groupBy(*keys).agg(F.sum(c).alias("n"), F.count(F.lit(1)).alias("n_unique"), (F.sum(c * v) / F.sum(c)).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    d = v - F.col("mean")
+    cen = counts.join(F.broadcast(base.select(*keys, "mean")), keys).groupBy(*keys).agg(
+        F.sum(c * d * d).alias("_s2"), F.sum(c * d * d * d).alias("_s3"), F.sum(c * d * d * d * d).alias("_s4"))
+    j = base.join(cen, keys)
+    m2 = F.col("_s2") / F.col("n")
+    return (j.withColumn("std", F.sqrt(ratio("_s2", F.col("n") - 1))).withColumn("g1", ratio(F.col("_s3") / F.col("n"), F.pow(m2, 1.5)))
+             .withColumn("g2", ratio(F.col("_s4") / F.col("n"), m2 * m2) - 3).drop("_s2", "_s3", "_s4"))
+
+
+def _stats_from_counts(counts: DataFrame) -> DataFrame:
     keys = ["column_name"]
-    base = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_unique"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.skewness("value").alias("_g1"), F.kurtosis("value").alias("_g2"))
-    pct = quantiles_wide(long, keys, "value", {"p1": .01, "p5": .05, "p25": .25, "median": .5, "p75": .75, "p95": .95, "p99": .99}, few_groups=True)
+    base = weighted_moments(counts)
+    pct = quantiles_wide(counts, keys, "value", {"p1": .01, "p5": .05, "p25": .25, "median": .5, "p75": .75, "p95": .95, "p99": .99}, few_groups=True, weight="c")
     stats = base.join(pct, keys).withColumn("iqr", F.col("p75") - F.col("p25"))
-    fences = stats.select(*keys, (F.col("p25") - 1.5 * F.col("iqr")).alias("f0"), (F.col("p75") + 1.5 * F.col("iqr")).alias("f1"))
-    outliers = long.join(F.broadcast(fences), keys).groupBy(*keys).agg(F.count_if((F.col("value") < F.col("f0")) | (F.col("value") > F.col("f1"))).alias("n_outliers"))
-    return (stats.join(outliers, keys).withColumn("skewness", corrected_skew("_g1", "n"))
-                 .withColumn("kurtosis", corrected_kurtosis("_g2", "n")).drop("_g1", "_g2"))
+    fences = pct.select(*keys, (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("f0"), (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("f1"))
+    out = F.when((F.col("value") < F.col("f0")) | (F.col("value") > F.col("f1")), F.col("c")).otherwise(0)
+    outliers = counts.join(F.broadcast(fences), keys).groupBy(*keys).agg(F.sum(out).alias("n_outliers"))
+    return (stats.join(outliers, keys).withColumn("skewness", corrected_skew("g1", "n"))
+                 .withColumn("kurtosis", corrected_kurtosis("g2", "n")).drop("g1", "g2"))
+
+
+def distribution_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Moments, percentiles, IQR outliers of each numeric column."""
+    return _stats_from_counts(counted_values(df, cols))
 
 
 def profile_distributions(df: DataFrame, cols: list[str]) -> DataFrame:
     """:func:`distribution_stats` plus shape and suggested transform."""
-    stats = distribution_stats(df, cols)
-    bounds = stats.select("column_name", "lo", "hi", "n_unique")
-    hist = histogram(melt(df, cols), ["column_name"], "value", F.least(F.lit(50), F.col("n_unique")), bounds, few_groups=True)
-    peaks = two_peaks(hist, ["column_name"])
-    return (stats.join(peaks, "column_name", "left")
+    counts = counted_values(df, cols)
+    bounds = counts.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n_unique"))
+    hist = histogram(counts, ["column_name"], "value", F.least(F.lit(50), F.col("n_unique")), bounds, few_groups=True, weight="c")
+    return (_stats_from_counts(counts).join(two_peaks(hist, ["column_name"]), "column_name", "left")
                  .withColumn("shape", shape_label("skewness", "kurtosis", "two_peaks", "n_unique"))
                  .withColumn("transform", transform_hint("skewness", "lo")).drop("two_peaks"))
 
 
 def characterize(df: DataFrame, cols: list[str]) -> DataFrame:
     """Summary with population moments, modality and words for the shape."""
-    long = melt(df, cols)
-    keys = ["column_name"]
-    base = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("lo"),
-        F.max("value").alias("hi"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"))
-    pct = quantiles_wide(long, keys, "value", {"p5": .05, "p25": .25, "median": .5, "p75": .75, "p95": .95}, few_groups=True)
-    hist = histogram(long, keys, "value", F.least(F.greatest(F.floor(F.sqrt("n_rows")), F.lit(10)), F.lit(50)),
-                     base.select(*keys, "lo", "hi", F.col("n").alias("n_rows")), few_groups=True)
+    counts, keys = counted_values(df, cols), ["column_name"]
+    base = weighted_moments(counts).withColumnRenamed("g1", "skewness").withColumnRenamed("g2", "kurtosis").drop("n_unique")
+    pct = quantiles_wide(counts, keys, "value", {"p5": .05, "p25": .25, "median": .5, "p75": .75, "p95": .95}, few_groups=True, weight="c")
+    bounds = counts.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n_rows"))
+    hist = histogram(counts, keys, "value", F.least(F.greatest(F.floor(F.sqrt("n_rows")), F.lit(10)), F.lit(50)), bounds, few_groups=True, weight="c")
     peaks = count_peaks(hist, keys)
     modality = F.when(F.col("n_peaks") <= 1, "unimodal").when(F.col("n_peaks") == 2, "bimodal").otherwise("multimodal")
     s, k = F.col("skewness"), F.col("kurtosis")
