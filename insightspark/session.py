@@ -40,6 +40,8 @@ def shared_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(root)
         return root
     jsc_dir = spark.sparkContext.getCheckpointDir()
     if jsc_dir:
