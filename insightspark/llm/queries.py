@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from insightspark.llm import exact_dedup, simhash
+from insightspark.llm import exact_dedup, packing, simhash, wavelet
 from insightspark.session import prepare
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.op4_simhash,
+    "op5_wavelet": wavelet.op5_wavelet,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_packing": packing.op9_packing,
 }
 _SQL = {"op7_exact_dedup": exact_dedup.SQL}
 
