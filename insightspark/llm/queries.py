@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from insightspark.llm import classifier, exact_dedup, packing, quality_rules, simhash, wavelet
+from insightspark.llm import classifier, exact_dedup, mixing, packing, quality_rules, simhash, wavelet
 from insightspark.session import prepare
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,10 +14,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.op4_simhash,
     "op5_wavelet": wavelet.op5_wavelet,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-_SQL = {"op7_exact_dedup": exact_dedup.SQL}
+_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
 
 
 def _prepared(fn):
