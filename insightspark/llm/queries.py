@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from insightspark.llm import classifier, exact_dedup, mixing, packing, quality_rules, simhash, wavelet
+from insightspark.llm import chat, classifier, exact_dedup, mixing, packing, quality_rules, simhash, wavelet
 from insightspark.session import prepare
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": chat.op1_chat,
     "op3_quality_classifier": classifier.op3_quality_classifier,
     "op4_simhash": simhash.op4_simhash,
     "op5_wavelet": wavelet.op5_wavelet,
@@ -18,7 +19,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-_SQL = {"op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+_SQL = {"op1_chat": chat.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
 
 
 def _prepared(fn):
