@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from insightspark.llm import chat, classifier, exact_dedup, mixing, packing, quality_rules, simhash, wavelet
+from insightspark.llm import chat, classifier, exact_dedup, mixing, packing, quality_rules, secrets, simhash, wavelet
 from insightspark.session import prepare
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": classifier.op3_quality_classifier,
     "op4_simhash": simhash.op4_simhash,
     "op5_wavelet": wavelet.op5_wavelet,
+    "op6_secrets": secrets.op6_secrets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
