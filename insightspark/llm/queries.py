@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from insightspark.llm import chat, classifier, exact_dedup, mixing, packing, quality_rules, secrets, simhash, wavelet
+from insightspark.llm import chat, classifier, exact_dedup, mixing, packing, pii, quality_rules, secrets, simhash, wavelet
 from insightspark.session import prepare
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": chat.op1_chat,
+    "op2_pii": pii.op2_pii,
     "op3_quality_classifier": classifier.op3_quality_classifier,
     "op4_simhash": simhash.op4_simhash,
     "op5_wavelet": wavelet.op5_wavelet,
