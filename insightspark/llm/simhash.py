@@ -11,10 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from insightspark.llm.common import stored, table_of, text_of
+from insightspark.llm.common import free_name, stored, table_of, text_of
 from insightspark.llm.graph import components
 
 RADIUS = 4
+#: Near-duplicate documents: words of a shingle, least Jaccard similarity, and independent keys of the word set. Eight keys within
+#: four bits find over nineteen of twenty pairs at the least similarity and practically all closer ones (README).
+SHINGLE, SIMILARITY, TABLES = 5, 0.8, 8
 #: Keys of one prefix bucket, on average, and variants expanded at once inside a bucket (8 bytes each).
 BUCKET_KEYS = 1000
 VARIANTS = 1 << 21
@@ -225,7 +228,7 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     half = radius // 2
     count = nodes.agg(F.count(F.lit(1)), F.max(F.size("keys"))).first()
     n, tables = count[0], count[1] or 1
-    bits = min(24, max(6, int(n // BUCKET_KEYS).bit_length()))
+    bits = min(24, max(8, int(n // BUCKET_KEYS).bit_length()))
     copies = 1 + bits + bits * (bits - 1) // 2
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * copies * tables // 2_000_000)
     rows = nodes.select(F.col("node").cast("long"), "keys").mapInArrow(_emit(bits, half, parts), "part int, hash_table int, rows binary")
@@ -259,6 +262,64 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _set_keys(tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.array([word_set_keys(t, tables) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, tables).view(np.int64)
+            yield pa.record_batch({"node": batch.column(0), "keys": pa.array(list(keys), pa.list_(pa.int64()))})
+
+    return run
+
+
+def _shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"node": batch.column(0), "shingles": pa.array([np.unique(shingle_hashes(words_of(t), size, 1)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())})
+
+    return run
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sorted sets of 8-byte hashes; 1 for two empty sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = pa.array([jaccard(x, y) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+    """``node, root``: every document with a near-duplicate and the smallest ``doc_id`` of its group (itself included).
+
+    Candidates are pairs within four bits of each other in one of ``tables`` SimHashes of their sets of words, found by ball
+    hashing; links are candidates whose sets of ``shingle``-word shingles (lower-cased, the whole sequence of shorter texts) have
+    a Jaccard similarity of at least ``similarity``; groups are their components. Texts without words resemble each
+    other. Rows with a NULL id have no duplicates; rows that share an id count as one document, judged by one text.
+    """
+    rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("node"), text_of(F.col(f"`{text}`")).alias("text"))
+    nodes = stored(rows.mapInArrow(_set_keys(tables), "node long, keys array<long>"), "keys")
+    links = stored(ball_links(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    touched = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    sets = stored(rows.join(touched, "node", "left_semi").mapInArrow(_shingle_sets(shingle), "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles")), "shingles")
+    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    return components(pairs.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long"))
+
+
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with exactly its columns, without the documents that are not the first of their group."""
+    key = free_name(docs, "later")
+    later = near_duplicates(docs, text, doc_id, **options).where("node <> root").select(F.col("node").alias(key))
+    return docs.join(stored(later, "later"), F.col(f"`{doc_id}`") == F.col(key), "left_anti")
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table_of(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
