@@ -16,6 +16,15 @@ SPLITS = 64
 BRACKET = 0.001
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` with NULL equal to NULL; the keys of ``left`` stay."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n) over non-NULL values."""
     return (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
@@ -33,7 +42,7 @@ def range_buckets(distinct: DataFrame, keys: list[str], value: str, splits: int
     within = F.size(F.filter(F.col("_bounds"), lambda x: x < F.col(value).cast("double")))
     if keys:
         bounds = distinct.groupBy(*keys).agg(sketch.alias("_bounds"))
-        joined = distinct.join(bounds, keys)
+        joined = join_null_safe(distinct, bounds, keys)
     else:
         bounds = distinct.agg(sketch.alias("_bounds"))
         joined = distinct.withColumn("_bounds", bounds.scalar())
@@ -57,7 +66,7 @@ def prefix_totals(distinct: DataFrame, keys: list[str], value: str, sums: dict[s
             F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}"),
             F.sum(f"_s_{n}").over(whole).alias(f"{n}_all"))])
     inner = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    joined = cut.join(per, [*keys, "_b"])
+    joined = join_null_safe(cut, per, [*keys, "_b"])
     for n, c in sums.items():
         joined = joined.withColumn(n, F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inner), F.lit(0)))
     return joined.drop("_b", *[f"_o_{n}" for n in sums])
@@ -88,7 +97,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], fe
     """
     probs = [float(p) for p in probs]
     w = F.lit(1) if weight is None else F.col(weight)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w")).where("_v IS NOT NULL")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w")).where("_v IS NOT NULL AND NOT isnan(_v)")
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
     if weight is None:
@@ -137,7 +146,7 @@ def quantiles_wide(df: DataFrame, keys: list[str], value: str, named: dict[str,
 
 
 def running_by_time(df: DataFrame, keys: list[str], ts: str, tie: list[str], sums: dict,
-                    slot: str = "hour", inclusive: bool = True, carry_last: dict | None = None) -> DataFrame:
+                    slot: str = "hour", inclusive: bool = True, carry_last: dict | None = None, peers: str = "after") -> DataFrame:
     """Per-key running sums in time order, split by time slot.
 
     Each (key, slot) is summed first; the totals of earlier slots are carried in
@@ -145,8 +154,11 @@ def running_by_time(df: DataFrame, keys: list[str], ts: str, tie: list[str], sum
     large part of the table is spread over as many tasks as it has slots.
 
     ``sums``: output name -> numeric column expression.
-    ``carry_last``: output name -> expression; last non-NULL value strictly
-    before the row.
+    ``carry_last``: output name -> expression; last non-NULL value at an earlier
+    time. ``peers`` says what rows of the same time are: "after" (not seen),
+    "before" (seen, the row itself included) or "by tie" (seen if their tie key is
+    smaller). Among equal times the larger tie key is later. NULL keys are keys
+    like any other; rows without a time neither see nor are seen, and come first in the sums.
     """
     carry_last = carry_last or {}
     base = df.withColumn("_slot", F.date_trunc(slot, F.col(ts)))
@@ -154,7 +166,7 @@ def running_by_time(df: DataFrame, keys: list[str], ts: str, tie: list[str], sum
         base = base.withColumn(f"_x_{n}", c)
     order = F.struct(F.col(ts), *[F.col(t) for t in tie])
     aggs = [F.sum(f"_x_{n}").alias(f"_p_{n}") for n in sums]
-    aggs += [F.max_by(F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull(), order)).alias(f"_p_{n}")
+    aggs += [F.max_by(F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull() & F.col(ts).isNotNull(), order)).alias(f"_p_{n}")
              for n in carry_last]
     per = base.groupBy(*keys, "_slot").agg(*aggs)
     earlier = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
@@ -162,13 +174,20 @@ def running_by_time(df: DataFrame, keys: list[str], ts: str, tie: list[str], sum
         *keys, "_slot",
         *[F.coalesce(F.sum(f"_p_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_p_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in carry_last])
-    joined = base.join(per, [*keys, "_slot"])
+    joined = join_null_safe(base.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))), per, [*keys, "_slot"])
     frame = W.partitionBy(*keys, "_slot").orderBy(ts, *tie)
     upto = frame.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    prior = frame.rowsBetween(W.unboundedPreceding, -1)
+    by_time = W.partitionBy(*keys, "_slot").orderBy("_at")
+    prior = {"after": by_time.rangeBetween(W.unboundedPreceding, -1), "before": by_time.rangeBetween(W.unboundedPreceding, 0),
+             "by tie": frame.rowsBetween(W.unboundedPreceding, -1)}[peers]
+
+    def latest(n):
+        met = F.when(F.col(f"_x_{n}").isNotNull(), F.struct(F.col("_at"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)], F.col(f"_x_{n}").alias("_x")))
+        return F.when(F.col("_at").isNotNull(), F.max(met).over(prior)["_x"])
+
     out = joined.select(
         *df.columns,
         *[(F.col(f"_c_{n}") + F.coalesce(F.sum(f"_x_{n}").over(upto), F.lit(0))).alias(n) for n in sums],
-        *[F.coalesce(F.last(f"_x_{n}", ignorenulls=True).over(prior), F.col(f"_c_{n}")).alias(n)
+        *[F.coalesce(latest(n), F.col(f"_c_{n}")).alias(n)
           for n in carry_last])
     return out

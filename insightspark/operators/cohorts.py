@@ -50,16 +50,22 @@ def _user_periods(df, user, ts, unit, value=None):
     return with_anchor(p, "period").withColumn("offset", _offset("period", unit).cast("int"))
 
 
-def retention_matrix(df: DataFrame, user: str, ts: str, unit: str = "month", max_offset: int = 12) -> DataFrame:
-    """(cohort, offset, active, size, retention) for every reached offset.
+def _offset_grid(p: DataFrame, sizes: DataFrame, unit: str, max_offset: int | None) -> DataFrame:
+    """Every cohort with every offset up to the longest span observed (or ``max_offset``), and the last period."""
+    ends = p.agg(F.min("anchor").alias("anchor"), F.max("period").alias("_last")).withColumn("_span", _offset("_last", unit).cast("int"))
+    top = ends.select("_span").scalar() if max_offset is None else F.lit(max_offset)
+    return sizes.withColumn("offset", F.explode(F.sequence(F.lit(0), top))).withColumn("_last", ends.select("_last").scalar()).withColumn("anchor", F.col("cohort"))
+
+
+def retention_matrix(df: DataFrame, user: str, ts: str, unit: str = "month", max_offset: int | None = None) -> DataFrame:
+    """(cohort, offset, active, size, retention) for every offset in the span of the data, or up to ``max_offset`` if given.
 
     Offsets a cohort has not reached yet are NULL, reached ones without activity 0.
     """
     p = _user_periods(df, user, ts, unit)
     hits = p.groupBy(F.col("anchor").alias("cohort"), "offset").agg(N().alias("active"))
     sizes = hits.where("offset = 0").select("cohort", F.col("active").alias("cohort_size"))
-    last = p.agg(F.max("period").alias("l")).scalar()
-    grid = sizes.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(max_offset)))).withColumn("_last", last).withColumn("anchor", F.col("cohort"))
+    grid = _offset_grid(p, sizes, unit, max_offset)
     reached = F.col("offset") <= _offset("_last", unit)
     out = grid.join(hits, ["cohort", "offset"], "left")
     active = F.when(reached, F.coalesce(F.col("active"), F.lit(0)))
@@ -85,13 +91,12 @@ def cohort_trend(matrix: DataFrame, offsets: list[int]) -> DataFrame:
     return g.join(out, "offset")
 
 
-def cohort_ltv(df: DataFrame, user: str, ts: str, value: str, unit: str = "month", max_offset: int = 12) -> DataFrame:
+def cohort_ltv(df: DataFrame, user: str, ts: str, value: str, unit: str = "month", max_offset: int | None = None) -> DataFrame:
     """Cumulative revenue per starting user by cohort and offset, for reached offsets."""
     p = _user_periods(df, user, ts, unit, value)
     hits = p.groupBy(F.col("anchor").alias("cohort"), "offset").agg(N().alias("active"), F.sum("value").alias("v"))
     sizes = hits.where("offset = 0").select("cohort", F.col("active").alias("cohort_size"))
-    last = p.agg(F.max("period").alias("l")).scalar()
-    grid = sizes.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(max_offset)))).withColumn("_last", last).withColumn("anchor", F.col("cohort"))
+    grid = _offset_grid(p, sizes, unit, max_offset)
     out = grid.where(F.col("offset") <= _offset("_last", unit)).join(hits.select("cohort", "offset", "v"), ["cohort", "offset"], "left")
     cum = F.sum(F.coalesce("v", F.lit(0.0))).over(by_period(["cohort"], "offset").rowsBetween(W.unboundedPreceding, 0))
     return out.withColumn("ltv", cum / F.col("cohort_size")).select("cohort", "offset", "cohort_size", "ltv")
@@ -106,9 +111,9 @@ def ltv_maturity(ltv: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def mature_benchmark(matrix: DataFrame, n: int = 3, gap: float = 0.05) -> DataFrame:
-    """Mean of the oldest full cohorts per offset and cohorts that deviate by more than ``gap``."""
-    full = matrix.groupBy("cohort").agg(F.count_if(F.col("retention").isNull()).alias("_open")).where("_open = 0").orderBy("cohort").limit(n).select("cohort")
-    bench = matrix.join(full, "cohort").groupBy("offset").agg(F.avg("retention").alias("benchmark"))
+    """Mean of the ``n`` oldest cohorts per offset they have reached, and cohorts that deviate by more than ``gap``."""
+    oldest = matrix.select("cohort").distinct().orderBy("cohort").limit(n)
+    bench = matrix.join(oldest, "cohort").groupBy("offset").agg(F.avg("retention").alias("benchmark"))
     out = matrix.where("retention IS NOT NULL").join(bench, "offset").withColumn("deviation", F.col("retention") - F.col("benchmark"))
     return out.withColumn("flag", F.abs("deviation") > gap)
 

@@ -201,7 +201,7 @@ def sessionize(df: DataFrame, user: str, ts: str, tie: str, gap_minutes: int = 3
     with very many events is spread over many tasks.
     """
     base = df.select(user, ts, tie)
-    prev = running_by_time(base, [user], ts, [tie], {}, carry_last={"_prev": F.col(ts)})
+    prev = running_by_time(base, [user], ts, [tie], {}, carry_last={"_prev": F.col(ts)}, peers="by tie")
     new = F.col("_prev").isNull() | (F.col(ts) > F.col("_prev") + F.expr(f"INTERVAL {int(gap_minutes)} MINUTES"))
     flagged = prev.withColumn("_new", F.when(new, 1).otherwise(0))
     num = running_by_time(flagged, [user], ts, [tie], {"session_no": F.col("_new")})

@@ -110,7 +110,7 @@ def table_checksum(df: DataFrame) -> DataFrame:
     Row hashes are split into 32-bit halves before summing, so neither sum can
     overflow below 2^31 rows per group of equal hashes and order never matters.
     """
-    h = F.xxhash64(*df.columns)
+    h = F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])  # a bare hash skips NULLs
     return df.select(h.bitwiseAND(0xFFFFFFFF).alias("lo"), F.shiftrightunsigned(h, 32).alias("hi")).agg(
         N().alias("row_count"), F.coalesce(F.sum(F.col("lo").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum_lo"),
         F.coalesce(F.sum(F.col("hi").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum_hi"))

@@ -19,13 +19,13 @@ def running(df, keys, ts, tie, sums, slot="hour", inclusive=True):
 
 
 def asof(df: DataFrame, keys: list[str], ts: str, tie: list[str], state: dict[str, Column], slot="hour") -> DataFrame:
-    """Latest non-NULL state strictly before each row."""
+    """Latest non-NULL state at a strictly earlier time."""
     return running_by_time(df, keys, ts, tie, {}, slot=slot, carry_last=state)
 
 
 def trailing_hit(df: DataFrame, keys: list[str], ts: str, tie: list[str], target: Column, hours: int) -> DataFrame:
     """``hit`` is true when a target row lies within ``hours`` before the row (same time included)."""
-    seen = running_by_time(df, keys, ts, tie, {}, carry_last={"_seen": F.when(target, F.col(ts))})
+    seen = running_by_time(df, keys, ts, tie, {}, carry_last={"_seen": F.when(target, F.col(ts))}, peers="before")
     edge = F.col(ts) - F.expr(f"INTERVAL {int(hours)} HOURS")
     return seen.withColumn("hit", F.coalesce(F.col("_seen") >= edge, F.lit(False))).drop("_seen")
 
@@ -53,7 +53,7 @@ def rolling(df: DataFrame, keys, order, value, window: int, min_periods: int = 1
 def period_change(df: DataFrame, keys, order, value, lag: int = 1) -> DataFrame:
     prev = F.lag(value, lag).over(by_period(keys, order))
     return (df.withColumn("previous", prev).withColumn("change", as_col(value) - F.col("previous"))
-              .withColumn("change_pct", 100.0 * ratio(F.col("change"), F.col("previous"))))
+              .withColumn("change_pct", 100.0 * ratio(F.col("change"), F.abs("previous"))))
 
 
 def rolling_average(df: DataFrame, keys, order, value, grain: str) -> DataFrame:

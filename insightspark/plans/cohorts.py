@@ -11,6 +11,9 @@ from insightspark.plans.registry import query
 
 N = lambda: F.count(F.lit(1))
 AS_OF = "2024-01-31"
+#: Months that the orders span: one column each in the wide form.
+MONTHS = 80
+KINDS = ["signup", "view", "click", "purchase", "error"]
 
 
 def days(t):
@@ -20,8 +23,9 @@ def days(t):
 
 
 def sparse_days(t):
-    """User-days with a purchase above 30 only: enough silent days for reactivation."""
-    return C.user_days(t.events.where("event_type = 'purchase' AND value > 30"), "user_id", "ts", {"revenue": F.col("value")})
+    """Days of each user and event type, over all events: the unit is fine enough for silent days."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)]), F.col("event_type"))
+    return C.user_days(t.events.withColumn("user_id", F.col("user_id") * 10 + kind), "user_id", "ts", {"revenue": F.col("value")})
 
 
 _UD = """ud AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(CASE WHEN event_type='purchase' THEN value ELSE 0 END) AS revenue, count(*) AS events, CAST(sum(CASE WHEN event_type='click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM events GROUP BY 1, 2),
@@ -29,7 +33,7 @@ an AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS anchor FROM ud), ao AS
 
 _OC = """fc AS (SELECT o_custkey, min(CAST(date_trunc('month', o_orderdate) AS DATE)) AS cohort FROM orders GROUP BY 1), pm AS (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2),
 h AS (SELECT cohort, date_diff('month', cohort, period) AS off, count(*) AS active, sum(v) AS v FROM pm JOIN fc USING (o_custkey) GROUP BY 1, 2), sz AS (SELECT cohort, active AS size FROM h WHERE off = 0),
-lst AS (SELECT max(period) AS l FROM pm), gr AS (SELECT cohort, size, unnest(range(0, 13)) AS off FROM sz),
+lst AS (SELECT max(period) AS l FROM pm), span AS (SELECT date_diff('month', min(cohort), max(l)) AS top FROM sz, lst), gr AS (SELECT cohort, size, unnest(range(0, top + 1)) AS off FROM sz, span),
 m AS (SELECT gr.cohort, gr.off, size, CASE WHEN gr.off <= date_diff('month', gr.cohort, l) THEN coalesce(active, 0) END AS active, coalesce(h.v, 0) AS v, gr.off <= date_diff('month', gr.cohort, l) AS reached FROM gr CROSS JOIN lst LEFT JOIN h ON h.cohort = gr.cohort AND h.off = gr.off)"""
 
 
@@ -43,9 +47,9 @@ def y4(t):
     return C.retention_matrix(t.orders, "o_custkey", "o_orderdate").withColumn("active", F.col("active").cast("double"))
 
 
-@query("y4_retention_wide", f"WITH {_OC} SELECT CAST(cohort AS VARCHAR) AS cohort, size AS cohort_size, " + ", ".join(f'round(max(CASE WHEN off = {i} THEN active/size END), 6) AS "{i}"' for i in range(13)) + " FROM m GROUP BY 1, 2")
+@query("y4_retention_wide", f"WITH {_OC} SELECT CAST(cohort AS VARCHAR) AS cohort, size AS cohort_size, " + ", ".join(f'round(max(CASE WHEN off = {i} THEN active/size END), 6) AS "{i}"' for i in range(MONTHS)) + " FROM m GROUP BY 1, 2")
 def y4b(t):
-    return C.retention_wide(C.retention_matrix(t.orders, "o_custkey", "o_orderdate"), 12)
+    return C.retention_wide(C.retention_matrix(t.orders, "o_custkey", "o_orderdate"), MONTHS - 1)
 
 
 @query("y5_aggregate_curve", f"""WITH {_OC}, r AS (SELECT off, active/size AS r FROM m WHERE size >= 20 AND active IS NOT NULL)
@@ -72,7 +76,7 @@ def y7b(t):
     return C.ltv_maturity(C.cohort_ltv(t.orders, "o_custkey", "o_orderdate", "o_totalprice"))
 
 
-@query("y8_mature_benchmark", f"""WITH {_OC}, f AS (SELECT cohort FROM m GROUP BY 1 HAVING count(CASE WHEN active IS NULL THEN 1 END) = 0 ORDER BY cohort LIMIT 3), b AS (SELECT off, avg(active/size) AS bench FROM m WHERE cohort IN (SELECT cohort FROM f) GROUP BY 1)
+@query("y8_mature_benchmark", f"""WITH {_OC}, f AS (SELECT DISTINCT cohort FROM m ORDER BY cohort LIMIT 3), b AS (SELECT off, avg(active/size) AS bench FROM m WHERE cohort IN (SELECT cohort FROM f) GROUP BY 1)
 SELECT CAST(cohort AS VARCHAR) AS cohort, CAST(m.off AS INT) AS "offset", round(active/size, 6) AS retention, round(bench, 6) AS benchmark, round(active/size - bench, 6) + 0.0 AS deviation, abs(active/size - bench) > 0.05 AS flag FROM m JOIN b USING (off) WHERE active IS NOT NULL""")
 def y8(t):
     out = C.mature_benchmark(C.retention_matrix(t.orders, "o_custkey", "o_orderdate"))
@@ -103,7 +107,7 @@ def y11(t):
     return C.anchored_metrics(d, [1, 7], ["revenue", "clicks"], AS_OF, ["variant"])
 
 
-_RX = """sd AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS revenue FROM events WHERE event_type='purchase' AND value > 30 GROUP BY 1, 2),
+_RX = """sd AS (SELECT user_id*10 + list_position(['signup', 'view', 'click', 'purchase', 'error'], event_type) - 1 AS user_id, CAST(ts AS DATE) AS day, sum(value) AS revenue FROM events GROUP BY 1, 2),
 rg AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS anchor, day - lag(day) OVER (PARTITION BY user_id ORDER BY day) - 1 AS gap FROM sd), rh AS (SELECT *, day - anchor AS tenure, coalesce(gap >= 2 AND day - anchor >= 5, false) AS hit FROM rg),
 rx AS (SELECT *, CAST(coalesce(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior FROM rh)"""
 
@@ -125,7 +129,7 @@ o AS (SELECT CAST(date_trunc('week', day) AS DATE) AS week, user_id, user_id % 2
 g AS (SELECT week, count(CASE WHEN NOT bad THEN 1 END) AS u, count(CASE WHEN NOT bad AND ret THEN 1 END) AS a, count(CASE WHEN NOT bad AND conv THEN 1 END) AS b, sum(CASE WHEN NOT bad THEN rev END) AS c, count(CASE WHEN NOT bad AND rep THEN 1 END) AS d, count(CASE WHEN bad THEN 1 END) AS e, count(*) AS n FROM o GROUP BY 1)
 SELECT CAST(week AS VARCHAR) AS week, u AS reactivated_users, round(a/u, 4) AS d7_retention, round(b/u, 4) AS d7_conversion, round(c/u, 4) AS d7_arpi, round(d/u, 4) AS repeat_share, round(e/n, 4) AS suspicious_share, round((u - lag(u) OVER (ORDER BY week))/lag(u) OVER (ORDER BY week), 4) AS users_wow FROM g""", digits=4)
 def y14(t):
-    flags = t.events.select("user_id").distinct().withColumn("suspicious", F.col("user_id") % 20 == 0)
+    flags = sparse_days(t).select("user_id").distinct().withColumn("suspicious", F.col("user_id") % 20 == 0)
     return C.weekly_scorecard(sparse_days(t), flags, AS_OF, 2, 5, repeat=2)
 
 

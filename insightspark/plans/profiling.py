@@ -182,13 +182,13 @@ def i9(t):
 
 
 @query("i10_temporal_patterns", """
-WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 480000), b AS (SELECT min(day) AS a, max(day) AS z FROM d),
+WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), b AS (SELECT min(day) AS a, max(day) AS z FROM d),
 m AS (SELECT day FROM (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM b) ANTI JOIN d USING (day)),
 g AS (SELECT day - CAST(row_number() OVER (ORDER BY day) AS INT) AS k, count(*) AS c FROM (SELECT day FROM m) GROUP BY day)
 SELECT CAST(a AS VARCHAR) AS first_day, CAST(z AS VARCHAR) AS last_day, (SELECT count(*) FROM d) AS actual, z - a + 1 AS expected,
  round(100.0 * (SELECT count(*) FROM d) / (z - a + 1), 2) AS coverage_pct, (SELECT count(DISTINCT k) FROM g) AS n_gaps, (SELECT count(*) FROM m) AS missing_days FROM b""")
 def i10(t):
-    out = P.temporal_patterns(t.orders.where("o_totalprice > 480000"), "o_orderdate")
+    out = P.temporal_patterns(t.orders, "o_orderdate")
     return out.withColumn("expected", F.col("expected").cast("long"))
 
 

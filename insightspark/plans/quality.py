@@ -29,14 +29,15 @@ def sev(cond, bad="WARNING"):
 
 # -- L structural ----------------------------------------------------------
 
-@query("l1_schema", " UNION ALL ".join([
+@query("l1_schema", "SELECT *, (SELECT count(*) FROM orders) AS n_rows FROM (" + " UNION ALL ".join([
     chk("schema", c, "true", "'PASS'", expected="'present'") for c in ("o_orderkey", "o_custkey")] + [
     chk("schema", "o_channel", "false", "'BLOCKER'", expected="'present'", detail="'missing'"),
     chk("schema_type", "o_orderdate", "true", "'PASS'", expected="'datetime'", detail="'datetime'"),
     chk("schema_type", "o_custkey", "false", "'WARNING'", expected="'string'", detail="'numeric'")] + [
-    chk("schema_extra", c, "true", "'PASS'", detail="'extra column'") for c in ("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]))
+    chk("schema_extra", c, "true", "'PASS'", detail="'extra column'") for c in ("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]) + ")")
 def l1(t):
-    return S.schema_check(t.orders, ["o_orderkey", "o_custkey", "o_channel"], {"o_orderdate": "datetime", "o_custkey": "string"})
+    checks = S.schema_check(t.orders, ["o_orderkey", "o_custkey", "o_channel"], {"o_orderdate": "datetime", "o_custkey": "string"})
+    return checks.withColumn("n_rows", t.orders.agg(F.count(F.lit(1))).scalar())
 
 
 _PK = "FROM (SELECT count(CASE WHEN l_orderkey IS NULL OR l_linenumber IS NULL THEN 1 END) AS nulls, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS dups FROM lineitem)"
@@ -65,7 +66,7 @@ def l3(t):
     return S.completeness(holed_orders(t), ["o_orderkey", "o_custkey", "o_totalprice", "o_channel"])
 
 
-_DR = "FROM (SELECT min(d) AS a, max(d) AS b, max(g) AS worst, count(CASE WHEN g > 7 THEN 1 END) AS k FROM (SELECT d, d - lag(d) OVER (ORDER BY d) AS g FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 480000)))"
+_DR = "FROM (SELECT min(d) AS a, max(d) AS b, max(g) AS worst, count(CASE WHEN g > 7 THEN 1 END) AS k FROM (SELECT d, d - lag(d) OVER (ORDER BY d) AS g FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)))"
 
 
 @query("l4_date_range", " UNION ALL ".join([
@@ -73,7 +74,7 @@ _DR = "FROM (SELECT min(d) AS a, max(d) AS b, max(g) AS worst, count(CASE WHEN g
     chk("date_end", "o_orderdate", "b = DATE '2001-12-31'", sev("b = DATE '2001-12-31'"), expected="'2001-12-31'", detail="b", source=_DR),
     chk("date_gaps", "o_orderdate", "k = 0", sev("k = 0"), "k", "'7'", "worst", source=_DR)]))
 def l4(t):
-    return S.date_range(t.orders.where("o_totalprice > 480000"), "o_orderdate", "1995-01-01", "2001-12-31", 7)
+    return S.date_range(t.orders, "o_orderdate", "1995-01-01", "2001-12-31", 7)
 
 
 @query("l5_referential_integrity", chk(
@@ -200,7 +201,7 @@ def m10(t):
     return L.trend_continuity(daily(t), "day", "revenue", 0.2)
 
 
-_M11 = """WITH r AS (SELECT CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS v FROM orders WHERE o_totalprice > 495000),
+_M11 = """WITH r AS (SELECT CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS v FROM orders),
 p AS (SELECT d, count(*) AS n, count(CASE WHEN v IS NULL OR v = 0 THEN 1 END) AS z FROM r GROUP BY 1), e AS (SELECT min(d) AS a, max(d) AS b FROM p),
 k AS (SELECT max(b - a + 1) AS expected, max(b - a + 1) - count(*) AS miss, count(CASE WHEN n > 1 THEN 1 END) AS dups, coalesce(sum(CASE WHEN d <> a AND d <> b THEN z END), 0) AS zeros FROM p, e),
 s AS (SELECT *, CASE WHEN dups > 0 OR (miss + dups + zeros)/expected > 0.1 THEN 'BLOCKER' WHEN miss + dups + zeros > 0 THEN 'WARNING' ELSE 'PASS' END AS sv FROM k) """
@@ -209,7 +210,7 @@ s AS (SELECT *, CASE WHEN dups > 0 OR (miss + dups + zeros)/expected > 0.1 THEN
 @query("m11_temporal_consistency", _M11 + " UNION ALL ".join(
     chk(f"temporal_{n}", "o_orderdate", "sv = 'PASS'", "sv", c, "'0'", source="FROM s") for n, c in (("missing", "miss"), ("duplicates", "dups"), ("zeros", "zeros"))))
 def m11(t):
-    df = t.orders.where("o_totalprice > 495000").withColumn("v", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
+    df = t.orders.withColumn("v", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
     return L.temporal_consistency(df, "o_orderdate", "v")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from insightspark.plans.registry import query
@@ -39,16 +42,25 @@ def a2(t):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
-@query("a4_list_tables", """
-SELECT table_name FROM (VALUES ('benchmark'), ('conversations'), ('customer'), ('documents'), ('embeddings'),
-('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) v(table_name)""")
+TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@query("a4_list_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES))
 def a4(t):
-    return S.list_tables(t.spark, t.folder)
+    found = S.list_tables(t.spark, t.folder)
+    sizes = [getattr(t, n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n in S.table_names(t.spark, t.folder)]
+    return found.join(reduce(DataFrame.unionByName, sizes), "table_name")
+
+
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-@query("a5_describe")
+@query("a5_describe", " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS position, '{c}' AS column_name, count({c}) AS filled FROM lineitem" for i, c in enumerate(LINEITEM)))
 def a5(t):
-    return S.describe(t.lineitem)
+    """The schema and, from the table, how many values of each column are filled."""
+    names = t.lineitem.columns
+    filled = t.lineitem.agg(*[F.count(c).alias(c) for c in names]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in names])))
+    return S.describe(t.lineitem).join(filled, "column_name").select("position", "column_name", "filled")
 
 
 @query("a6_source_fallback", """

@@ -35,8 +35,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local mode) a folder of our own is
-    made and set.
+    Only in local mode, where the session names none, a folder of our own is made
+    and set; on a cluster executors could not see it, so that is an error. Files
+    below the folder belong to the session that wrote them: whoever owns the folder
+    clears it when the session is over.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -46,6 +48,8 @@ def shared_root(spark: SparkSession) -> str:
     jsc_dir = spark.sparkContext.getCheckpointDir()
     if jsc_dir:
         return jsc_dir
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="insightspark-")
     spark.sparkContext.setCheckpointDir(root)
     return root
