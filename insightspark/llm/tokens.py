@@ -1,23 +1,33 @@
 """Encoding by public tokenizers, piece by piece, with each piece encoded once per worker.
 
-Both tokenizers cut a text before they merge: no token spans a blank between two words. So a text is split at
-blanks where that is provably safe, every distinct piece is encoded by the library once, and the ids of the text are
-the ids of its pieces in order. The cache has two bounded generations, the older of which is dropped when the newer
-is full; long pieces are never cached.
+Both tokenizers cut a text before they merge: no token spans a blank between two words. So texts are split at blanks
+where that is provably safe, the distinct pieces of a batch are encoded by the library, and the ids of a text are the
+ids of its pieces in order. Known pieces are kept in two bounded generations, the older of which is dropped when the
+newer is full; long pieces are never kept.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces of one of the two generations that are kept (about 200 bytes each).
-CACHE_PIECES = 400_000
-CACHED_CHARS = 64
+#: Pieces of one of the two generations that are kept (about 200 bytes each), the longest of them, and texts split at once.
+CACHE_PIECES, CACHED_CHARS, TEXTS = 400_000, 64, 2048
 END = "<|endoftext|>"
-_AFTER_SPACE = re.compile(r"\s ")
+#: How the byte-level vocabulary writes a blank.
+_BLANK = "\u0120"
 _SAFE_BLANK = re.compile(r"(?<!\s) ")
+_BARE = "\x00"
+#: Texts cut by the slow way: those that hold a special string or the sign above and, where a blank counts, a blank after
+#: any character that some tokenizer or Python takes for white space.
+_ODD = r"<\||\x00"
+_ODD_SPACED = _ODD + r"|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: A comma or full stop between a letter and a blank (or the end) is always a word of its own.
+_MARKED = r"([A-Za-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,])( |$)"
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -33,17 +43,13 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        parts = _SAFE_BLANK.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if text[:1] != " " else [" " + p for p in parts[1:]]
-
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _encode_many(self, pieces: list[str]) -> list[bytes]:
-        """Short pieces without special strings: many to a call, parted by a special token, which the library cuts out first."""
+        """Short pieces: many to a call, parted by a special token, which the library cuts out first."""
+        if any("<|" in p for p in pieces):
+            return self._encode(pieces)
         groups = [pieces[at: at + 64] for at in range(0, len(pieces), 64)]
         out: list[bytes] = []
         for e in self.tokenizer.encode_batch_fast([END.join(g) for g in groups], add_special_tokens=False):
@@ -53,34 +59,73 @@ class Encoder:
             out += [data[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)], strict=True)]
         return out
 
-    def learn(self, texts: list[list[str]]) -> None:
-        known = self.known
-        fresh = {p for pieces in texts for p in pieces if p not in known}
-        if len(known) + len(fresh) > CACHE_PIECES:
-            self.older, self.known = known, {}
-            known, fresh = self.known, {p for pieces in texts for p in pieces}
-        older = self.older
-        known.update((p, older[p]) for p in fresh if p in older)
-        new = [p for p in fresh if p not in known and len(p) <= CACHED_CHARS]
-        plain = [p for p in new if "<|" not in p]
-        known.update(zip(plain, self._encode_many(plain), strict=True))
-        odd = [p for p in new if "<|" in p]
-        known.update(zip(odd, self._encode(odd), strict=True))
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Letters of ASCII stand for themselves as bytes and are one word, so the model takes them as they are; the rest goes through the library's whole path."""
+        tokenize, out, rest = self.tokenizer.model.tokenize, {}, []
+        for piece in pieces:
+            word = piece[1:] if self.spaced and piece[:1] == " " else piece
+            if word.isascii() and word.isalpha() and (self.spaced or word.islower()):
+                out[piece] = array("I", [t.id for t in tokenize(_BLANK + word if word is not piece else word)]).tobytes()
+            else:
+                rest.append(piece)
+        out.update(zip(rest, self._encode_many(rest), strict=True))
+        return list(map(out.__getitem__, pieces))
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        got = list(map(self.known.get, pieces))
+        gaps = [i for i, x in enumerate(got) if x is None]
+        if len(self.known) + len(gaps) > CACHE_PIECES:
+            self.older, self.known = self.known, {}
+        older = self.older.get
+        for i in gaps:
+            got[i] = older(pieces[i])
+        new = [i for i in gaps if got[i] is None]
+        for i, ids in zip(new, self._new([pieces[i] for i in new]), strict=True):
+            got[i] = ids
+        self.known.update((pieces[i], got[i]) for i in gaps if len(pieces[i]) <= CACHED_CHARS)
+        return got
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for at in range(0, len(texts), 64):
-            split = [self.pieces(t) for t in texts[at: at + 64]]
-            self.learn(split)
-            known = self.known
-            for pieces in split:
-                try:
-                    out.append(b"".join([known[p] for p in pieces]))
-                except KeyError:
-                    out.append(b"".join([known[p] if p in known else self._encode([p])[0] for p in pieces]))
+        return [x for at in range(0, len(texts), TEXTS) for x in self._some(texts[at: at + TEXTS])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _ODD_SPACED if self.spaced else _ODD)
+        column = pc.if_else(odd, pa.scalar("", pa.large_string()), column)
+        if not self.spaced:
+            column = pc.ascii_lower(pc.replace_substring(column, "\n", " "))
+        split = pc.split_pattern(pc.replace_substring_regex(column, _MARKED, r"\1 " + (_BARE if self.spaced else "") + r"\2\3"), " ")
+        starts = split.offsets.to_numpy()
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        if self.spaced:  # the first piece of a text and a mark have no blank before them
+            table = self.of_pieces([p[1:] if p[:1] == _BARE else " " + p for p in pieces])
+            first = flat.take(pa.array(starts[:-1])).to_pylist()
+            at[starts[:-1]] = len(pieces) + np.arange(len(texts))
+            table += self._each(first)
+        else:
+            table = self.of_pieces(pieces)
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begins = np.cumsum(lengths) - lengths
+        each = lengths[at]
+        ends = np.cumsum(each)
+        known = np.frombuffer(b"".join(table), "<u4")
+        data = known[np.repeat(begins[at] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        cuts = (np.concatenate([[0], ends])[starts] * 4).tolist()
+        out = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.nonzero(odd.to_numpy(zero_copy_only=False))[0].tolist():
+            parts = _SAFE_BLANK.split(texts[i])
+            out[i] = b"".join(self._each([parts[0], *[" " + p for p in parts[1:]]] if self.spaced else parts))
         return out
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        names = list(dict.fromkeys(pieces))
+        return list(map(dict(zip(names, self.of_pieces(names), strict=True)).__getitem__, pieces))
+
 
 def encoder(path: str, spaced: bool) -> Encoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
