@@ -120,19 +120,24 @@ def matched_strata(df: DataFrame, strata: list[str], arm: str, metric: str, trea
 
 
 def propensity_strata(df: DataFrame, covariates: list[str], arm: str, metric: str, treated, control, buckets: int = 5) -> DataFrame:
-    """Logistic propensity score cut into equal-width buckets, then compared per bucket."""
+    """Logistic propensity score cut into equal-width buckets, then compared per bucket.
+
+    Rows with a NULL covariate have no score; they are the bucket -1.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     d = df.where(F.col(arm).isin([treated, control])).withColumn("label", F.when(F.col(arm) == treated, 1.0).otherwise(0.0))
-    vec = VectorAssembler(inputCols=covariates, outputCol="features", handleInvalid="skip").transform(d)
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in covariates])
+    vec = VectorAssembler(inputCols=covariates, outputCol="features").transform(d.where(whole))
     scored = LogisticRegression(maxIter=25, regParam=0.01).fit(vec).transform(vec)
     p = scored.withColumn("score", vector_to_array("probability")[1])
     lo = p.agg(F.struct(F.min("score").alias("a"), F.max("score").alias("b"))).scalar()
     p = p.withColumn("_e", lo)
     width = (F.col("_e.b") - F.col("_e.a")) / buckets
-    p = p.withColumn("bucket", F.when(width > 0, F.least(F.floor((F.col("score") - F.col("_e.a")) / width), F.lit(buckets - 1))).otherwise(0))
+    p = p.withColumn("bucket", F.when(width > 0, F.least(F.floor((F.col("score") - F.col("_e.a")) / width), F.lit(buckets - 1))).otherwise(0)).select("bucket", "label", metric)
+    p = p.unionByName(d.where(~F.coalesce(whole, F.lit(False))).select(F.lit(-1).cast("long").alias("bucket"), "label", metric))
     return p.groupBy("bucket").agg(F.count_if(F.col("label") == 1).alias("n_treated"), F.count_if(F.col("label") == 0).alias("n_control"),
                                    (F.avg(F.when(F.col("label") == 1, F.col(metric))) - F.avg(F.when(F.col("label") == 0, F.col(metric)))).alias("diff"))
 

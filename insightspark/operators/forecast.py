@@ -76,23 +76,24 @@ def exponential_smoothing(df: DataFrame, keys: list[str], order: str, value: str
                           period: int | None = None, mode: str = "one_step") -> DataFrame:
     """Fitted value and residual per point, with the alpha used; alpha is searched when not given.
 
-    Seasonal smoothing needs two full cycles; shorter series give no rows.
+    Seasonal smoothing needs two full cycles; the points of shorter series have no fit and say so in ``reason``. A series
+    without keys is one group, bounded by its number of periods.
     """
     if period and beta is None:
         beta = 0.1
     fields = [df.schema[k] for k in keys] + [df.schema[order]]
-    schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in ("value", "fitted", "residual", "alpha")]])
+    schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in ("value", "fitted", "residual", "alpha")], T.StructField("reason", T.StringType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         y = pd.to_numeric(pdf["_v"]).ffill()
         pdf, y = pdf[y.notna()], y[y.notna()].to_numpy(dtype=float)
         if len(y) == 0 or (period and len(y) < 2 * period):
-            return pdf[[*keys, order]].iloc[:0].assign(value=np.zeros(0), fitted=np.zeros(0), residual=np.zeros(0), alpha=np.zeros(0))
+            return pdf[[*keys, order]].assign(value=y, fitted=np.nan, residual=np.nan, alpha=np.nan, reason="shorter than two cycles" if len(y) else "no values").replace({np.nan: None})
         a = best_alpha(y, beta, period, mode) if alpha is None else alpha
         fitted = smooth(y, a, beta, period, mode)[0]
         out = pdf[[*keys, order]].copy()
-        out["value"], out["fitted"], out["residual"], out["alpha"] = y, fitted, y - fitted, a
+        out["value"], out["fitted"], out["residual"], out["alpha"], out["reason"] = y, fitted, y - fitted, a, None
         return out
 
     src = df.select(*keys, order, F.col(value).cast("double").alias("_v"))

@@ -125,7 +125,7 @@ def safe(check):
             out.schema
             return out
         except Exception as exc:  # noqa: BLE001
-            text = f"{type(exc).__name__}: {str(exc).splitlines()[0][:200]}"
+            text = f"{type(exc).__name__}: {exc}"
             return static_rows(df.sparkSession, [(check.__name__, "*", False, "ERROR", None, None, text)])
     return wrapped
 

@@ -153,10 +153,11 @@ def theme(findings: DataFrame) -> DataFrame:
 
 def theme_groups(scored: DataFrame, key: str) -> DataFrame:
     """Themes with size, actionable count and their best finding."""
-    best = F.max_by(F.struct(F.col(key), F.col("description")), F.struct(F.col("score"), F.struct(-F.col(key))))
-    return theme(scored).groupBy("theme").agg(
-        N().alias("n_findings"), F.count_if("actionable").alias("n_actionable"), F.max("score").alias("max_score"), best.alias("_b")).select(
-        "theme", "n_findings", "n_actionable", "max_score", F.col(f"_b.{key}").alias("top_id"))
+    top = F.max("score").alias("max_score")
+    sized = theme(scored)
+    groups = sized.groupBy("theme").agg(N().alias("n_findings"), F.count_if("actionable").alias("n_actionable"), top)
+    best = sized.join(groups.select("theme", "max_score"), "theme").where(F.col("score") == F.col("max_score")).groupBy("theme").agg(F.min(key).alias("top_id"))
+    return groups.join(best, "theme").select("theme", "n_findings", "n_actionable", "max_score", "top_id")
 
 
 def contradictions(findings: DataFrame, key: str) -> DataFrame:
@@ -210,10 +211,43 @@ def meta_patterns(scored: DataFrame) -> DataFrame:
     return words.unionByName(direction).unionByName(clusters)
 
 
-def insight_scan(df: DataFrame, dims: list[str], metrics: dict, period: str) -> DataFrame:
+#: The steps to a two-sided p-value of Welch's test, as SQL over {m1} {m0} (means), {v1} {v0} (variances), {n1} {n0} (counts).
+#: The t value is turned into a normal deviate by its degrees of freedom and the tail taken from a five-term polynomial
+#: (error below 1e-7). NULL below two rows on a side.
+WELCH_STEPS = [
+    ("a", "{v1} / nullif({n1}, 0)"), ("b", "{v0} / nullif({n0}, 0)"), ("t", "abs({m1} - {m0}) / sqrt(nullif({a} + {b}, 0))"),
+    ("dof", "({a} + {b}) * ({a} + {b}) / nullif({a} * {a} / nullif({n1} - 1, 0) + {b} * {b} / nullif({n0} - 1, 0), 0)"),
+    ("z", "least({t} * (1 - 1 / (4 * {dof})) / sqrt(1 + {t} * {t} / (2 * {dof})), 37.0)"), ("k", "1 / (1 + 0.2316419 * {z})"),
+    ("p", "CASE WHEN {a} + {b} = 0 THEN CASE WHEN {m1} = {m0} THEN 1.0 ELSE 0.0 END ELSE least(1.0, 2 * 0.3989422804014327 * exp(-{z} * {z} / 2) * {k}"
+          " * (0.319381530 + {k} * (-0.356563782 + {k} * (1.781477937 + {k} * (-1.821255978 + {k} * 1.330274429))))) END"),
+]
+
+
+def with_welch_p(df: DataFrame, out: str, **names: str) -> DataFrame:
+    """Add ``out``, the two-sided p-value of Welch's test; every step is a column of its own, so none is spelt out twice."""
+    seen = {k: f"`{v}`" for k, v in names.items()}
+    for step, text in WELCH_STEPS:
+        column = out if step == "p" else f"_{out}_{step}"
+        df = df.withColumn(column, F.expr(text.format(**seen)).cast("double"))
+        seen[step] = f"`{column}`"
+    return df.drop(*[f"_{out}_{step}" for step, _ in WELCH_STEPS if step != "p"])
+
+
+def welch_p_sql(source: str, **names: str) -> str:
+    """A SELECT over ``source`` that adds ``p_value`` by the same steps."""
+    sql, seen = source, dict(names)
+    for step, text in WELCH_STEPS:
+        column = "p_value" if step == "p" else f"w_{step}"
+        sql = f"SELECT *, {text.format(**seen)} AS {column} FROM ({sql})"
+        seen[step] = column
+    return sql
+
+
+def insight_scan(df: DataFrame, dims: list[str], metrics: dict, period: str, topics: dict | None = None) -> DataFrame:
     """Findings from every (dimension, value, metric): current against previous period.
 
-    ``metrics`` maps a name to a numeric column; one scan for all of them.
+    ``metrics`` maps a name to a numeric column; one scan for all of them. ``topics`` may map a metric to the category
+    of its findings. Confidence is one minus the p-value of Welch's test between the two periods (0 where there is none).
     """
     now = F.col(period) == "curr"
     long = df.select(F.col(period), *[F.col(c).alias(f"_{m}") for m, c in metrics.items()], F.inline(F.array(*[
@@ -221,17 +255,22 @@ def insight_scan(df: DataFrame, dims: list[str], metrics: dict, period: str) ->
     aggs = [F.count_if(now).alias("n_curr"), F.count_if(~now).alias("n_prev")]
     for m in metrics:
         aggs += [F.avg(F.when(now, F.col(f"_{m}"))).alias(f"c_{m}"), F.avg(F.when(~now, F.col(f"_{m}"))).alias(f"p_{m}")]
+        aggs += [F.var_samp(F.when(now, F.col(f"_{m}"))).alias(f"cv_{m}"), F.var_samp(F.when(~now, F.col(f"_{m}"))).alias(f"pv_{m}")]
+        aggs += [F.count(F.when(now, F.col(f"_{m}"))).alias(f"cn_{m}"), F.count(F.when(~now, F.col(f"_{m}"))).alias(f"pn_{m}")]
     g = long.where("segment IS NOT NULL").groupBy("dimension", "segment").agg(*aggs)
     total = df.agg(F.count_if(now)).scalar()
     g = g.withColumn("affected_pct", ratio("n_curr", total))
+    for m in metrics:
+        g = with_welch_p(g, f"pp_{m}", m1=f"c_{m}", m0=f"p_{m}", v1=f"cv_{m}", v0=f"pv_{m}", n1=f"cn_{m}", n0=f"pn_{m}")
     rows = g.select("dimension", "segment", "n_curr", "affected_pct", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric_name"), F.col(f"c_{m}").alias("metric_value"), F.col(f"p_{m}").alias("baseline_value")) for m in metrics])))
+        F.struct(F.lit(m).alias("metric_name"), F.col(f"c_{m}").alias("metric_value"), F.col(f"p_{m}").alias("baseline_value"),
+                 F.col(f"pp_{m}").alias("p_value"), F.lit((topics or {}).get(m, "")).alias("category")) for m in metrics])))
     change = ratio(F.col("metric_value") - F.col("baseline_value"), F.abs("baseline_value"))
     return rows.where("metric_value IS NOT NULL AND baseline_value IS NOT NULL").select(
         F.concat_ws("|", "dimension", "segment", "metric_name").alias("finding_id"), "dimension", "segment", "metric_name", "metric_value", "baseline_value", "affected_pct",
-        (F.abs(change) > 0.20).alias("actionable"), F.least(F.lit(1.0), F.col("n_curr") / 1000.0).alias("confidence"), (F.col("n_curr") < 100).alias("small_sample"),
-        F.when(change > 0, "up").when(change < 0, "down").otherwise("").alias("direction"), F.lit(None).cast("double").alias("p_value"), F.abs(change).alias("effect_size"),
-        F.lit("").alias("category"), F.concat_ws(" ", F.lit("segment"), "segment", F.lit("of"), "dimension", F.lit("moved on"), "metric_name").alias("description"))
+        (F.abs(change) > 0.20).alias("actionable"), F.coalesce(1 - F.col("p_value"), F.lit(0.0)).alias("confidence"), (F.col("n_curr") < 100).alias("small_sample"),
+        F.when(change > 0, "up").when(change < 0, "down").otherwise("").alias("direction"), F.col("p_value"), F.abs(change).alias("effect_size"),
+        F.col("category"), F.concat_ws(" ", F.lit("segment"), "segment", F.lit("of"), "dimension", F.lit("moved on"), "metric_name").alias("description"))
 
 
 def scorecard_status(df: DataFrame, value: str, benchmark: str) -> DataFrame:

@@ -78,20 +78,25 @@ _METRICS = {"aov": "o_totalprice", "status_f": "is_f"}
 
 
 def findings(t):
-    df = oc(t).where("o_orderdate >= '1996-06-01' AND o_orderdate < '1999-06-01'").withColumn("is_f", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
-    return S.insight_scan(df, _DIMS, _METRICS, "period")
+    df = oc(t).withColumn("is_f", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
+    return S.insight_scan(df, _DIMS, _METRICS, "period", {"aov": "revenue", "status_f": "fulfilment"})
 
 
-_FINDINGS = f"""WITH {_OC}, b AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_f FROM oc WHERE o_orderdate >= DATE '1996-06-01' AND o_orderdate < DATE '1999-06-01'),
+_SIDES = """SELECT dimension, segment, n_curr, n_prev, 'aov' AS metric_name, c1 AS metric_value, p1 AS baseline_value, v1, w1 AS v0, 'Revenue' AS theme FROM g
+ UNION ALL SELECT dimension, segment, n_curr, n_prev, 'status_f', c2, p2, v2, w2, 'Fulfilment' FROM g"""
+
+_FINDINGS = f"""WITH {_OC}, b AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_f FROM oc),
 l AS ({" UNION ALL ".join(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS segment, period, o_totalprice, is_f FROM b" for d in _DIMS)}),
 g AS (SELECT dimension, segment, count(CASE WHEN period='curr' THEN 1 END) AS n_curr, avg(CASE WHEN period='curr' THEN o_totalprice END) AS c1, avg(CASE WHEN period='prev' THEN o_totalprice END) AS p1,
- avg(CASE WHEN period='curr' THEN is_f END) AS c2, avg(CASE WHEN period='prev' THEN is_f END) AS p2 FROM l GROUP BY 1, 2),
-r AS (SELECT dimension, segment, n_curr, 'aov' AS metric_name, c1 AS metric_value, p1 AS baseline_value FROM g UNION ALL SELECT dimension, segment, n_curr, 'status_f', c2, p2 FROM g),
-x AS (SELECT concat_ws('|', dimension, segment, metric_name) AS finding_id, *, n_curr / (SELECT count(*) FROM b WHERE period='curr') AS affected_pct, (metric_value - baseline_value)/nullif(abs(baseline_value), 0) AS ch FROM r WHERE metric_value IS NOT NULL AND baseline_value IS NOT NULL),
-y AS (SELECT *, abs(ch) > 0.2 AS actionable, least(1.0, n_curr/1000) AS confidence, CASE WHEN ch > 0 THEN 'up' WHEN ch < 0 THEN 'down' ELSE '' END AS direction FROM x),
+ avg(CASE WHEN period='curr' THEN is_f END) AS c2, avg(CASE WHEN period='prev' THEN is_f END) AS p2,
+ var_samp(CASE WHEN period='curr' THEN o_totalprice END) AS v1, var_samp(CASE WHEN period='prev' THEN o_totalprice END) AS w1, var_samp(CASE WHEN period='curr' THEN is_f END) AS v2, var_samp(CASE WHEN period='prev' THEN is_f END) AS w2,
+ count(CASE WHEN period='prev' THEN 1 END) AS n_prev FROM l GROUP BY 1, 2),
+r AS ({S.welch_p_sql(_SIDES, m1='metric_value', m0='baseline_value', v1='v1', v0='v0', n1='n_curr', n0='n_prev')}),
+ x AS (SELECT concat_ws('|', dimension, segment, metric_name) AS finding_id, *, n_curr / (SELECT count(*) FROM b WHERE period='curr') AS affected_pct, (metric_value - baseline_value)/nullif(abs(baseline_value), 0) AS ch FROM r WHERE metric_value IS NOT NULL AND baseline_value IS NOT NULL),
+y AS (SELECT *, abs(ch) > 0.2 AS actionable, coalesce(1 - p_value, 0) AS confidence, CASE WHEN ch > 0 THEN 'up' WHEN ch < 0 THEN 'down' ELSE '' END AS direction FROM x),
 s AS (SELECT *, CASE WHEN baseline_value = 0 THEN CASE WHEN metric_value <> 0 THEN 15 ELSE 5 END WHEN abs(ch) > 0.5 THEN 25 WHEN abs(ch) > 0.2 THEN 20 WHEN abs(ch) > 0.1 THEN 15 WHEN abs(ch) > 0.05 THEN 10 ELSE 5 END AS magnitude,
  CASE WHEN affected_pct > 0.5 THEN 25 WHEN affected_pct > 0.3 THEN 20 WHEN affected_pct > 0.1 THEN 15 WHEN affected_pct > 0.05 THEN 10 ELSE 5 END AS breadth,
- CASE WHEN actionable THEN 25 WHEN coalesce(abs(ch) > 0.5, false) THEN 10 ELSE 5 END AS actionability, CAST(round_even(25 * confidence, 0) AS INT) AS confidence_points FROM y),
+ CASE WHEN actionable THEN 25 WHEN coalesce(abs(ch) > 0.5, false) THEN 10 ELSE 5 END AS actionability, least(25, CAST(round_even(25 * confidence, 0) AS INT) + CASE WHEN p_value < 0.05 THEN 5 ELSE 0 END) AS confidence_points FROM y),
 t AS (SELECT *, magnitude + breadth + actionability + confidence_points AS score FROM s)"""
 
 
@@ -101,10 +106,9 @@ def v3(t):
     return ranked.select("finding_id", "magnitude", "breadth", "actionability", "confidence_points", "score", "rank")
 
 
-@query("v4_theme_group", _FINDINGS + " SELECT 'Segment' AS theme, count(*) AS n_findings, count(CASE WHEN actionable THEN 1 END) AS n_actionable, max(score) AS max_score FROM t HAVING count(*) > 0")
+@query("v4_theme_group", _FINDINGS + " SELECT theme, count(*) AS n_findings, count(CASE WHEN actionable THEN 1 END) AS n_actionable, max(score) AS max_score, max_by(finding_id, (score, -CAST(rn AS BIGINT))) AS top_finding FROM (SELECT *, row_number() OVER (ORDER BY finding_id) AS rn FROM t) GROUP BY 1")
 def v4(t):
-    scored = S.score_findings(findings(t)).withColumn("finding_no", F.xxhash64("finding_id"))
-    return S.theme_groups(scored, "finding_no").drop("top_id")
+    return S.theme_groups(S.score_findings(findings(t)), "finding_id").withColumnRenamed("top_id", "top_finding")
 
 
 @query("v5_contradictions", _FINDINGS + """, f AS (SELECT *, metric_name AS m FROM t WHERE direction <> ''),
@@ -122,9 +126,9 @@ def v6(t):
 
 
 @query("v7_meta_patterns", _FINDINGS + """, d AS (SELECT count(CASE WHEN direction='up' THEN 1 END) AS u, count(CASE WHEN direction='down' THEN 1 END) AS w, count(*) AS n FROM t WHERE direction <> ''),
-h AS (SELECT count(*) AS n FROM t WHERE score >= 60)
+h AS (SELECT theme, count(*) AS n FROM t WHERE score >= 60 GROUP BY 1)
 SELECT 'direction' AS pattern, CASE WHEN u = n AND n >= 2 THEN 'all up' WHEN w = n AND n >= 2 THEN 'all down' ELSE 'mixed' END AS subject, n FROM d WHERE (u = n AND n >= 2) OR (w = n AND n >= 2) OR (u >= 2 AND w >= 2)
-UNION ALL SELECT 'theme_cluster', 'Segment', n FROM h WHERE n >= 2
+UNION ALL SELECT 'theme_cluster', theme, n FROM h WHERE n >= 2
 UNION ALL SELECT 'dimension_word', 'mobile', count(*) FROM t WHERE lower(segment) LIKE '%mobile%' HAVING count(*) >= 2""")
 def v7(t):
     return S.meta_patterns(S.score_findings(findings(t)))

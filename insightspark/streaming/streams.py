@@ -18,6 +18,7 @@ from insightspark.session import work_path
 from insightspark.sources.tables import is_file
 
 N = lambda: F.count(F.lit(1))
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str | None = "ts", **options) -> DataFrame:
@@ -49,8 +50,10 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", out: str
 def run_batches(stream: DataFrame, label: str, fn, mode: str = "update"):
     """Run ``fn(batch, batch_id)`` per micro-batch until the source is drained; returns the finished query."""
     spark = stream.sparkSession
+    spark.conf.set(PROGRESS, 2**31 - 1)  # one small object for each micro-batch of the bounded run; the default forgets all but the last 100
     q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", work_path(spark, f"{label}-ckpt"))
          .outputMode(mode).trigger(availableNow=True).start())
+    spark.conf.unset(PROGRESS)
     q.awaitTermination()
     return q
 
@@ -100,22 +103,26 @@ def with_thresholds(events: DataFrame, thresholds: DataFrame, key: str, value: s
 def status_changes(statuses: DataFrame) -> DataFrame:
     """FIRED and RECOVERED notices from (alert, dim1, window_start, status) rows on a stream.
 
-    State is one word per (alert, dim1): low volume by construction, since the
-    input is one row per alert and window. Spark allows no such state behind a
+    State is the last window and its status per (alert, dim1): low volume by
+    construction, since the input is one row per alert and window. A window that is
+    not newer than the last one seen changes nothing. Spark allows no such state behind a
     streaming aggregate, so the windows come from the table another stream wrote.
     """
     out = T.StructType([T.StructField("alert", T.StringType()), T.StructField("dim1", T.StringType()), T.StructField("window_start", T.TimestampType()), T.StructField("notice", T.StringType())])
-    state = T.StructType([T.StructField("last", T.StringType())])
+    state = T.StructType([T.StructField("last", T.StringType()), T.StructField("at", T.LongType())])
 
     def step(key, frames, st: GroupState):
-        last = st.get[0] if st.exists else "PASS"
+        last, seen = st.get if st.exists else ("PASS", -(2**63))
         rows = pd.concat(list(frames)).sort_values("window_start")
         notes = []
         for at, status in zip(rows["window_start"], rows["status"]):
+            if at.value <= seen:
+                continue
+            seen = at.value
             if status != last:
                 notes.append((at, "FIRED" if status == "FAIL" else "RECOVERED"))
             last = status
-        st.update((last,))
+        st.update((last, seen))
         if notes:
             yield pd.DataFrame({"alert": key[0], "dim1": key[1], "window_start": [n[0] for n in notes], "notice": [n[1] for n in notes]})
 
@@ -156,15 +163,14 @@ def alert_stream(events: DataFrame, ts: str, dim: str, label: str, lower: float,
 
 
 def quality_stream(events: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """Row and NULL counts observed on every micro-batch, as check rows."""
+    """Row and NULL counts of every micro-batch, stored by batch id, as check rows; a replayed batch overwrites its own."""
+    spark, path = events.sparkSession, work_path(events.sparkSession, f"{label}-quality")
     obs = [N().alias("n")] + [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
-    watched = events.observe("quality", *obs)
-    q = run_batches(watched, label, lambda df, i: df.write.format("noop").mode("append").save(), "append")
-    rows = []
-    for p in q.recentProgress:
-        m = (p["observedMetrics"] or {}).get("quality")
-        if m is not None and p["numInputRows"]:
-            rows.append((int(p["batchId"]), int(m["n"]), *[int(m[f"null_{c}"]) for c in columns]))
-    seen = events.sparkSession.createDataFrame(rows, "batch_id long, n long, " + ", ".join(f"null_{c} long" for c in columns))
+
+    def store(batch: DataFrame, batch_id: int):
+        batch.agg(*obs).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+
+    run_batches(events, label, store, "append")
+    seen = spark.read.schema("n long, " + ", ".join(f"null_{c} long" for c in columns) + ", batch_id long").option("recursiveFileLookup", True).parquet(path).where("n > 0")
     checks = [check_row("stream_nulls", c, F.col(f"null_{c}") <= 0.2 * F.col("n"), F.when(F.col(f"null_{c}") > 0.2 * F.col("n"), "FLAG").otherwise("PASS"), F.col(f"null_{c}"), "0.2", F.col("n")) for c in columns]
     return emit(seen, [check_row("stream_rows", "*", F.col("n") > 0, F.when(F.col("n") > 0, "PASS").otherwise("HALT"), F.col("n"), ">0"), *checks], ("batch_id",))
