@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ CREDENTIAL_PATTERNS = {
     "Secret key in output": r"(secret[_-]?key|client[_-]?secret)\s*[:=]\s*\S+",
     "Token in output": r"(access[_-]?token|auth[_-]?token|bearer)\s*[:=]\s*\S{20,}",
 }
+# For each pattern, lower-case strings one of which every match holds.
+CREDENTIAL_GUARDS = {
+    "OAuth access token": ["ya29."], "OAuth refresh token": ["1//"], "JWT": ["eyj"], "AWS access key": ["akia"], "Private key": ["-----begin"], "Password in output": ["password", "passwd", "pwd"],
+    "API key in output": ["api"], "Secret key in output": ["secret"], "Token in output": ["token", "bearer"],
+}
 # Feedback categories and what they change in an analysis.
 FEEDBACK_PRIORITY = {
     "Methodological Flaw": "P1", "Missing Confound": "P1", "Reframe": "P2", "Missing Metric": "P2", "New Analysis Needed": "P3",
@@ -138,8 +144,13 @@ def entity_tagging(df: DataFrame, key: str, text: str, aliases: list[dict]) -> D
 
 
 def credential_scan(df: DataFrame, text: str, keys: list[str] = ()) -> DataFrame:
-    """Rows with a match per credential class, from one scan of the whole texts."""
-    hits = [F.count_if(F.col(text).rlike(f"(?i){p}")).alias(f"c{i}") for i, p in enumerate(CREDENTIAL_PATTERNS.values())]
+    """Rows with a match per credential class, from one scan of the whole texts.
+
+    A plain search for a string that every match holds comes before each regular expression.
+    """
+    low, df = F.col("_low"), df.withColumn("_low", F.lower(text))
+    guard = lambda n: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in CREDENTIAL_GUARDS[n]])
+    hits = [F.count_if(F.when(guard(n), F.col(text).rlike(f"(?i){p}")).otherwise(False)).alias(f"c{i}") for i, (n, p) in enumerate(CREDENTIAL_PATTERNS.items())]
     g = (df.groupBy(*keys) if keys else df.groupBy()).agg(*hits)
     return g.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(n).alias("pattern"), F.col(f"c{i}").alias("n")) for i, n in enumerate(CREDENTIAL_PATTERNS)])))

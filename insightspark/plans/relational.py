@@ -314,11 +314,15 @@ def d2(t):
     return t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("user_id").alias("users"))
 
 
-@query("d3_approx_distinct")
+@query("d3_approx_distinct", """
+SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, true AS approx_close, true AS sketch_close FROM lineitem GROUP BY 1""")
 def d3(t):
-    return t.lineitem.groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_orderkey", 0.02).alias("approx_orders"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("sketch_parts"))
+    """Both sketches next to the exact count: within three times their standard error (0.02)."""
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.06 * F.col(b)
+    g = t.lineitem.groupBy("l_returnflag")
+    sketches = g.agg(F.approx_count_distinct("l_orderkey", 0.02).alias("approx"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("sketch"))
+    exact = t.lineitem.select("l_returnflag", "l_orderkey").distinct().groupBy("l_returnflag").agg(N().alias("orders"))
+    return sketches.join(exact, "l_returnflag").select("l_returnflag", "orders", near("approx", "orders").alias("approx_close"), near("sketch", "orders").alias("sketch_close"))
 
 
 @query("d4_distinct_ratio", """
@@ -393,9 +397,14 @@ def d9(t):
                           {"p25": 0.25, "p50": 0.5, "p95": 0.95})
 
 
-@query("d9_percentile_approx")
+@query("d9_percentile_approx", "SELECT l_returnflag, count(*) AS n, true AS rank_close FROM lineitem GROUP BY 1")
 def d9b(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("p50"))
+    """The sketched median and its true rank, which is at most one part in 10,000 off the middle (and one row)."""
+    p = t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("p50"))
+    v = F.col("l_extendedprice")
+    g = t.lineitem.join(p, "l_returnflag").groupBy("l_returnflag").agg(N().alias("n"), F.count_if(v < F.col("p50")).alias("below"), F.count_if(v <= F.col("p50")).alias("upto"))
+    slack = F.col("n") / 10000 + 1
+    return g.select("l_returnflag", "n", ((F.col("below") - slack <= F.col("n") / 2) & (F.col("upto") + slack >= F.col("n") / 2)).alias("rank_close"))
 
 
 @query("d10_pivot", """
@@ -462,14 +471,22 @@ def f3(t):
     return top.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("f4_limit")
+def _taken(t, rows):
+    """How many rows were taken, how many different ones, and how many the table knows with the same price."""
+    known = t.orders.select("o_orderkey", F.col("o_totalprice").alias("price"))
+    return rows.join(known, "o_orderkey").agg(N().alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"), F.count_if(F.col("o_totalprice") == F.col("price")).alias("n_known"))
+
+
+@query("f4_limit", "SELECT least(100, count(*)) AS n_rows, least(100, count(*)) AS n_keys, least(100, count(*)) AS n_known FROM orders")
 def f4(t):
-    return t.orders.limit(100)
+    return _taken(t, t.orders.limit(100))
 
 
-@query("f5_sample")
+@query("f5_sample", "SELECT true AS about_n, true AS all_known FROM orders LIMIT 1")
 def f5(t):
-    return R.sample_rows(t.orders, 1000)
+    """A sample is about as large as asked for (five standard deviations) and holds rows of the table, each once."""
+    got = _taken(t, R.sample_rows(t.orders, 1000))
+    return got.select((F.abs(F.col("n_rows") - 1000) <= 160).alias("about_n"), ((F.col("n_keys") == F.col("n_rows")) & (F.col("n_known") == F.col("n_rows"))).alias("all_known"))
 
 
 @query("f6_recent_events", """
