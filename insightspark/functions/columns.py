@@ -66,3 +66,18 @@ def dates_between(start, end, unit="day") -> Column:
     step = {"hour": F.expr("INTERVAL 1 HOUR"), "day": F.expr("INTERVAL 1 DAY"),
             "week": F.expr("INTERVAL 7 DAYS"), "month": F.expr("INTERVAL 1 MONTH")}[unit]
     return F.sequence(as_col(start), as_col(end), step)
+
+
+def with_totals(df, keys, sums):
+    """Add totals over ``keys`` (output name -> column summed) to a table of groups.
+
+    For keys that name dimensions or columns: the totals are then a few rows, which
+    metadata bounds, so they are broadcast, and the values of one dimension need not meet
+    in one task as they would in a window.
+    """
+    named = {k: f"_t_{k}" for k in keys}
+    totals = df.groupBy(*[F.col(k).alias(t) for k, t in named.items()]).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    same = F.lit(True)
+    for k, t in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(t))
+    return df.join(F.broadcast(totals), same).drop(*named.values())

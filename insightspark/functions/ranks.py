@@ -31,12 +31,18 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def range_buckets(distinct: DataFrame, keys: list[str], value: str, splits: int = SPLITS) -> DataFrame:
+def split_count(df: DataFrame) -> int:
+    """Range buckets of a group: as many as the session's shuffle has partitions, ``SPLITS`` at least."""
+    return max(SPLITS, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def range_buckets(distinct: DataFrame, keys: list[str], value: str, splits: int | None = None) -> DataFrame:
     """Add ``_b``, the range bucket of ``value`` inside its group.
 
     ``distinct`` holds each (keys, value) once. Bounds are an array of at most
     ``splits`` numbers per group; equal values always share a bucket.
     """
+    splits = splits or split_count(distinct)
     probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     sketch = F.percentile_approx(F.col(value).cast("double"), probs, F.lit(max(1000, 4 * splits)))
     within = F.size(F.filter(F.col("_bounds"), lambda x: x < F.col(value).cast("double")))
@@ -50,7 +56,7 @@ def range_buckets(distinct: DataFrame, keys: list[str], value: str, splits: int
 
 
 def prefix_totals(distinct: DataFrame, keys: list[str], value: str, sums: dict[str, str],
-                  splits: int = SPLITS) -> DataFrame:
+                  splits: int | None = None) -> DataFrame:
     """Exclusive running totals over ascending ``value``.
 
     ``sums`` maps an output name to the column summed. Adds ``<name>`` (total of
@@ -103,7 +109,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], fe
     if weight is None:
         marks = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BRACKET, BRACKET)})
     else:
-        marks = [i / SPLITS for i in range(1, SPLITS)]
+        splits = split_count(df)
+        marks = [i / splits for i in range(1, splits)]
     bounds = _bracket_bounds(rows, keys, "_v", marks)
     with_bounds = rows.join(few(bounds, few_groups), keys) if keys else rows.withColumn("_bounds", bounds.scalar())
     cut = with_bounds.select(*keys, "_v", "_w", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))).alias("_b"))

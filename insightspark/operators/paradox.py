@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from insightspark.functions.columns import ratio
+from insightspark.functions.columns import ratio, with_totals
 from insightspark.functions.ranks import quantiles
 from insightspark.operators.profile import family
 
@@ -59,8 +59,8 @@ def simpsons(df: DataFrame, metric: str, segments: list[str], comparison: str, a
     Segments without rows on both sides are left out of the vote.
     """
     per = segment_directions(df, metric, segments, comparison, agg)
-    w = W.partitionBy("segment_column")
-    tot = {c: F.sum(c).over(w) for c in ("sum_a", "n_a", "sum_b", "n_b")}
+    per = with_totals(per, ["segment_column"], {f"_all_{c}": c for c in ("sum_a", "n_a", "sum_b", "n_b")})
+    tot = {c: F.col(f"_all_{c}") for c in ("sum_a", "n_a", "sum_b", "n_b")}
     a, b = (ratio(tot["sum_a"], tot["n_a"]), ratio(tot["sum_b"], tot["n_b"])) if agg == "mean" else (tot["sum_a"], tot["sum_b"])
     voted = per.withColumn("overall_a", a).withColumn("overall_b", b).withColumn("overall", _direction(F.col("overall_a"), F.col("overall_b")))
     counted = (F.col("n_a") > 0) & (F.col("n_b") > 0) & (F.col("direction") != "neutral") & (F.col("overall") != "neutral")

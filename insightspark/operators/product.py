@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from insightspark.functions.columns import clean, ratio
+from insightspark.functions.columns import clean, ratio, with_totals
 from insightspark.functions.ranks import quantiles_wide, running_by_time
 from insightspark.operators.windows import by_period
 
@@ -78,9 +78,8 @@ def segment_profile(df: DataFrame, dims: list[str], metric: str) -> DataFrame:
     """Size, share and mean of the metric per segment against the overall mean; ±20 % and small segments flagged."""
     long = df.select(clean(metric).alias("_v"), F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dims])))
     g = long.where("segment IS NOT NULL").groupBy("dimension", "segment").agg(N().alias("n"), F.sum("_v").alias("s"), F.count("_v").alias("c"))
-    w = W.partitionBy("dimension")
-    overall = ratio(F.sum("s").over(w), F.sum("c").over(w))
-    g = g.withColumn("share", ratio("n", F.sum("n").over(w))).withColumn("mean", ratio("s", "c")).withColumn("overall", overall)
+    g = with_totals(g, ["dimension"], {"_n": "n", "_s": "s", "_c": "c"})
+    g = g.withColumn("share", ratio("n", "_n")).withColumn("mean", ratio("s", "c")).withColumn("overall", ratio("_s", "_c")).drop("_n", "_s", "_c")
     g = g.withColumn("vs_average_pct", 100.0 * ratio(F.col("mean") - F.col("overall"), F.abs("overall")))
     return g.withColumn("flag", F.abs("vs_average_pct") > 20).withColumn("small", F.col("n") < 100).drop("s", "c")
 

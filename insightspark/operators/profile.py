@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from insightspark.functions.columns import as_col, clean, ratio
+from insightspark.functions.columns import as_col, clean, ratio, with_totals
 from insightspark.functions.ranks import few, quantiles_wide
 from insightspark.operators.windows import by_period, islands, missing_days
 
@@ -429,8 +429,8 @@ def dominant_values(df: DataFrame, cols: list[str], share: float = 0.5) -> DataF
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])))
     n = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy("column_name"))
-    return n.withColumn("share", ratio("n", total)).where((F.col("share") > share) & F.col("value").isNotNull())
+    whole = with_totals(n, ["column_name"], {"_all": "n"}).withColumn("share", ratio("n", "_all")).drop("_all")
+    return whole.where((F.col("share") > share) & F.col("value").isNotNull())
 
 
 def sigma_outliers(df: DataFrame, cols: list[str], k: float = 3.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from insightspark.functions.columns import as_col, bucketize, dates_between, ratio
+from insightspark.functions.columns import as_col, bucketize, dates_between, ratio, with_totals
 
 # Tenure and inactivity bands of the segmentation guide.
 TENURE_EDGES = [6, 14, 30, 90, 180, 365]
@@ -201,9 +201,8 @@ def mix(df: DataFrame, dims: list[str]) -> DataFrame:
         gid = (1 << width) - 1 - (1 << (width - 1 - i))
         dim = F.when(F.col("_gid") == gid, F.lit(d)).otherwise(dim)
         bucket = F.when(F.col("_gid") == gid, F.col(d).cast("string")).otherwise(bucket)
-    total = F.sum("n").over(W.partitionBy("dimension"))
-    return (g.select(dim.alias("dimension"), bucket.alias("bucket"), "n")
-             .withColumn("share", ratio("n", total)))
+    named = g.select(dim.alias("dimension"), bucket.alias("bucket"), "n")
+    return with_totals(named, ["dimension"], {"_all": "n"}).withColumn("share", ratio("n", "_all")).drop("_all")
 
 
 def top_values(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
@@ -240,5 +239,5 @@ def recent_iterations(df: DataFrame, keys: list[str], iteration: str, n: int) ->
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """About ``n`` random rows: a Bernoulli sample sized from the row count."""
-    total = df.count()
-    return df if total <= n else df.sample(fraction=n / total, seed=seed)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.where((total <= n) | (F.rand(seed) < F.lit(float(n)) / total))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from insightspark.functions.columns import ratio
+from insightspark.functions.columns import ratio, with_totals
 from insightspark.operators.windows import by_period
 
 N = lambda: F.count(F.lit(1))
@@ -20,7 +20,8 @@ def contributions(df: DataFrame, dims: list[str], period: str, value: str) -> Da
     g = long.groupBy("dimension", "val").agg(on("base").alias("base"), on("anomaly").alias("anomaly"))
     g = g.withColumn("change", F.col("anomaly") - F.col("base"))
     w = W.partitionBy("dimension")
-    g = g.withColumn("contribution", ratio("change", F.sum("change").over(w))).withColumn("change_pct", 100.0 * ratio("change", F.abs("base")))
+    g = with_totals(g, ["dimension"], {"_all": "change"}).withColumn("contribution", ratio("change", "_all")).drop("_all")
+    g = g.withColumn("change_pct", 100.0 * ratio("change", F.abs("base")))
     return g.withColumn("rank", F.row_number().over(w.orderBy(F.desc("contribution"), "val")))
 
 
@@ -48,22 +49,21 @@ def search(df: DataFrame, dims: list[str], period: str, value: str, min_depth: i
     """
     cube = df.groupBy(period, *dims).agg(F.sum(value).alias("_v")).persist()
     scope, left, rows = cube, list(dims), []
-    total, depth, explained = None, 0, 1.0
-    while left and depth < max_depth:
-        c = contributions(scope, left, period, "_v")
-        if total is None:
-            total = c.where(F.col("dimension") == left[0]).agg(F.sum("change")).first()[0]
-        best = explanatory_power(c).orderBy(F.desc("top1"), "dimension").first()
-        if best is None or best["top1"] is None:
-            break
-        depth += 1
-        explained *= best["top1"]
-        rows.append((depth, best["dimension"], best["top_value"], float(best["top1"]), best["power"], float(explained)))
-        scope = scope.where(F.coalesce(F.col(best["dimension"]).cast("string"), F.lit("(none)")) == best["top_value"])
-        left.remove(best["dimension"])
-        if depth >= min_depth and 1 - explained < stop:
-            break
-    cube.unpersist()
+    depth, explained = 0, 1.0
+    try:
+        while left and depth < max_depth:
+            best = explanatory_power(contributions(scope, left, period, "_v")).orderBy(F.desc("top1"), "dimension").first()
+            if best is None or best["top1"] is None:
+                break
+            depth += 1
+            explained *= best["top1"]
+            rows.append((depth, best["dimension"], best["top_value"], float(best["top1"]), best["power"], float(explained)))
+            scope = scope.where(F.coalesce(F.col(best["dimension"]).cast("string"), F.lit("(none)")) == best["top_value"])
+            left.remove(best["dimension"])
+            if depth >= min_depth and 1 - explained < stop:
+                break
+    finally:
+        cube.unpersist()
     return df.sparkSession.createDataFrame(rows, "level int, dimension string, top_value string, contribution double, power string, explained double")
 
 

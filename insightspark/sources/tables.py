@@ -128,12 +128,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
 
 
 def preview(df: DataFrame, n: int = 500, max_chars: int = 100_000) -> DataFrame:
-    """First ``n`` rows with a truncation flag; a quarter of them when the text is too long."""
-    head = df.limit(n + 1)
-    size = head.agg(F.count(F.lit(1)).alias("rows"),
-                    F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("chars")).first()
-    keep = n // 4 if (size["chars"] or 0) > max_chars else n
-    return df.limit(keep).withColumn("truncated", F.lit(size["rows"] > keep))
+    """First ``n`` rows with a truncation flag; a quarter of them when their text is longer than ``max_chars`` (``shortened`` says so).
+
+    The rows are read once, so the flags speak of the rows shown.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    one = df.limit(n + 1).select(row.alias("r")).agg(F.collect_list("r").alias("r"), F.sum(F.length(F.to_json("r"))).alias("chars"))  # n + 1 rows at most
+    shortened = F.coalesce(F.col("chars") > max_chars, F.lit(False))
+    keep = F.when(shortened, n // 4).otherwise(n)
+    shown = one.select(F.slice("r", F.lit(1), keep).alias("s"), (F.size("r") > keep).alias("truncated"), shortened.alias("shortened"))
+    return shown.select(F.explode("s").alias("s"), "truncated", "shortened").select("s.*", "truncated", "shortened")
 
 
 def result_estimate(df: DataFrame) -> DataFrame:
