@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +129,31 @@ def reproducibility(runs: list[DataFrame]) -> DataFrame:
     return one.select("n_runs", "counts", "contents", st.alias("status"))
 
 
+def reproducibility_bands(runs: list[DataFrame | None], tolerance: float = 0.0, static: bool = False) -> DataFrame:
+    """Repeated runs judged by how far their row counts lie apart; ``None`` stands for a run that failed.
+
+    One row: ``n_runs, n_succeeded, variance, status``. SKIPPED for a static source checked without tolerance, FAIL with
+    fewer than two runs that succeeded, PASS when all contents are equal (order never counts). Else the relative spread of the
+    row counts decides: PASS up to ``tolerance``, WARN up to ten times it, FAIL beyond; contents that differ at
+    equal row counts are a changed result and FAIL.
+    """
+    done = [r for r in runs if r is not None]
+    spark = next(iter(done)).sparkSession if done else None
+    if spark is None:
+        raise ValueError("no run to judge")
+    head = [F.lit(len(runs)).alias("n_runs"), F.lit(len(done)).alias("n_succeeded")]
+    sums = reduce(DataFrame.unionByName, [table_checksum(r) for r in done]).agg(
+        F.min("row_count").alias("lo"), F.max("row_count").alias("hi"), F.count_distinct("row_count", "sum_lo", "sum_hi").alias("contents"))
+    spread = F.coalesce(ratio(F.col("hi") - F.col("lo"), F.col("hi")), F.lit(0.0))
+    band = F.when(spread <= tolerance, "PASS").when(spread <= 10 * tolerance, "WARN").otherwise("FAIL")
+    status = F.when(F.col("contents") == 1, "PASS").when(F.col("lo") == F.col("hi"), "FAIL").otherwise(band)
+    if static and tolerance == 0.0:
+        status = F.lit("SKIPPED")
+    elif len(done) < 2:
+        spread, status = F.lit(1.0), F.lit("FAIL")
+    return sums.select(*head, F.round(spread, 6).alias("variance"), status.alias("status"))
+
+
 def variance_diagnosis(runs: DataFrame) -> DataFrame:
     """Why runs of one query differ: (query_id, row_count, sql_text, source) rows."""
     g = runs.groupBy("query_id").agg(

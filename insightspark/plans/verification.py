@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from insightspark.operators import verification as V
@@ -129,6 +132,21 @@ def u9(t):
     return out.select("kind", F.col("n_runs").cast("int").alias("n_runs"), F.col("counts").cast("int").alias("counts"), F.col("contents").cast("int").alias("contents"), "status")
 
 
+_U9 = """WITH c AS (SELECT count(*) AS n, count(CASE WHEN o_orderkey % 1000 <> 0 THEN 1 END) AS a, count(CASE WHEN o_orderkey % 10 <> 0 THEN 1 END) AS b FROM orders),
+v AS (SELECT 'few' AS kind, 2 AS n_runs, 2 AS n_succeeded, (n - a) / n AS variance FROM c UNION ALL SELECT 'many', 2, 2, (n - b) / n FROM c UNION ALL SELECT 'same', 3, 2, 0.0 FROM c UNION ALL SELECT 'failed', 2, 1, 1.0 FROM c)
+SELECT kind, n_runs, n_succeeded, round(variance, 6) AS variance, CASE WHEN kind = 'failed' THEN 'FAIL' WHEN variance <= 0.0005 THEN 'PASS' WHEN variance <= 0.005 THEN 'WARN' ELSE 'FAIL' END AS status FROM v
+UNION ALL SELECT 'static', 2, 2, 0.0, 'SKIPPED' FROM c"""
+
+
+@query("u9_reproducibility_bands", _U9)
+def u9b(t):
+    a = t.orders.select("o_orderkey", "o_totalprice")
+    judged = {"few": ([a, a.where("o_orderkey % 1000 <> 0")], {}), "many": ([a, a.where("o_orderkey % 10 <> 0")], {}), "same": ([a, None, a.repartition(3)], {}), "failed": ([a, None], {})}
+    rows = [V.reproducibility_bands(runs, 0.0005, **kw).withColumn("kind", F.lit(k)) for k, (runs, kw) in judged.items()]
+    rows.append(V.reproducibility_bands([a, a], static=True).withColumn("kind", F.lit("static")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("u10_variance_diagnosis", """
 WITH r AS (SELECT o_custkey AS query_id, o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'SELECT approx_count_distinct(x)' ELSE 'SELECT count(*)' END AS q, CASE WHEN o_custkey % 4 = 1 THEN o_orderkey % 5 ELSE 7 END AS row_count,
  CASE o_custkey % 5 WHEN 0 THEN 'bigquery' WHEN 1 THEN 'postgres' ELSE 'csv' END AS source FROM orders)

@@ -88,3 +88,20 @@ def test_entry_works_without_the_training_data_part(monkeypatch):
     names = entry.queries()
     assert "y9_dx_retention" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_reproducibility_bands(spark):
+    a = spark.range(1000)
+    judge = lambda *runs, **kw: verification.reproducibility_bands(list(runs), **kw).first().status
+    assert judge(a, a.repartition(3)) == "PASS" and judge(a, a, static=True) == "SKIPPED" and judge(a, None) == "FAIL"
+    assert judge(a, a.limit(999), tolerance=0.001) == "PASS" and judge(a, a.limit(995), tolerance=0.001) == "WARN" and judge(a, a.limit(900), tolerance=0.001) == "FAIL"
+    assert judge(a, a.selectExpr("id + 1 as id"), tolerance=0.5) == "FAIL"
+
+
+def test_findings_are_as_sure_as_their_test(spark):
+    from insightspark.operators.scoring import insight_scan
+
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 'curr', 'prev') as period", "'x' as d", "cast(id % 10 as double) as same", "cast(id % 10 + if(id % 2 = 0, 0.5, 0) as double) as moved")
+    got = {r.metric_name: r for r in insight_scan(rows.withColumn("same", F.floor(F.rand(1) * 10).cast("double")), ["d"], {"same": "same", "moved": "moved"}, "period").collect()}
+    assert got["moved"].p_value < 0.001 < 0.999 < got["moved"].confidence
+    assert got["same"].confidence == pytest.approx(1 - got["same"].p_value) and got["same"].confidence < 0.999
