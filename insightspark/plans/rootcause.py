@@ -48,7 +48,26 @@ def y23b(t):
     return R.explanatory_power(R.contributions(scoped(t), _DIMS, "span", "amount"))
 
 
-@query("y24_root_cause_loop")
+def _levels(most=4):
+    """The search unrolled: each level takes the strongest dimension left among the rows of the values taken so far."""
+    value = lambda j: "CASE (SELECT dimension FROM b%d) %s END = (SELECT top_value FROM b%d)" % (j, " ".join(f"WHEN '{d}' THEN coalesce({c}, '(none)')" for d, c in _D4), j)
+    parts = []
+    for k in range(1, most + 1):
+        where = " AND ".join(["true", *[value(j) for j in range(1, k)]])
+        left = " AND ".join(["true", *[f"dimension <> (SELECT dimension FROM b{j})" for j in range(1, k)]])
+        going = "true" if k <= 3 else f"(SELECT 1 - explained >= 0.1 FROM b{k - 1})"
+        longs = " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce({c}, '(none)') AS val, span, amount FROM sc WHERE {where}" for d, c in _D4)
+        before = "1.0" if k == 1 else f"(SELECT explained FROM b{k - 1})"
+        parts.append(f"""b{k} AS (SELECT {k} AS level, dimension, top_value, top1, CASE WHEN top1 > 0.5 THEN 'HIGH' WHEN top2 > 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS power, top1 * {before} AS explained FROM (
+ SELECT dimension, max(CASE WHEN rank = 1 THEN val END) AS top_value, max(CASE WHEN rank = 1 THEN contribution END) AS top1, sum(CASE WHEN rank <= 2 THEN contribution END) AS top2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY contribution DESC, val) AS rank FROM (
+   SELECT dimension, val, (anomaly - base) / sum(anomaly - base) OVER (PARTITION BY dimension) AS contribution FROM (
+    SELECT dimension, val, coalesce(sum(CASE WHEN span = 'base' THEN amount END), 0) AS base, coalesce(sum(CASE WHEN span = 'anomaly' THEN amount END), 0) AS anomaly FROM ({longs}) WHERE {left} GROUP BY 1, 2))) GROUP BY 1)
+ WHERE {going} AND top1 IS NOT NULL ORDER BY top1 DESC, dimension LIMIT 1)""")
+    return f"WITH {_SC}, " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT CAST(level AS INT) AS level, dimension, top_value, round(top1, 4) AS contribution, power, round(explained, 4) AS explained FROM b{k}" for k in range(1, most + 1))
+
+
+@query("y24_root_cause_loop", _levels(), digits=4)
 def y24(t):
     return R.search(scoped(t), _DIMS, "span", "amount")
 
