@@ -111,15 +111,16 @@ def _pack(path: str, spaced: bool, end: int, window: int):
     tail = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced).ids
+        tokens = encoder(path, spaced)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1).to_pylist()), strict=True):
                 packer.add(doc_id, ids + tail)
                 if len(packer.closed) >= 4096:
                     yield packer.take()
         packer.drain()
         yield packer.take()
+        tokens.task_over()
 
     return run
 

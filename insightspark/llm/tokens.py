@@ -2,8 +2,8 @@
 
 Both tokenizers cut a text before they merge: no token spans a blank between two words. So texts are split at blanks
 where that is provably safe, the distinct pieces of a batch are encoded by the library, and the ids of a text are the
-ids of its pieces in order. Known pieces are kept in two bounded generations, the older of which is dropped when the
-newer is full; long pieces are never kept.
+ids of its pieces in order. Pieces met in two batches are kept for the worker's life, the others for the task, both
+up to a bound; long pieces are never kept.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of one of the two generations that are kept (about 200 bytes each), the longest of them, and texts split at once.
-CACHE_PIECES, CACHED_CHARS, TEXTS = 400_000, 64, 2048
+#: Pieces kept for the worker and for the task (about 200 bytes each), the longest of them, and characters split at once.
+KEPT_PIECES, TASK_PIECES, CACHED_CHARS, CHARS = 200_000, 150_000, 64, 4 << 20
 END = "<|endoftext|>"
 #: How the byte-level vocabulary writes a blank.
 _BLANK = "\u0120"
@@ -41,7 +41,7 @@ class Encoder:
         self.spaced = spaced
         self.end = self.tokenizer.token_to_id(END)
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -75,20 +75,34 @@ class Encoder:
         """Ids of distinct pieces."""
         got = list(map(self.known.get, pieces))
         gaps = [i for i, x in enumerate(got) if x is None]
-        if len(self.known) + len(gaps) > CACHE_PIECES:
-            self.older, self.known = self.known, {}
-        older = self.older.get
+        recent = self.recent.get
         for i in gaps:
-            got[i] = older(pieces[i])
+            got[i] = recent(pieces[i])
+        if len(self.known) < KEPT_PIECES:
+            self.known.update((pieces[i], got[i]) for i in gaps if got[i] is not None)
         new = [i for i in gaps if got[i] is None]
         for i, ids in zip(new, self._new([pieces[i] for i in new]), strict=True):
             got[i] = ids
-        self.known.update((pieces[i], got[i]) for i in gaps if len(pieces[i]) <= CACHED_CHARS)
+        if len(self.recent) + len(new) > TASK_PIECES:
+            self.recent = {}
+        self.recent.update((pieces[i], got[i]) for i in new if len(pieces[i]) <= CACHED_CHARS)
         return got
 
+    def task_over(self) -> None:
+        """Let go of what only this task has met."""
+        self.recent = {}
+        pa.default_memory_pool().release_unused()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [x for at in range(0, len(texts), TEXTS) for x in self._some(texts[at: at + TEXTS])]
+        out: list[bytes] = []
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= CHARS or i + 1 == len(texts):
+                out += self._some(texts[start: i + 1])
+                start, size = i + 1, 0
+        return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
         column = pa.array(texts, pa.large_string())

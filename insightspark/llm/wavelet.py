@@ -166,7 +166,7 @@ def _write(path: str, spaced: bool, end: int, bits: int, folder: str, shard_ids:
     tail = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced).ids
+        tokens = encoder(path, spaced)
         store, root = fs.FileSystem.from_uri(folder)
         part, shard = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
@@ -191,15 +191,15 @@ def _write(path: str, spaced: bool, end: int, bits: int, folder: str, shard_ids:
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for doc_id, ids in zip(names[at: at + 256], encode(texts[at: at + 256]), strict=True):
-                    doc_ids.append(doc_id)
-                    parts.append(ids + tail)
-                    total += len(ids) // 4 + 1
-                    if total >= shard_ids:
-                        yield flush()
+            for doc_id, ids in zip(names, tokens.ids(texts), strict=True):
+                doc_ids.append(doc_id)
+                parts.append(ids + tail)
+                total += len(ids) // 4 + 1
+                if total >= shard_ids:
+                    yield flush()
         if parts:
             yield flush()
+        tokens.task_over()
 
     return run
 

@@ -96,7 +96,9 @@ def test_wavelet_matrix():
 def test_encoding_by_pieces_is_exact(name, spaced, monkeypatch):
     from insightspark.llm import tokens
 
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 2000)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 3000)
+    monkeypatch.setattr(tokens, "TASK_PIECES", 1000)
+    monkeypatch.setattr(tokens, "CHARS", 5000)
     draw = random.Random(3)
     parts = ["a", "B", "é", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "'s", "'", "12", ".", ", ", "<|endoftext|>", "<|startoftext|>", "Σ", "ΑΣ", "́", "​", "İ", "漢字", "🙂", " \n", "ll", "word. ", "क़.", "\x00", "x" * 80]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(4000)] + ["", " ", "  "]
