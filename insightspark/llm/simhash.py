@@ -18,9 +18,10 @@ RADIUS = 4
 #: Near-duplicate documents: words of a shingle, least Jaccard similarity, and independent keys of the word set. Eight keys within
 #: four bits find over nineteen of twenty pairs at the least similarity and practically all closer ones (README).
 SHINGLE, SIMILARITY, TABLES = 5, 0.8, 8
-#: Keys of one prefix bucket, on average, and variants expanded at once inside a bucket (8 bytes each).
-BUCKET_KEYS = 1000
-VARIANTS = 1 << 21
+#: Keys of one prefix bucket and rows of one task, on average, and variants expanded at once inside a bucket (8 bytes each).
+BUCKET_KEYS = 8000
+PART_ROWS = 1_000_000
+VARIANTS = 1 << 20
 _ROW = np.dtype([("bucket", "<u4"), ("key", "<u8"), ("node", "<i8")])
 
 
@@ -187,6 +188,7 @@ def _collide(bits: int, half: int):
         for batch in batches:
             for table, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 got.setdefault(table, []).append(rows)
+        found: list[tuple[int, int, int]] = []
         low = np.uint64((1 << bits) - 1)
         ways = np.array([1, 65 - bits, 1 + (64 - bits) * (65 - bits) // 2])
         for table in sorted(got):
@@ -196,12 +198,12 @@ def _collide(bits: int, half: int):
             base = (key & ~low) | bucket
             budget = half - np.bitwise_count(key ^ base).astype(np.int64)
             starts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
-            load = np.add.reduceat(ways[budget], starts)
-            forest = Forest()
+            upto = np.cumsum(np.add.reduceat(ways[budget], starts))
             links: list[tuple[int, int, int]] = []
+            within = Forest()
             at = 0
             while at < len(starts):  # whole buckets, as many as fit
-                to = at + max(1, int(np.searchsorted(np.cumsum(load[at:]), VARIANTS)))
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + VARIANTS, side="right")))
                 span = slice(starts[at], starts[to] if to < len(starts) else len(rows))
                 index = np.arange(span.start, span.stop)
                 for a, b in collisions(base[span], budget[span], index, bits, half):
@@ -209,10 +211,14 @@ def _collide(bits: int, half: int):
                     near = np.nonzero(far <= 2 * half)[0]
                     near = near[np.argsort(far[near], kind="stable")]
                     pairs = np.unique(np.stack([far[near].astype(np.int64), node[a][near], node[b][near]], 1), axis=0)
-                    links += [(x, y) for _, x, y in pairs.tolist() if x != y and forest.join(x, y)]
+                    links += [(d, x, y) for d, x, y in pairs.tolist() if x != y and within.join(x, y)]
                 at = to
-            if links:
-                yield pa.record_batch({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+            del rows, key, node, bucket, base, budget
+            found += links
+        forest = Forest()  # over all tables of the task, nearest pairs first
+        links = [(x, y) for _, x, y in sorted(found) if forest.join(x, y)]
+        if links:
+            yield pa.record_batch({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
@@ -228,9 +234,9 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     half = radius // 2
     count = nodes.agg(F.count(F.lit(1)), F.max(F.size("keys"))).first()
     n, tables = count[0], count[1] or 1
-    bits = min(24, max(8, int(n // BUCKET_KEYS).bit_length()))
+    bits = min(24, max(4, int(n // BUCKET_KEYS).bit_length()))
     copies = 1 + bits + bits * (bits - 1) // 2
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * copies * tables // 2_000_000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * copies * tables // PART_ROWS)
     rows = nodes.select(F.col("node").cast("long"), "keys").mapInArrow(_emit(bits, half, parts), "part int, hash_table int, rows binary")
     return rows.repartition(parts, "part").mapInArrow(_collide(bits, half), "a long, b long")
 
