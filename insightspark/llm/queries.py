@@ -21,7 +21,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-_SQL = {"op1_chat": chat.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+_SQL = {"op1_chat": chat.SQL, "op6_secrets": secrets.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
 
 
 def _prepared(fn):

@@ -31,12 +31,12 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
 ]
-#: Formats of keys with a fixed prefix and length, and private key heads.
+#: Formats of keys with a fixed prefix and least length, and private key heads.
 ADDED = [
-    Rule("code_host", r"\bgh[pousr]_[A-Za-z0-9]{36}\b"),
-    Rule("chat_bot", r"\bxox[abprs]-[0-9]{8,}-[A-Za-z0-9-]{16,}"),
-    Rule("cloud_key", r"\bAIza[A-Za-z0-9_-]{35}\b"),
-    Rule("signed_token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_bot", r"xox[abprs]-[0-9]{8,}-[A-Za-z0-9-]{16,}"),
+    Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35,}"),
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 ]
 #: Alternatives that a stretch of a pattern is spelt out into at most; beyond them it is cut.
@@ -180,3 +180,22 @@ def op6_secrets(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[number(r.kind) for r in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+
+
+def _rule_sql(rank: int, rule: Rule) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    size = f"length(regexp_replace(found, {quoted(rule.part)}, ''))" if rule.part else "length(found)"
+    lengths = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    return f"""select doc_id, {rank} as rank, '{rule.kind}' as kind, cast(start as bigint) as start, cast(start + length(found) as bigint) as fin from (
+ select doc_id, m[i + 1] as found, {lengths('g[1:i + 1]')} + {lengths('m[1:i]')} as start from (
+  select doc_id, m, g, unnest(range(len(m))) as i from (select doc_id, regexp_extract_all(text, {quoted(rule.pattern)}) as m, string_split_regex(text, {quoted(rule.pattern)}) as g from t))) where {size} >= {rule.least}"""
+
+
+_SPAN = "kind || ':' || start || ':' || fin"
+SQL = f"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+s as ({" union all ".join(_rule_sql(i, r) for i, r in enumerate(BASE + ADDED))})
+select t.doc_id, {", ".join(f"count(case when kind = '{r.kind}' then 1 end) as n_{r.kind}" for r in BASE)},
+       sha256(coalesce(string_agg({_SPAN}, ',' order by start, rank) filter (rank < {len(BASE)}), '')) as base_sha256, coalesce(string_agg({_SPAN}, ',' order by start, rank), '') as spans
+from t left join s using (doc_id) group by t.doc_id
+"""
