@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,10 @@ from insightspark.llm.common import free_name, stored, table_of, text_of
 from insightspark.llm.graph import components
 
 RADIUS = 4
-#: Near-duplicate documents: words of a shingle, least Jaccard similarity, and independent keys of the word set. Eight keys within
-#: four bits find over nineteen of twenty pairs at the least similarity and practically all closer ones (README).
-SHINGLE, SIMILARITY, TABLES = 5, 0.8, 8
+#: Near-duplicate documents: words of a shingle, least Jaccard similarity, and documents sampled for the order of shingles.
+SHINGLE, SIMILARITY, SAMPLE_DOCS = 5, 0.8, 10_000
+#: Words of 64 bits in the parity print of a set.
+PARITY = 8
 #: Keys of one prefix bucket and rows of one task, on average, and variants expanded at once inside a bucket (8 bytes each).
 BUCKET_KEYS = 8000
 PART_ROWS = 1_000_000
@@ -59,20 +62,6 @@ def fingerprint(text: str, size: int = 4, seed: int = 42) -> int:
     return majority(shingle_hashes(words_of(text), size, seed))
 
 
-def word_set_keys(text: str, tables: int) -> list[int]:
-    """Independent 64-bit SimHashes of the set of distinct words; near copies differ in few bits of each."""
-    base = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in set(words_of(text))), np.uint64)
-    return [majority(_mixed(base, t)) for t in range(tables)]
-
-
-def _mixed(values: np.ndarray, table: int) -> np.ndarray:
-    """Another 64-bit hash of each value (multiply, xor and shift rounds), one family for each table."""
-    x = values + np.uint64((table * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) % (1 << 64))
-    for multiplier in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(multiplier)
-    return x ^ (x >> np.uint64(31))
-
-
 # ---- variants ----------------------------------------------------------------------------------------------------
 def flips(low: int, high: int, count: int) -> np.ndarray:
     """All masks with ``count`` of the bits ``low`` to ``high - 1``."""
@@ -268,11 +257,60 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _set_keys(tables: int):
+def _sampled(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t), size, 1)).view(np.int64) for t in batch.column(1).to_pylist()]
+            if sets:
+                yield pa.record_batch({"token": pa.array(np.concatenate(sets))})
+
+    return run
+
+
+def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met often in a sample of ``rows(node, text)``, sorted, and how often.
+
+    They only set the order in which the shingles of a text are taken, and any one order is right: the sample decides on
+    the speed, never on the result.
+    """
+    every = max(1, rows.count() // SAMPLE_DOCS)
+    tokens = rows.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).mapInArrow(_sampled(size), "token long")
+    got = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3).orderBy(F.desc("n"), "token").limit(1 << 19).toArrow()
+    token, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefix_of(found: np.ndarray, least: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first of a sorted set of shingles, rare ones first: sets with a Jaccard similarity of ``least`` share one of them.
+
+    Such sets have ``least`` of either in common, so it cannot be that all common ones come later in the order.
+    """
+    if not len(found):
+        return found
+    weight = np.zeros(len(found), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        weight = np.where(common[at] == found, often[at], 0)
+    keep = len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1
+    return found[np.lexsort((found, weight))[:keep]]
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of 64 ``PARITY`` classes has an odd number of the hashes; two sets differ in no more bits than elements."""
+    odd = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _prefixes(size: int, least: float, common: np.ndarray, often: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.array([word_set_keys(t, tables) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, tables).view(np.int64)
-            yield pa.record_batch({"node": batch.column(0), "keys": pa.array(list(keys), pa.list_(pa.int64()))})
+            sets = [np.unique(shingle_hashes(words_of(t), size, 1)) for t in batch.column(1).to_pylist()]
+            prints = [parities(s) for s in sets]
+            yield pa.record_batch({
+                "node": batch.column(0), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "size": pa.array([len(s) for s in sets], pa.int64()),
+                **{f"odd{i}": pa.array([int(p[i]) for p in prints], pa.int64()) for i in range(PARITY)},
+                "tokens": pa.array([prefix_of(s, least, common, often).view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
     return run
 
@@ -280,7 +318,8 @@ def _set_keys(tables: int):
 def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch({"node": batch.column(0), "shingles": pa.array([np.unique(shingle_hashes(words_of(t), size, 1)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())})
+            sets = [np.unique(shingle_hashes(words_of(t), size, 1)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.record_batch({"node": batch.column(0), "digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
     return run
 
@@ -292,31 +331,66 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def _similar(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array([jaccard(x, y) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([jaccard(x, y) for x, y in zip(left, right, strict=True)], pa.float64())], names=["a", "b", "alike"])
 
-    return run
 
+def measured(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """``a, b, alike`` of distinct ``pairs(a, b)``: the Jaccard similarity of their sets of shingles."""
+    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = rows.join(touched, "node", "left_semi").mapInArrow(_shingle_sets(size), "node long, digest binary, shingles binary")
+    sets = stored(sets.groupBy("node").agg(F.max(F.struct("digest", "shingles")).alias("s")).select("node", "s.shingles"), "shingles")
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
+    return stored(met.select("a", "b", "left", "right").mapInArrow(_measured, "a long, b long, alike double"), "measured")
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+
+def similar_links(keys: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
+    """Links ``(a, b)`` with the components of all pairs of ``keys(node, size, odd0.., tokens)`` whose Jaccard similarity is ``least`` or more.
+
+    Every such pair shares a token. First each token's smallest node is compared with all others of the token, so a large
+    group of near copies costs one pair a row and becomes one component. Then, in tokens that still hold several
+    components, every pair from two of them is compared that may be similar by its sizes, by the places of the token
+    (at the first shared one, no more can be shared than follows in the shorter rest), by the distances from the
+    smallest node (the Jaccard distance is a metric) and by the parity prints. None of these bounds drops a similar pair. Only verified links are ever joined into components.
+    """
+    tokens = keys.select("node", "size", F.posexplode("tokens").alias("place", "token"))
+    shared = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("token", "pivot")
+    met = stored(tokens.join(shared, "token").where("node <> pivot"), "met")
+    star = measured(stored(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star"), rows, size)
+    near = star.where(F.col("alike") >= least).select("a", "b")
+    roots = stored(components(near), "roots")
+    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    left = placed.join(several, "token", "left_semi").join(star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("alike")), ["pivot", "node"])
+    odd = [f"odd{i}" for i in range(PARITY)]
+    left = stored(left.join(keys.select("node", *odd), "node").select("token", "node", "root", "size", "place", "alike", *odd), "several")
+    differ = reduce(add, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in odd))
+    may = ((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.alike") - F.col("y.alike")) <= 1 - least + 1e-9)
+           & (F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6)
+           & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least / (1 + least) * (F.col("x.size") + F.col("y.size")) - 1e-6)
+           & (differ <= (1 - least) / (1 + least) * (F.col("x.size") + F.col("y.size")) + 1e-6))
+    across = left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    across = stored(across.distinct(), "across")
+    return near.union(measured(across, rows, size).where(F.col("alike") >= least).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``node, root``: every document with a near-duplicate and the smallest ``doc_id`` of its group (itself included).
 
-    Candidates are pairs within four bits of each other in one of ``tables`` SimHashes of their sets of words, found by ball
-    hashing; links are candidates whose sets of ``shingle``-word shingles (lower-cased, the whole sequence of shorter texts) have
-    a Jaccard similarity of at least ``similarity``; groups are their components. Texts without words resemble each
-    other. Rows with a NULL id have no duplicates; rows that share an id count as one document, judged by one text.
+    Links are all pairs whose sets of ``shingle``-word shingles (lower-cased, the whole sequence of shorter texts) have a
+    Jaccard similarity of at least ``similarity``, found exactly by prefix filtering; groups are their components. Texts
+    without words resemble each other. Rows with a NULL id have no duplicates; rows that share an id count as one document, judged by one text.
     """
     rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("node"), text_of(F.col(f"`{text}`")).alias("text"))
-    nodes = stored(rows.mapInArrow(_set_keys(tables), "node long, keys array<long>"), "keys")
-    links = stored(ball_links(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    touched = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    sets = stored(rows.join(touched, "node", "left_semi").mapInArrow(_shingle_sets(shingle), "node long, shingles binary").groupBy("node").agg(F.max("shingles").alias("shingles")), "shingles")
-    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    return components(pairs.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long"))
+    common, often = common_shingles(rows, shingle)
+    keys = stored(rows.mapInArrow(_prefixes(shingle, similarity, common, often), f"node long, digest binary, size long, {''.join(f'odd{i} long, ' for i in range(PARITY))}tokens array<long>"), "keys")
+    judged = keys.groupBy("node").agg(F.max("digest").alias("digest"))
+    groups = stored(judged.groupBy("digest").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "groups")
+    equal = judged.join(groups.where("n > 1"), "digest").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    firsts = keys.join(groups.select(F.col("first").alias("node"), "digest"), ["node", "digest"]).drop("digest")
+    return components(equal.union(similar_links(firsts, rows, shingle, similarity)))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

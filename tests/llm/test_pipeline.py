@@ -74,3 +74,33 @@ def test_odd_and_empty_tables(spark, folder):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, folder[0]).collect()}
     assert kept <= {None, 1, 2, 5, 6, 7, 8, 9}
     assert corpus_pipeline.run(spark, folder[1]).collect() == []
+
+
+def _groups(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    return {r.node: r.root for r in simhash.near_duplicates(docs, **options).collect()}
+
+
+def _exact(texts):
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5, 1).tolist()) for t in texts]
+    forest = simhash.Forest()
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if (len(x & y) >= 0.8 * len(x | y)) if x or y else True:
+                forest.join(a, b)
+    out = {i: forest.root(i) for i in range(len(sets))}
+    several = {r for i, r in out.items() if i != r}
+    return {i: r for i, r in out.items() if r in several}
+
+
+def test_links_behind_a_far_candidate(spark):
+    """The same words in another order are a near candidate that fails; copies behind it are still compared."""
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(12):
+        mixed = list(draw.permutation(words))
+        texts += [" ".join(mixed), " ".join([*mixed[:-1], "other", mixed[-1]])]
+    draw.shuffle(texts)
+    want = _exact(texts)
+    assert len(want) == 24 and len(set(want.values())) == 12 and _groups(spark, texts) == want
