@@ -104,3 +104,17 @@ def test_links_behind_a_far_candidate(spark):
     draw.shuffle(texts)
     want = _exact(texts)
     assert len(want) == 24 and len(set(want.values())) == 12 and _groups(spark, texts) == want
+
+
+def test_appended_truncated_and_scattered_edits(spark):
+    """Pairs just at the least similarity are all found, whatever the kind of the edit."""
+    draw = np.random.default_rng(8)
+    texts = []
+    for i in range(120):
+        words = [f"t{i}x{j}" for j in range(100)]
+        scattered = list(words)
+        for at in draw.choice(np.arange(5, 95, 6), 2, replace=False):
+            scattered[at] = f"e{i}x{at}"
+        texts += [" ".join(words), [" ".join(words + [f"a{i}x{j}" for j in range(24)]), " ".join(words[:81]), " ".join(scattered)][i % 3]]
+    want = {2 * i + j: 2 * i for i in range(120) for j in (0, 1)}
+    assert _exact(texts) == want and _groups(spark, texts) == want
