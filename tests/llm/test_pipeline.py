@@ -118,3 +118,23 @@ def test_appended_truncated_and_scattered_edits(spark):
         texts += [" ".join(words), [" ".join(words + [f"a{i}x{j}" for j in range(24)]), " ".join(words[:81]), " ".join(scattered)][i % 3]]
     want = {2 * i + j: 2 * i for i in range(120) for j in (0, 1)}
     assert _exact(texts) == want and _groups(spark, texts) == want
+
+
+def test_packing_follows_the_mix(spark):
+    """At every prefix of the sequences the sources have about the shares of the mix, although files are read largest first."""
+    from insightspark.llm import mixing
+
+    n = {"hot": 6000, "warm": 1500, "cold": 300}
+    docs = spark.createDataFrame([(i, " ".join(["word"] * (3 + i * 7 % 40)), s) for i, s in enumerate(s for s, k in n.items() for _ in range(k))], "doc_id long, text string, source string")
+    laid = stored(corpus_pipeline.source_mix(spark, docs, ""), "laid")
+    pieces = corpus_pipeline.packed(spark, laid, "").select("doc_id", "sequence_id").toPandas()
+    placed, name = mixing.mixed(docs)
+    position = placed.select("doc_id", f"{name}.position").toPandas().set_index("doc_id").position
+    source = docs.toPandas().set_index("doc_id").source
+    first = pieces.groupby("doc_id").sequence_id.min().sort_values(kind="stable").index
+    assert np.corrcoef(position[first], np.arange(len(first)))[0, 1] > 0.99
+    in_mix = source[position.sort_values().index].to_numpy()
+    packed = source[first].to_numpy()
+    for at in range(500, len(packed), 500):
+        for s in n:
+            assert abs((packed[:at] == s).mean() - (in_mix[:at] == s).mean()) < 0.1
