@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from insightspark.llm.common import free_name, table_of
 
 #: Documents of a block, slots of a period (weights are multiples of one over this), rows of an ordering bucket on average.
 BLOCK, PERIOD, BUCKET_ROWS = 64, 1024, 2048
+#: Slots for each source where there are more sources than ``PERIOD``.
+SLOTS_EACH = 4
 #: Without given targets a source's weight is its number of rows to this power.
 TEMPER = 0.7
 
@@ -62,7 +67,35 @@ def timetable(shared: DataFrame, period: int) -> DataFrame:
         F.expr("names[x.p]").alias("source"), F.expr("x.ahead[x.p]").alias("turn"), F.col("slot").cast("long").alias("slot"), F.col("x.ahead").alias("ahead"), "slots", "n", F.expr("slots[x.p]").alias("own"))
 
 
-def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", targets: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, temper: float = TEMPER) -> tuple[DataFrame, str]:
+def many_turns(shared: list[tuple[str | None, int]], period: int) -> list[tuple[int, int]]:
+    """``(place in shared, turn)`` of each slot: the choice of :func:`timetable` by two heaps, for any number of sources."""
+    order = sorted(range(len(shared)), key=lambda i: ((shared[i][0] or "").encode(), shared[i][0] is not None))
+    slots = [shared[i][1] for i in order]
+    done, plan, waiting, due = [0] * len(order), [], [(0, k) for k in range(len(order))], []
+    for t in range(period):
+        while waiting and waiting[0][0] <= t:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(due, (((done[k] + 1) * period + slots[k] - 1) // slots[k], k))
+        k = heapq.heappop(due)[1]
+        plan.append((order[k], done[k]))
+        done[k] += 1
+        heapq.heappush(waiting, (done[k] * period // slots[k], k))
+    return plan
+
+
+def many_blocks(shared: DataFrame, period: int, block: int) -> DataFrame:
+    """``t_source, t_block, t_own, t_slot, before`` of every block: its slot and the rows in earlier slots, as running sums."""
+    rows = [(r.source, r.slots) for r in shared.select("source", "slots").collect()]  # one row for each source
+    plan = many_turns(rows, period)
+    table = shared.sparkSession.createDataFrame(pa.table({
+        "p_source": pa.array([rows[i][0] for i, _ in plan], pa.string()), "turn": pa.array([turn for _, turn in plan], pa.int64()), "at": pa.array(range(period), pa.int64())}))
+    blocks = shared.select("source", "n", F.col("slots").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block}"))).alias("block"))
+    blocks = blocks.join(table, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") % F.col("own") == F.col("turn")))
+    blocks = blocks.select("source", "block", "own", (F.floor(F.col("block") / F.col("own")) * period + F.col("at")).alias("slot"), F.least(F.lit(block).cast("long"), F.col("n") - F.col("block") * block).alias("size"))
+    return running_before(blocks, [], "slot", "size").select(F.col("source").alias("t_source"), F.col("block").alias("t_block"), F.col("own").alias("t_own"), F.col("slot").alias("t_slot"), F.col("before").alias("t_before"))
+
+
+def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", targets: dict[str | None, float] | None = None, block: int = BLOCK, period: int | None = None, temper: float = TEMPER) -> tuple[DataFrame, str]:
     """``docs`` with all rows and columns and a struct of its place in the mix; the struct's name is returned.
 
     The struct holds ``weight, rank, block, slot, position``. Inside a source documents are ordered by the MD5 of their
@@ -70,7 +103,8 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", targe
     to the slots of the Pfair timetable. ``position`` numbers all rows from 0 in slot order. While every source has blocks
     left, each has less than one block more or less than its weight asks for; a source that has run out gives up its
     slots and the others go on, so every row has exactly one place. NULL is a source of its own; an empty table gives no
-    rows. There can be at most ``period`` sources.
+    rows. A period has ``PERIOD`` slots, with more sources than that ``SLOTS_EACH`` for each; a ``period`` that is given has to
+    hold all sources.
 
     Ranks come from counts of (source, bucket of the hash) and a row number inside a bucket, so a source with a third of
     all rows is spread over as many tasks as it has buckets.
@@ -79,6 +113,8 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", targe
     src, digest, bucket, rank, blk, out = added.values()
     sizes = docs.groupBy(F.col(f"`{source}`").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     sizes_at = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    many = period is None and sizes_at[0] > PERIOD
+    period = (SLOTS_EACH * sizes_at[0] if many else PERIOD) if period is None else period
     if sizes_at[0] > period:
         raise ValueError(f"{sizes_at[0]} sources, but a period has {period} slots")
     bits = min(28, int(sizes_at[1] // BUCKET_ROWS).bit_length())
@@ -89,6 +125,11 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", targe
     tagged = docs.withColumns({src: F.col(f"`{source}`").cast("string"), digest: key, bucket: of_hash})
     ranked = tagged.withColumn(rank, F.row_number().over(Window.partitionBy(src, bucket).orderBy(F.col(digest).asc_nulls_last(), F.col(f"`{doc_id}`"))))
     ranked = ranked.join(before, F.col(src).eqNullSafe(F.col("b_source")) & (F.col(bucket) == F.col("b_bucket"))).withColumn(rank, F.col("b_before") + F.col(rank) - 1).withColumn(blk, F.floor(F.col(rank) / block))
+    if many:
+        blocks = many_blocks(shares(sizes, targets, period, temper), period, block)
+        placed = ranked.join(blocks, F.col(src).eqNullSafe(F.col("t_source")) & (F.col(blk) == F.col("t_block")))
+        struct = F.struct((F.col("t_own") / period).alias("weight"), F.col(rank).alias("rank"), F.col(blk).alias("block"), F.col("t_slot").alias("slot"), (F.col("t_before") + F.col(rank) % block).alias("position"))
+        return placed.select(*[F.col(f"`{c}`") for c in docs.columns], struct.alias(out)), out
     table = timetable(shares(sizes, targets, period, temper), period).select(*[F.col(c).alias(f"t_{c}") for c in ("source", "turn", "slot", "ahead", "slots", "n", "own")])
     own = shares(sizes, targets, period, temper).select(F.col("source").alias("s_source"), F.col("slots").alias("s_slots"))
     placed = ranked.join(F.broadcast(own), F.col(src).eqNullSafe(F.col("s_source")))  # one row for each source, at most ``period``

@@ -169,6 +169,22 @@ def test_components_of_a_long_chain(spark):
     assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0) for i in range(301)}
 
 
+def test_mix_of_more_sources_than_a_period(spark):
+    sources = [None, "", *(f"host{i}" for i in range(1100))]
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate([*sources, *["host7"] * 3000])], "doc_id long, source string")
+    placed, name = mixing.mixed(docs)
+    rows = placed.select("doc_id", "source", f"{name}.*").toPandas().sort_values("position")
+    assert rows.position.tolist() == list(range(len(sources) + 3000)) and set(rows.doc_id) == set(range(len(sources) + 3000))
+    assert rows.slot.is_monotonic_increasing and rows.groupby("slot").source.nunique(dropna=False).max() == 1
+
+
+def test_mix_timetables_agree(spark):
+    shared = [("a", 3), (None, 1), ("b", 7), ("", 2), ("é", 3)]
+    frame = spark.createDataFrame([(s, 9, n) for s, n in shared], "source string, n long, slots int")
+    want = [(r.source, r.turn) for r in mixing.timetable(frame, 16).orderBy("slot").collect()]
+    assert [(shared[i][0], turn) for i, turn in mixing.many_turns(shared, 16)] == want
+
+
 def test_mix_order_and_targets(spark, odd_docs):
     out = mixing.in_mix_order(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 11
