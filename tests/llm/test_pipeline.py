@@ -138,3 +138,19 @@ def test_packing_follows_the_mix(spark):
     for at in range(500, len(packed), 500):
         for s in n:
             assert abs((packed[:at] == s).mean() - (in_mix[:at] == s).mean()) < 0.1
+
+
+def test_equal_and_near_equal_texts_cost_a_row_each(spark, monkeypatch):
+    """Texts with equal sets are one node before the join; a large group of near copies costs no pairs of its rows."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words) + " " * i for i in range(300)] + [" ".join([*words, f"end{i}"]) for i in range(300)]
+    sizes, kept = {}, simhash.stored
+
+    def counted(df, label):
+        out = kept(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    assert _groups(spark, texts) == dict.fromkeys(range(600), 0)
+    assert sizes["groups"] == 301 and sizes["star"] == 300 and sizes["across"] == 0
