@@ -349,29 +349,32 @@ def measured(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 def similar_links(keys: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
     """Links ``(a, b)`` with the components of all pairs of ``keys(node, size, odd0.., tokens)`` whose Jaccard similarity is ``least`` or more.
 
-    Every such pair shares a token. First each token's smallest node is compared with all others of the token, so a large
+    Every such pair shares a token. First each token's smallest node is compared with all others of the token that sizes and parity prints allow, so a large
     group of near copies costs one pair a row and becomes one component. Then, in tokens that still hold several
     components, every pair from two of them is compared that may be similar by its sizes, by the places of the token
     (at the first shared one, no more can be shared than follows in the shorter rest), by the distances from the
-    smallest node (the Jaccard distance is a metric) and by the parity prints. None of these bounds drops a similar pair. Only verified links are ever joined into components.
+    smallest node where they were measured (the Jaccard distance is a metric) and by the parity prints. None of these bounds drops a similar pair. Only verified links are ever joined into components.
     """
-    tokens = keys.select("node", "size", F.posexplode("tokens").alias("place", "token"))
+    odd = [f"odd{i}" for i in range(PARITY)]
+    prints = keys.select("node", F.struct("size", *odd).alias("print"))
+    x, y = F.col("x.print"), F.col("y.print")
+    differ = reduce(add, (F.bit_count(x[c].bitwiseXOR(y[c])) for c in odd))
+    may = (F.least(x["size"], y["size"]) >= least * F.greatest(x["size"], y["size"]) - 1e-6) & (differ <= (1 - least) / (1 + least) * (x["size"] + y["size"]) + 1e-6)
+    tokens = keys.select("node", F.posexplode("tokens").alias("place", "token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("token", "pivot")
     met = stored(tokens.join(shared, "token").where("node <> pivot"), "met")
-    star = measured(stored(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star"), rows, size)
+    stars = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(prints.alias("x"), F.col("a") == F.col("x.node")).join(prints.alias("y"), (F.col("b") == F.col("y.node")) & may).select("a", "b")
+    star = measured(stored(stars, "star"), rows, size)
     near = star.where(F.col("alike") >= least).select("a", "b")
     roots = stored(components(near), "roots")
     placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = placed.join(several, "token", "left_semi").join(star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("alike")), ["pivot", "node"])
-    odd = [f"odd{i}" for i in range(PARITY)]
-    left = stored(left.join(keys.select("node", *odd), "node").select("token", "node", "root", "size", "place", "alike", *odd), "several")
-    differ = reduce(add, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in odd))
-    may = ((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.alike") - F.col("y.alike")) <= 1 - least + 1e-9)
-           & (F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6)
-           & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= least / (1 + least) * (F.col("x.size") + F.col("y.size")) - 1e-6)
-           & (differ <= (1 - least) / (1 + least) * (F.col("x.size") + F.col("y.size")) + 1e-6))
-    across = left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    left = placed.join(several, "token", "left_semi").join(star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("alike")), ["pivot", "node"], "left")
+    left = stored(left.join(prints, "node").select("token", "node", "root", "place", "alike", "print"), "several")
+    apart = ((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & F.coalesce(F.abs(F.col("x.alike") - F.col("y.alike")) <= 1 - least + 1e-9, F.lit(True))
+             & (F.least(x["size"] - F.col("x.place"), y["size"] - F.col("y.place")) >= least / (1 + least) * (x["size"] + y["size"]) - 1e-6))
+    across = left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     across = stored(across.distinct(), "across")
     return near.union(measured(across, rows, size).where(F.col("alike") >= least).select("a", "b"))
 
