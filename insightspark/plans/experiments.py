@@ -244,19 +244,19 @@ def k19(t):
 
 
 def daily_arms(t):
-    """Daily revenue by arm with the day number and period."""
-    d = t.events.groupBy(F.to_date("ts").alias("day"), (F.col("user_id") % 2).alias("k")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("rev"))
+    """Daily revenue by arm with the day number and period; summed in whole cents, so that the order of summing decides nothing."""
+    d = t.events.groupBy(F.to_date("ts").alias("day"), (F.col("user_id") % 2).alias("k")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.round(F.col("value") * 100).cast("long")).otherwise(0)).alias("cents"))
     return d.select("day", F.when(F.col("k") == 1, "treated").otherwise("control").alias("grp"), F.when(F.col("day") < "2024-01-16", "pre").otherwise("post").alias("period"),
-                    F.date_diff("day", F.lit("2024-01-01").cast("date")).alias("i"), "rev")
+                    F.date_diff("day", F.lit("2024-01-01").cast("date")).alias("i"), (F.col("cents") / 100).alias("rev"))
 
 
-_DA = """d AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN user_id % 2 = 1 THEN 'treated' ELSE 'control' END AS grp, sum(CASE WHEN event_type='purchase' THEN value ELSE 0 END) AS rev FROM events GROUP BY 1, 2),
+_DA = """d AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN user_id % 2 = 1 THEN 'treated' ELSE 'control' END AS grp, sum(CASE WHEN event_type='purchase' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) / 100.0 AS rev FROM events GROUP BY 1, 2),
 a AS (SELECT *, day >= DATE '2024-01-16' AS post, day - DATE '2024-01-01' AS i FROM d)"""
 
 
 @query("k20_diff_in_diff", f"""WITH {_DA}, g AS (SELECT avg(CASE WHEN grp='treated' AND NOT post THEN rev END) AS t_pre, avg(CASE WHEN grp='treated' AND post THEN rev END) AS t_post, avg(CASE WHEN grp='control' AND NOT post THEN rev END) AS c_pre,
  avg(CASE WHEN grp='control' AND post THEN rev END) AS c_post, regr_slope(CASE WHEN grp='treated' AND NOT post THEN rev END, i) AS t_slope, regr_slope(CASE WHEN grp='control' AND NOT post THEN rev END, i) AS c_slope FROM a)
-SELECT round(t_pre, 4) AS t_pre, round(t_post, 4) AS t_post, round(c_pre, 4) AS c_pre, round(c_post, 4) AS c_post, round(t_slope, 4) AS t_slope, round(c_slope, 4) AS c_slope, round((t_post - t_pre) - (c_post - c_pre), 4) AS did, round(t_slope - c_slope, 4) AS pre_trend_gap FROM g""", digits=4)
+SELECT round(t_pre, 7) AS t_pre, round(t_post, 7) AS t_post, round(c_pre, 7) AS c_pre, round(c_post, 7) AS c_post, round(t_slope, 7) AS t_slope, round(c_slope, 7) AS c_slope, round((t_post - t_pre) - (c_post - c_pre), 7) AS did, round(t_slope - c_slope, 7) AS pre_trend_gap FROM g""", digits=7)
 def k20(t):
     return E.diff_in_diff(daily_arms(t), "grp", "period", "rev", "i")
 

@@ -30,8 +30,3 @@ def tables(spark):
     from insightspark.plans.registry import Tables
 
     return Tables(spark, SMALL)
-
-
-def rows(df, *order):
-    out = [r.asDict() for r in df.collect()]
-    return sorted(out, key=lambda r: tuple(str(r[c]) for c in order)) if order else out

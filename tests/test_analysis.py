@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from insightspark.operators import alerts as A
