@@ -24,8 +24,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id."""
-    return simhash.near_dedup(docs)
+    """Of each group of fingerprints (four-word shingles) linked within four bits, the document with the smallest id."""
+    return simhash.near_dedup(docs, size=4, radius=4)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
