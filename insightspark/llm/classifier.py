@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from insightspark.llm.common import free_name, table_of, text_of
+from insightspark.llm.common import free_name, slices, table_of, text_of
 
 #: Labelled documents used for fitting at most, preference pairs drawn from them, and the strength of the ridge.
 SAMPLE_ROWS, PAIRS, RIDGE = 20_000, 200_000, 1e-3
@@ -89,7 +89,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RID
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         yield pa.record_batch({"quality": batch.column(0), "x": pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))})
 
 
@@ -123,7 +123,7 @@ def scored(docs: DataFrame, ranker: Ranker, text: str = "text") -> tuple[DataFra
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.record_batch([*batch.columns, pa.array(ranker.score(x))], names=[*columns, name])
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insightspark.session import work_path
 
+#: Bytes of text that a task works on at once.
+SLICE_BYTES = 1 << 20
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty for NULL."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -29,3 +38,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into row ranges of about ``size`` bytes in column ``text`` (at least one row each).
+
+    What a task derives from its rows then follows the slice, not the batch; memory that Arrow holds back is let go at the end.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+    pa.default_memory_pool().release_unused()

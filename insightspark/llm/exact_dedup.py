@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insightspark.llm import quotient
-from insightspark.llm.common import free_name, stored, table_of, text_of
+from insightspark.llm.common import free_name, slices, stored, table_of, text_of
 
 #: Fingerprints of one bucket of the merged filter, on average.
 BUCKET_ROWS = 1 << 20
@@ -33,7 +33,7 @@ def _filters(bucket_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 0):
             new = np.fromiter((_print(normalised(t)) for t in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
             values, n = np.unique(new, return_counts=True)
             prints, counts = quotient.merge([(prints, counts), (values, n)]) if len(values) else (prints, counts)
@@ -71,7 +71,7 @@ def repeated_prints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _marked(columns: list[str], text: str, fp: str, sha: str, norm: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, columns.index(text)):
             texts = [normalised(t or "") for t in batch.column(columns.index(text)).to_pylist()]
             out = {c: batch.column(i) for i, c in enumerate(columns)}
             out[fp] = pa.array(np.fromiter(map(_print, texts), np.uint64, len(texts)).view(np.int64))

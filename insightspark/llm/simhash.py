@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from insightspark.llm.common import free_name, stored, table_of, text_of
+from insightspark.llm.common import free_name, slices, stored, table_of
 from insightspark.llm.graph import components
 
 RADIUS = 4
-#: Near-duplicate documents: words of a shingle, least Jaccard similarity, and documents sampled for the order of shingles.
-SHINGLE, SIMILARITY, SAMPLE_DOCS = 5, 0.8, 10_000
-#: Words of 64 bits in the parity print of a set.
-PARITY = 8
 #: Keys of one prefix bucket and rows of one task, on average, and variants expanded at once inside a bucket (8 bytes each).
 BUCKET_KEYS = 8000
 PART_ROWS = 1_000_000
@@ -231,15 +226,31 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 # ---- documents -----------------------------------------------------------------------------------------------------
-def _fingerprints(size: int, seed: int):
+def _marked(columns: list[str], text: str, name: str, size: int, seed: int):
+    """The rows with a fingerprint (as a signed long) beside them."""
+    at = columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.fromiter((fingerprint(t, size, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "fp": pa.array(prints.view(np.int64))})
+        for batch in slices(batches, at):
+            prints = np.fromiter((fingerprint(t or "", size, seed) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.record_batch([*batch.columns, pa.array(prints.view(np.int64))], names=[*columns, name])
 
     return run
 
 
+def with_fingerprints(docs: DataFrame, text: str = "text", size: int = 4, seed: int = 42) -> tuple[DataFrame, str]:
+    """``docs`` with all rows and columns and the fingerprint of each text, whose name is returned. NULL is the empty text."""
+    name = free_name(docs, "fp")
+    return docs.mapInArrow(_marked(docs.columns, text, name, size, seed), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])), name
+
+
+def fingerprint_groups(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, root`` for every row of ``nodes(fp)``: equal for fingerprints joined by links of ``radius`` bits or fewer."""
+    links = ball_links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("keys")), radius)
+    roots = components(links).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, seed: int = 42, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row: fingerprint (signed long) and the smallest ``doc_id`` linked to it.
 
@@ -247,160 +258,31 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     words have fingerprint zero and are linked like any other. Rows that repeat a ``doc_id`` each get a row; NULL ids
     never name a component (a component of NULL ids only has NULL). Empty table: no rows.
     """
-    prints = stored(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text")).mapInArrow(_fingerprints(size, seed), "doc_id long, fp long"), "prints")
+    prints, name = with_fingerprints(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", size, seed)
+    prints = stored(prints.select("doc_id", F.col(name).alias("fp")), "prints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    links = ball_links(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("keys")), radius)
-    roots = components(links).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(fingerprint_groups(nodes.select("fp"), radius), "fp")
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(placed.join(lows, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sampled(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t), size, 1)).view(np.int64) for t in batch.column(1).to_pylist()]
-            if sets:
-                yield pa.record_batch({"token": pa.array(np.concatenate(sets))})
-
-    return run
-
-
-def common_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles met often in a sample of ``rows(node, text)``, sorted, and how often.
-
-    They only set the order in which the shingles of a text are taken, and any one order is right: the sample decides on
-    the speed, never on the result.
-    """
-    every = max(1, rows.count() // SAMPLE_DOCS)
-    tokens = rows.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).mapInArrow(_sampled(size), "token long")
-    got = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3).orderBy(F.desc("n"), "token").limit(1 << 19).toArrow()
-    token, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def prefix_of(found: np.ndarray, least: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first of a sorted set of shingles, rare ones first: sets with a Jaccard similarity of ``least`` share one of them.
-
-    Such sets have ``least`` of either in common, so it cannot be that all common ones come later in the order.
-    """
-    if not len(found):
-        return found
-    weight = np.zeros(len(found), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        weight = np.where(common[at] == found, often[at], 0)
-    keep = len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1
-    return found[np.lexsort((found, weight))[:keep]]
-
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, seed: int = 42, radius: int = RADIUS) -> DataFrame:
+    """Of each group of :func:`simhash_groups` the document with the smallest ``doc_id``, with exactly the columns of ``docs``.
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """Whether each of 64 ``PARITY`` classes has an odd number of the hashes; two sets differ in no more bits than elements."""
-    odd = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _prefixes(size: int, least: float, common: np.ndarray, often: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t), size, 1)) for t in batch.column(1).to_pylist()]
-            prints = [parities(s) for s in sets]
-            yield pa.record_batch({
-                "node": batch.column(0), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "size": pa.array([len(s) for s in sets], pa.int64()),
-                **{f"odd{i}": pa.array([int(p[i]) for p in prints], pa.int64()) for i in range(PARITY)},
-                "tokens": pa.array([prefix_of(s, least, common, often).view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    return run
-
-
-def _shingle_sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t), size, 1)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch({"node": batch.column(0), "digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "shingles": pa.array(sets, pa.binary())})
-
-    return run
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sorted sets of 8-byte hashes; 1 for two empty sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([jaccard(x, y) for x, y in zip(left, right, strict=True)], pa.float64())], names=["a", "b", "alike"])
-
-
-def measured(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """``a, b, alike`` of distinct ``pairs(a, b)``: the Jaccard similarity of their sets of shingles."""
-    touched = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = rows.join(touched, "node", "left_semi").mapInArrow(_shingle_sets(size), "node long, digest binary, shingles binary")
-    sets = stored(sets.groupBy("node").agg(F.max(F.struct("digest", "shingles")).alias("s")).select("node", "s.shingles"), "shingles")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    return stored(met.select("a", "b", "left", "right").mapInArrow(_measured, "a long, b long, alike double"), "measured")
-
-
-def similar_links(keys: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
-    """Links ``(a, b)`` with the components of all pairs of ``keys(node, size, odd0.., tokens)`` whose Jaccard similarity is ``least`` or more.
-
-    Every such pair shares a token. First each token's smallest node is compared with all others of the token that sizes and parity prints allow, so a large
-    group of near copies costs one pair a row and becomes one component. Then, in tokens that still hold several
-    components, every pair from two of them is compared that may be similar by its sizes, by the places of the token
-    (at the first shared one, no more can be shared than follows in the shorter rest), by the distances from the
-    smallest node where they were measured (the Jaccard distance is a metric) and by the parity prints. None of these bounds drops a similar pair. Only verified links are ever joined into components.
-    """
-    odd = [f"odd{i}" for i in range(PARITY)]
-    prints = keys.select("node", F.struct("size", *odd).alias("print"))
-    x, y = F.col("x.print"), F.col("y.print")
-    differ = reduce(add, (F.bit_count(x[c].bitwiseXOR(y[c])) for c in odd))
-    may = (F.least(x["size"], y["size"]) >= least * F.greatest(x["size"], y["size"]) - 1e-6) & (differ <= (1 - least) / (1 + least) * (x["size"] + y["size"]) + 1e-6)
-    tokens = keys.select("node", F.posexplode("tokens").alias("place", "token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("token", "pivot")
-    met = stored(tokens.join(shared, "token").where("node <> pivot"), "met")
-    stars = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(prints.alias("x"), F.col("a") == F.col("x.node")).join(prints.alias("y"), (F.col("b") == F.col("y.node")) & may).select("a", "b")
-    star = measured(stored(stars, "star"), rows, size)
-    near = star.where(F.col("alike") >= least).select("a", "b")
-    roots = stored(components(near), "roots")
-    placed = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = placed.join(several, "token", "left_semi").join(star.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("alike")), ["pivot", "node"], "left")
-    left = stored(left.join(prints, "node").select("token", "node", "root", "place", "alike", "print"), "several")
-    apart = ((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & F.coalesce(F.abs(F.col("x.alike") - F.col("y.alike")) <= 1 - least + 1e-9, F.lit(True))
-             & (F.least(x["size"] - F.col("x.place"), y["size"] - F.col("y.place")) >= least / (1 + least) * (x["size"] + y["size"]) - 1e-6))
-    across = left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & may).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    across = stored(across.distinct(), "across")
-    return near.union(measured(across, rows, size).where(F.col("alike") >= least).select("a", "b"))
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``node, root``: every document with a near-duplicate and the smallest ``doc_id`` of its group (itself included).
-
-    Links are all pairs whose sets of ``shingle``-word shingles (lower-cased, the whole sequence of shorter texts) have a
-    Jaccard similarity of at least ``similarity``, found exactly by prefix filtering; groups are their components. Texts
-    without words resemble each other. Rows with a NULL id have no duplicates; rows that share an id count as one document, judged by one text.
+    A row goes if its group has a smaller id than its own: rows without an id stay, rows that share an id and a group
+    count as one document. The rows are stored with their fingerprints once; which go is decided on narrow rows only.
     """
-    rows = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").cast("long").alias("node"), text_of(F.col(f"`{text}`")).alias("text"))
-    common, often = common_shingles(rows, shingle)
-    keys = stored(rows.mapInArrow(_prefixes(shingle, similarity, common, often), f"node long, digest binary, size long, {''.join(f'odd{i} long, ' for i in range(PARITY))}tokens array<long>"), "keys")
-    judged = keys.groupBy("node").agg(F.max("digest").alias("digest"))
-    groups = stored(judged.groupBy("digest").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "groups")
-    equal = judged.join(groups.where("n > 1"), "digest").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    firsts = keys.join(groups.select(F.col("first").alias("node"), "digest"), ["node", "digest"]).drop("digest")
-    return components(equal.union(similar_links(firsts, rows, shingle, similarity)))
-
-
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with exactly its columns, without the documents that are not the first of their group."""
-    key = free_name(docs, "later")
-    later = near_duplicates(docs, text, doc_id, **options).where("node <> root").select(F.col("node").alias(key))
-    return docs.join(stored(later, "later"), F.col(f"`{doc_id}`") == F.col(key), "left_anti")
+    marked, fp = with_fingerprints(docs, text, size, seed)
+    marked = stored(marked, "marked")
+    prints = marked.select(F.col(fp).alias("fp"), F.col(f"`{doc_id}`").cast("long").alias("id"))
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    placed = nodes.join(fingerprint_groups(nodes.select("fp"), radius), "fp")
+    lows = placed.groupBy("root").agg(F.min("low").alias("first"))
+    named = stored(placed.join(lows, "root").select("fp", "first"), "named")
+    gone = stored(prints.join(named, "fp").where("id <> first").select("fp", "id").distinct(), "gone")
+    gone = gone.toDF(*(names := [free_name(marked, "gone_fp"), free_name(marked, "gone_id")]))
+    return marked.join(gone, (F.col(fp) == F.col(names[0])) & (F.col(f"`{doc_id}`") == F.col(names[1])), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
