@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from insightspark.llm import chat, classifier, exact_dedup, mixing, packing, pii, quality_rules, secrets, simhash, wavelet
+from insightspark.llm import chat, classifier, divergence, exact_dedup, mixing, packing, pii, quality_rules, runs, secrets, sharding, simhash, wavelet
 from insightspark.session import prepare
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,8 +20,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_packing": packing.op9_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_runs": runs.op11_runs,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_divergence": divergence.op13_divergence,
 }
-_SQL = {"op1_chat": chat.SQL, "op6_secrets": secrets.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
+_SQL = {"op1_chat": chat.SQL, "op6_secrets": secrets.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL, "op13_divergence": divergence.SQL}
 
 
 def _prepared(fn):
