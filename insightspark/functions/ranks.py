@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SPLITS = 64
-BRACKET = 0.001
+#: Bits of the code left out in the rounds of radix selection: 22, 21 and 21 of 64 are counted.
+RADIX = (42, 21, 0)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,10 +79,22 @@ def prefix_totals(distinct: DataFrame, keys: list[str], value: str, sums: dict[s
     return joined.drop("_b", *[f"_o_{n}" for n in sums])
 
 
-def _bracket_bounds(df: DataFrame, keys: list[str], value: str, marks: list[float]):
-    """Sketch values at the given marks, per group."""
-    sketch = F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(m) for m in marks]), F.lit(10000))
-    return (df.groupBy(*keys) if keys else df.groupBy()).agg(sketch.alias("_bounds"))
+def with_order_code(df: DataFrame, value: str, code: str) -> DataFrame:
+    """Add a long that sorts as the double ``value`` does: its sign, exponent and mantissa (both zeros are 0; NaN is not expected).
+
+    The exponent is a guess from the logarithm, mended by one where the mantissa would leave [1, 2); each step is a column of its own, so that it is
+    worked out once.
+    """
+    size, power, part = F.abs(F.col(value)), F.pow(F.lit(2.0), F.col("_e")), F.col("_p")
+    df = df.withColumn("_e", F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)).cast("double"))
+    df = df.withColumn("_p", size / power)
+    up, down = part >= 2, (part < 1) & (F.col("_e") > -1022)
+    df = df.withColumn("_e", F.col("_e") + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)).withColumn("_p", F.when(up, part / 2).when(down, part * 2).otherwise(part))
+    whole = F.lit(2.0 ** 52)
+    # below the least normal number the mantissa is under 1 and its exponent field 0, which the same sum gives
+    made = F.when(F.col(value) == 0, F.lit(0).cast("long")).otherwise((F.col("_e") + 1022).cast("long") * F.lit(1 << 52) + (part * whole).cast("long"))
+    made = F.when(size == float("inf"), F.lit(2047 << 52)).otherwise(made)
+    return df.withColumn(code, F.coalesce(F.when(F.col(value) < 0, -made).otherwise(made), F.lit(0).cast("long"))).drop("_e", "_p")
 
 
 def few(df: DataFrame, known_small: bool) -> DataFrame:
@@ -93,54 +106,42 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], fe
               weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (keys, prob, quantile).
 
-    A bounded sketch brackets each wanted rank. Rows are counted per bracket in
-    the map-side combine, and only the rows inside a bracket that holds a wanted
-    rank (about ``2 * BRACKET`` of the group) are shuffled and sorted. The sketch
-    decides how much is sorted, never the result. ``few_groups`` says that the
-    number of groups is bounded by metadata (one group per column, say), so the
-    per-group bounds may be broadcast. ``weight`` names a count column when the
-    input holds distinct values with counts; brackets are then cut evenly.
+    Radix selection on a 64-bit code that sorts as the value does. The first round counts rows by the top bits of the code, in
+    the map-side combine; the bits that hold a wanted rank are kept, and the next rounds count the rows below them by their next bits. No value is
+    ever sorted with all others: a round sees one row for each pattern of its bits, however many rows a group has. Rows are joined on
+    group and bits, so a large group is dealt out by its bits. ``few_groups`` says that the number of groups is bounded by metadata (one group per
+    column, say), so the kept bits may be broadcast. ``weight`` names a count column when the input holds distinct values with counts.
     """
     probs = [float(p) for p in probs]
-    w = F.lit(1) if weight is None else F.col(weight)
+    w = F.lit(1).cast("long") if weight is None else F.col(weight)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w")).where("_v IS NOT NULL AND NOT isnan(_v)")
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    if weight is None:
-        marks = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BRACKET, BRACKET)})
-    else:
-        splits = split_count(df)
-        marks = [i / splits for i in range(1, splits)]
-    bounds = _bracket_bounds(rows, keys, "_v", marks)
-    with_bounds = rows.join(few(bounds, few_groups), keys) if keys else rows.withColumn("_bounds", bounds.scalar())
-    cut = with_bounds.select(*keys, "_v", "_w", F.size(F.filter("_bounds", lambda x: x < F.col("_v"))).alias("_b"))
-    across = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    per = cut.groupBy(*keys, "_b").agg(F.sum("_w").alias("_n"))
-    per = per.select(
-        *keys, "_b", "_n",
-        F.coalesce(F.sum("_n").over(across.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.sum("_n").over(across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"))
-    wanted = (per.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
-                 .withColumn("_pos", F.col("prob") * (F.col("_all") - 1))
-                 .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
-                 .withColumn("_rank", F.explode(F.array_distinct(F.array("_lo", "_hi"))))
-                 .where((F.col("_rank") >= F.col("_before"))
-                        & (F.col("_rank") < F.col("_before") + F.col("_n"))))
-    if keys:
-        inside = cut.join(few(wanted.select(*keys, "_b").distinct(), few_groups), [*keys, "_b"], "left_semi")
-    else:
-        inside = cut.where(F.array_contains(wanted.agg(F.collect_set("_b")).scalar(), F.col("_b")))
-    inner = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (inside.groupBy(*keys, "_b", "_v").agg(F.sum("_w").alias("_m"))
-                    .withColumn("_upto", F.sum("_m").over(inner)))
-    hit = (wanted.join(ranked, [*keys, "_b"])
-                 .withColumn("_end", F.col("_before") + F.col("_upto"))
-                 .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_m"))))
-    low = F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v")))
-    high = F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v")))
-    frac = F.max(F.col("_pos") - F.col("_lo"))
-    return hit.groupBy(*keys, "prob").agg((low + (high - low) * frac).alias("quantile"))
+    rows = with_order_code(rows, "_v", "_c")
+    ask = lambda prob, high, rank, part: F.struct(prob.alias("prob"), high.alias("high"), rank.alias("rank"), part.alias("part"))
+    asks = None
+    for turn, low in enumerate(RADIX):
+        bits, above = F.shiftright("_c", low).alias("_b"), F.shiftright("_c", RADIX[max(0, turn - 1)]).alias("_a")
+        if asks is None:
+            per = rows.select(*keys, "_v", "_w", bits).groupBy(*keys, "_b").agg(F.sum("_w").alias("_n"), F.max("_v").alias("_v"))
+            across = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+        else:
+            met = rows.select(*keys, "_v", "_w", bits, above).join(few(asks.select(*keys, "_a"), few_groups or not keys), [*keys, "_a"], "left_semi")
+            per = met.groupBy(*keys, "_a", "_b").agg(F.sum("_w").alias("_n"), F.max("_v").alias("_v")).join(few(asks, few_groups or not keys), [*keys, "_a"])
+            across = W.partitionBy(*keys, "_a")
+        per = per.withColumn("_before", F.coalesce(F.sum("_n").over(across.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        if asks is None:
+            top = F.sum("_n").over(across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) - 1
+            per = per.withColumn("_top", top).withColumn("asks", F.array(*[
+                ask(F.lit(p), F.lit(high), (F.ceil if high else F.floor)(F.col("_top") * p), F.col("_top") * p - F.floor(F.col("_top") * p)) for p in probs for high in (False, True)]))
+        mine = F.filter("asks", lambda a: (a["rank"] >= F.col("_before")) & (a["rank"] < F.col("_before") + F.col("_n")))
+        mine = F.transform(mine, lambda a: ask(a["prob"], a["high"], a["rank"] - F.col("_before"), a["part"]))
+        asks = per.select(*keys, F.col("_b").alias("_a"), "_v", mine.alias("asks")).where(F.size("asks") > 0)
+        if turn + 1 < len(RADIX):
+            asks = asks.drop("_v")
+    found = asks.select(*keys, "_v", F.inline("asks"))
+    low, high = F.max(F.when(~F.col("high"), F.col("_v"))), F.max(F.when(F.col("high"), F.col("_v")))
+    return found.groupBy(*keys, "prob").agg((low + (high - low) * F.max("part")).alias("quantile"))
 
 
 def quantiles_wide(df: DataFrame, keys: list[str], value: str, named: dict[str, float],

@@ -11,29 +11,47 @@ from pyspark.sql import functions as F
 from insightspark.functions.columns import clean, ratio, with_totals
 from insightspark.functions.ranks import quantiles_wide, running_by_time
 from insightspark.operators.windows import by_period
+from insightspark.session import cut_lineage
 
 N = lambda: F.count(F.lit(1))
 
 
-def funnel_times(df: DataFrame, user: str, ts: str, step: str, steps: list[str], within_hours: int | None = None) -> DataFrame:
+def funnel_times(df: DataFrame, user: str, ts: str, step: str, steps: list[str], within_hours: int | None = None, slot: str = "hour") -> DataFrame:
     """One row per user with the time of every step, each the first event at or after the step before.
 
-    Every step is one equality join on the user against that step's events only,
-    reduced to a minimum; no event sequence is collected.
+    A step that comes later than ``within_hours`` after the one before counts as not reached, and so do all after it.
+
+    Every (user, slot of time) is reduced to an automaton: for each step still waited for at its start, the times of the steps
+    that the slot then reaches. These come from one sort of the slot, latest first: an event of a step goes on with the earliest later
+    event of the next one. Automata of later slots follow one another, so a user is the fold of small rows in slot order, and a user
+    with a third of all events is spread over as many tasks as they have slots.
     """
-    reached = df.where(F.col(step) == steps[0]).groupBy(user).agg(F.min(ts).alias("t1"))
-    for i, name in enumerate(steps[1:], start=2):
-        nxt = df.where(F.col(step) == name).select(user, F.col(ts).alias("_t")).join(reached.select(user, F.col(f"t{i - 1}").alias("_p")), user)
-        ok = F.col("_t") >= F.col("_p")
-        if within_hours is not None:
-            ok = ok & (F.col("_t") <= F.col("_p") + F.expr(f"INTERVAL {int(within_hours)} HOURS"))
-        reached = reached.join(nxt.where(ok).groupBy(user).agg(F.min("_t").alias(f"t{i}")), user, "left")
-    return reached
+    last = len(steps)
+    number = reduce(lambda acc, i: acc.when(F.col(step) == steps[i], i + 1), range(1, last), F.when(F.col(step) == steps[0], 1))
+    rows = df.select(user, F.col(ts).alias("_t"), F.date_trunc(slot, F.col(ts)).alias("_slot"), number.alias("_s")).where(F.col("_s").isNotNull() & F.col("_t").isNotNull() & F.col(user).isNotNull())
+    latest_first = W.partitionBy(user, "_slot").orderBy(F.desc("_t")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    own = F.array(F.col("_t"))
+    rows = rows.withColumn(f"_p{last}", F.when(F.col("_s") == last, own))
+    kind = rows.schema[f"_p{last}"].dataType
+    for i in range(last - 1, 0, -1):
+        onward = F.last(f"_p{i + 1}", ignorenulls=True).over(latest_first)
+        rows = rows.withColumn(f"_p{i}", F.when(F.col("_s") == i, F.concat(own, F.coalesce(onward, F.array().cast(kind)))))
+    slots = rows.groupBy(user, "_slot").agg(*[F.min_by(f"_p{i}", F.when(F.col("_s") == i, F.col("_t"))).alias(f"_p{i}") for i in range(1, last + 1)])
+    path = F.array(*[F.coalesce(f"_p{i}", F.array().cast(kind)) for i in range(1, last + 1)])
+    walked = slots.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col("_slot"), path.alias("paths")))).alias("_slots"))  # one small row for each slot of the calendar
+    done = F.aggregate("_slots", F.array().cast(kind), lambda acc, s: F.when(F.size(acc) < last, F.concat(acc, F.element_at(s["paths"], F.least(F.size(acc), F.lit(last - 1)) + 1))).otherwise(acc))
+    out = walked.select(user, done.alias("_done")).where(F.size("_done") > 0).select(user, *[F.get("_done", F.lit(i - 1)).alias(f"t{i}") for i in range(1, last + 1)])
+    if within_hours is not None:
+        for i in range(2, last + 1):
+            ok = F.col(f"t{i - 1}").isNotNull() & (F.col(f"t{i}") <= F.col(f"t{i - 1}") + F.expr(f"INTERVAL {int(within_hours)} HOURS"))
+            out = out.withColumn(f"t{i}", F.when(ok, F.col(f"t{i}")))
+    return out
 
 
 def funnel(times: DataFrame, steps: list[str], keys: list[str] = ()) -> DataFrame:
     """Users, step and total conversion, drop-off and median minutes from the step before."""
     k = list(keys)
+    times = cut_lineage(times.select(*k, *[f"t{i}" for i in range(1, len(steps) + 1)]))  # one row for each user, read several times below
     long = times.select(*k, F.inline(F.array(*[
         F.struct(F.lit(i).alias("step_no"), F.lit(s).alias("step"), F.col(f"t{i}").isNotNull().alias("hit"),
                  (F.lit(None).cast("double") if i == 1 else (F.unix_micros(F.col(f"t{i}").cast("timestamp")) - F.unix_micros(F.col(f"t{i - 1}").cast("timestamp"))) / 6e7).alias("minutes"))

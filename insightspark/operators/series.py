@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from insightspark.functions.columns import clean, ratio, sign_label
 from insightspark.operators.relational import calendar_join
@@ -70,18 +73,39 @@ def naive_forecast(df: DataFrame, keys: list[str], order: str, value: str, perio
     return out.select(*keys, "step", stamp.cast(df.schema[order].dataType).alias(order), F.col("forecast").cast("double").alias("forecast"))
 
 
-def acf(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int = 365) -> DataFrame:
-    """Autocorrelation per lag up to half the series: mean lagged product over the population variance."""
-    s = indexed(prepare_series(df, keys, order, value), keys, order)
-    m = s.withColumn("_d", F.col(value) - F.avg(value).over(_whole(keys))).withColumn("_v", F.var_pop(value).over(_whole(keys)))
-    top = F.least(F.lit(max_lag), F.floor(F.col("n_points") / 2)).cast("int")
-    lags = m.where("n_points >= 4 AND _v > 0").select(*keys, "idx", "_d", "_v", "n_points", F.explode(F.sequence(F.lit(1), top)).alias("lag"))
-    later = m.select(*keys, (F.col("idx")).alias("_j"), F.col("_d").alias("_e"))
-    pair = lags.withColumn("_j", F.col("idx") + F.col("lag")).join(later, [*keys, "_j"])
-    return pair.groupBy(*keys, "lag").agg((F.avg(F.col("_d") * F.col("_e")) / F.max("_v")).alias("acf"), F.max("n_points").alias("n_points"))
+def _lagged(keys: list[str], order: str, value: str, max_lag: int | None):
+    """All lags of one series at once: the products at every lag are the inverse transform of the power spectrum."""
+
+    def run(series: pa.Table) -> pa.Table:
+        series = series.sort_by(order)
+        v = series.column(value).to_numpy().astype(float)
+        n = len(v)
+        top = n // 2 if max_lag is None else min(max_lag, n // 2)
+        d = v - v.mean() if n else v
+        variance = float((d * d).mean()) if n else 0.0
+        if n < 4 or variance <= 0:
+            top = 0
+        size = 1 << (2 * n).bit_length()  # room for the longest shift, so that nothing wraps round
+        spectrum = np.fft.rfft(d, size)
+        products = np.fft.irfft(spectrum * np.conj(spectrum), size)[1: top + 1]
+        lags = np.arange(1, top + 1)
+        out = {k: pa.repeat(series.column(k)[0], top) for k in keys} if n else {}
+        return pa.table({**out, "lag": pa.array(lags, pa.int32()), "acf": pa.array(products / (n - lags) / variance if top else np.empty(0)), "n_points": pa.array(np.full(top, n, np.int64))})
+
+    return run
+
+
+def acf(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int | None = None) -> DataFrame:
+    """Autocorrelation per lag up to half the series (or ``max_lag``): mean lagged product over the population variance.
+
+    A series is one group: it is as long as it has periods, and takes n log n steps.
+    """
+    s = prepare_series(df, keys, order, value).select(*keys, order, F.col(value).cast("double").alias(value))
+    schema = T.StructType([s.schema[k] for k in keys] + [T.StructField("lag", T.IntegerType()), T.StructField("acf", T.DoubleType()), T.StructField("n_points", T.LongType())])
+    return _grp(s, keys).applyInArrow(_lagged(keys, order, value, max_lag), schema)
 
 
-def acf_peaks(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int = 365) -> DataFrame:
+def acf_peaks(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int | None = None) -> DataFrame:
     """Interior local maxima of the autocorrelation above 2/√n."""
     a = acf(df, keys, order, value, max_lag)
     w = by_period(keys, "lag")
@@ -89,10 +113,10 @@ def acf_peaks(df: DataFrame, keys: list[str], order: str, value: str, max_lag: i
     return p.where((F.col("acf") > F.col("_l")) & (F.col("acf") > F.col("_r")) & (F.col("acf") > 2 / F.sqrt("n_points"))).drop("_l", "_r")
 
 
-def dominant_period(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int = 365) -> DataFrame:
-    """Strongest cycle per series with its strength class."""
+def dominant_period(df: DataFrame, keys: list[str], order: str, value: str, max_lag: int | None = None) -> DataFrame:
+    """Strongest cycle per series with its strength class; of cycles that are equal to nine digits the shortest."""
     p = acf_peaks(df, keys, order, value, max_lag)
-    one = _grp(p, keys).agg(F.max_by("lag", F.struct(F.col("acf"), -F.col("lag"))).alias("dominant_period"), F.max("acf").alias("strength"), N().alias("n_peaks"))
+    one = _grp(p, keys).agg(F.max_by("lag", F.struct(F.round("acf", 9), -F.col("lag"))).alias("dominant_period"), F.max("acf").alias("strength"), N().alias("n_peaks"))
     return one.withColumn("label", F.when(F.col("strength") > 0.5, "strong").when(F.col("strength") > 0.3, "moderate").when(F.col("strength").isNotNull(), "weak").otherwise("none"))
 
 

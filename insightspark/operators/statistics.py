@@ -5,13 +5,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from insightspark.functions.columns import clean, ratio
 from insightspark.functions.dist import chi2_sf_udf, f_sf_udf, norm_ppf, norm_sf2_udf, t_ppf_udf, t_sf2_udf
-from insightspark.functions.ranks import prefix_totals, quantiles_wide
+from insightspark.functions.ranks import join_null_safe, prefix_totals, quantiles_wide, range_buckets, split_count, value_counts
 
 N = lambda: F.count(F.lit(1))
 
@@ -130,28 +133,78 @@ def chi_squared(df: DataFrame, row: str, col: str, keys: list[str] = (), with_p:
     return out.withColumn("p_value", chi2_sf_udf("chi2", F.col("dof").cast("double"))) if with_p else out
 
 
-def bootstrap_mean_ci(df: DataFrame, key: str, num: str, den: str | None = None, replicates: int = 1000, confidence: float = 0.95,
-                      groups: int = 1024, seed: int = 7) -> DataFrame:
-    """Percentile bootstrap interval of a mean, or of Σnum / Σden.
-
-    Rows fall into random groups by the hash of their unique key; the group sums
-    are resampled with Poisson(1) weights. The facts are read once and reduced in
-    the map-side combine; only ``groups`` x ``replicates`` small rows follow.
+def _poisson_steps() -> list[int]:
+    """Thresholds of a 32-bit number: how many of them it reaches is Poisson(1), to the last step that 32 bits can tell."""
+    steps, cum, k = [], 0.0, 0
+    while True:
+        cum += math.exp(-1.0) / math.factorial(k)
+        step = math.floor(cum * (1 << 32) + 0.5)
+        if step >= 1 << 32 or k > 40:
+            return steps
+        steps.append(step)
+        k += 1
+
+
+POISSON_STEPS = _poisson_steps()
+#: Rows whose weights are drawn at once (times replicates, 4 bytes each).
+_BOOT_ROWS = 1024
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A 32-bit finalizer; wraps modulo 2 ** 32."""
+    h = h ^ (h >> np.uint32(16))
+    h = h * np.uint32(0x7FEB352D)
+    h = h ^ (h >> np.uint32(15))
+    h = h * np.uint32(0x846CA68B)
+    return h ^ (h >> np.uint32(16))
+
+
+def resampling_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) weight of each row in each replicate, from the row's key alone: (rows, replicates)."""
+    keys = keys.astype(np.int64).view(np.uint64)
+    low, high = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
+    one = _mixed(low ^ _mixed(high ^ np.uint32(seed)))
+    two = _mixed(one + low + np.uint32(1))
+    turn = (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(2654435769)).astype(np.uint32)
+    drawn = _mixed(_mixed(one[:, None] ^ turn[None, :]) + two[:, None])
+    return np.searchsorted(np.array(POISSON_STEPS, np.uint32), drawn.ravel(), side="right").reshape(drawn.shape)
+
+
+def _replicate_sums(replicates: int, seed: int):
+    """One row for each task and replicate: the sums of both figures over the rows of the task, each times its weight."""
+
+    def run(batches):
+        totals = np.zeros((2, replicates))
+        met = False
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            x, w = (np.nan_to_num(batch.column(i).to_numpy(zero_copy_only=False).astype(float)) for i in (1, 2))
+            for at in range(0, len(keys), _BOOT_ROWS):
+                part = slice(at, at + _BOOT_ROWS)
+                totals += np.stack([x[part], w[part]]) @ resampling_weights(keys[part], replicates, seed)
+            met = met or len(keys) > 0
+        if met:
+            yield pa.record_batch({"b": pa.array(np.arange(1, replicates + 1)), "x": pa.array(totals[0]), "w": pa.array(totals[1])})
+
+    return run
+
+
+def bootstrap_mean_ci(df: DataFrame, key: str, num: str, den: str | None = None, replicates: int = 1000, confidence: float = 0.95, seed: int = 7) -> DataFrame:
+    """Percentile bootstrap interval of a mean, or of Σnum / Σden, with a Poisson(1) weight for every row and replicate.
+
+    A row's weights come from its key (unique; whole numbers as they are, others by their hash), so they do not depend
+    on partitions. Each task adds its rows into one vector of replicate sums; the vectors are added element by element. So what is shuffled
+    is tasks times replicates, whatever the number of rows.
     """
     v = clean(num)
     d = F.when(v.isNotNull(), F.lit(1.0)) if den is None else clean(den)
-    per = df.groupBy(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(groups)).alias("g")).agg(F.sum(v).alias("x"), F.sum(d).alias("w"))
-    u = (F.pmod(F.xxhash64("g", "b", F.lit(seed + 1)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    weight, cum = F.lit(0), 0.0
-    for k in range(0, 12):
-        cum += math.exp(-1.0) / math.factorial(k)
-        weight = weight + F.when(u > cum, 1).otherwise(0)
-    reps = (per.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", weight).where("k > 0")
-               .groupBy("b").agg(ratio(F.sum(F.col("k") * F.col("x")), F.sum(F.col("k") * F.col("w"))).alias("stat")))
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    number = F.coalesce(F.col(key).cast("long") if whole else F.xxhash64(F.col(key)), F.lit(0).cast("long"))
+    rows = df.select(number.alias("k"), F.coalesce(v, F.lit(0.0)).alias("x"), F.coalesce(d, F.lit(0.0)).alias("w"))
+    reps = rows.mapInArrow(_replicate_sums(replicates, seed), "b long, x double, w double").groupBy("b").agg(ratio(F.sum("x"), F.sum("w")).alias("stat"))
     tail = (1 - confidence) / 2
     ci = reps.agg(F.expr(f"percentile(stat, {tail})").alias("ci_low"), F.expr(f"percentile(stat, {1 - tail})").alias("ci_high"), F.stddev_samp("stat").alias("boot_se"), N().alias("replicates"))
-    point = per.agg(ratio(F.sum("x"), F.sum("w"))).scalar()
-    return ci.withColumn("estimate", point)
+    return ci.withColumn("estimate", rows.agg(ratio(F.sum("x"), F.sum("w"))).scalar())
 
 
 def bootstrap_quantile_ci(df: DataFrame, value: str, prob: float = 0.5, confidence: float = 0.95) -> DataFrame:
@@ -168,17 +221,30 @@ def bootstrap_quantile_ci(df: DataFrame, value: str, prob: float = 0.5, confiden
 
 
 def adjust_pvalues(tests: DataFrame, p: str, key: str, keys: list[str] = ()) -> DataFrame:
-    """Bonferroni, Holm and Benjamini-Hochberg adjusted p-values per family of tests."""
-    fam = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    up = fam.orderBy(p, key)
-    m = N().over(fam)
-    r = F.row_number().over(up)
-    out = tests.withColumn("_m", m).withColumn("_r", r)
-    holm = F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(up.rowsBetween(W.unboundedPreceding, 0))
-    bh = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(up.rowsBetween(0, W.unboundedFollowing))
+    """Bonferroni, Holm and Benjamini-Hochberg adjusted p-values per family of tests; tests without p are not counted and get NULL.
+
+    Equal p-values of a family get equal results (Holm that of their first rank, Benjamini-Hochberg that of their
+    last), so everything is done on distinct p-values with counts: ranks are prefix sums over range buckets, the
+    running maximum and minimum come from the buckets before and after and from inside a bucket. No task holds a family. ``key`` names a test; it decides nothing.
+    """
+    keys = list(keys)
+    distinct = value_counts(tests.where(~F.isnan(p)), keys, p)
+    ranked = prefix_totals(distinct, keys, p, {"_less": "n"})
+    m = F.col("_less_all")
+    ranked = ranked.withColumn("_h", (m - F.col("_less")) * F.col(p)).withColumn("_q", F.col(p) * m / (F.col("_less") + F.col("n")))
+    cut = range_buckets(ranked, keys, p)
+    across = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # one row for each bucket of a family
+    per = cut.groupBy(*keys, "_b").agg(F.max("_h").alias("_bh"), F.min("_q").alias("_bq"))
+    per = per.select(*keys, "_b", F.max("_bh").over(across.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_ph"), F.min("_bq").over(across.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)).alias("_nq"))
+    inner = W.partitionBy(*keys, "_b")
+    both = join_null_safe(cut, per, [*keys, "_b"])
+    both = both.withColumn("_h", F.greatest("_ph", F.max("_h").over(inner.orderBy(p)))).withColumn("_q", F.least("_nq", F.min("_q").over(inner.orderBy(F.desc(p)))))
     one = F.lit(1.0)
-    return (out.withColumn("bonferroni", F.least(F.col(p) * F.col("_m"), one)).withColumn("holm", F.least(holm, one))
-               .withColumn("benjamini_hochberg", F.least(bh, one)).drop("_m", "_r"))
+    adjusted = both.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col(p).alias("_p"), F.least(F.col(p) * m, one).alias("bonferroni"), F.least(F.col("_h"), one).alias("holm"), F.least(F.col("_q"), one).alias("benjamini_hochberg"))
+    same = F.col(p) == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
+    return tests.join(adjusted, same, "left").drop("_p", *[f"_f_{k}" for k in keys])
 
 
 def normality(df: DataFrame, keys: list[str], metric: str, with_p: bool = True) -> DataFrame:
@@ -260,49 +326,81 @@ def detectable_effect(base: DataFrame, n: str, rate: str | None = None, std: str
     return out.withColumn("mde_relative", F.coalesce(ratio("mde_absolute", std), F.lit(0.0)))
 
 
-def _pairs(summary: DataFrame, segment: str) -> DataFrame:
-    """(seg_a, seg_b) with seg_a < seg_b from the per-segment summary rows."""
-    idx = summary.select(segment, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(segment)).alias("i"))
-    k = summary.agg(N().cast("int")).scalar()
-    left = idx.withColumn("j", F.explode(F.when(F.col("i") < k, F.sequence(F.col("i") + 1, k)).otherwise(F.array().cast("array<int>"))))
-    return left.select(F.col(segment).alias("seg_a"), "j").join(idx.select(F.col(segment).alias("seg_b"), F.col("i").alias("j")), "j").drop("j")
-
-
 def segment_summary(df: DataFrame, segment: str, metric: str) -> DataFrame:
     d = df.select(segment, clean(metric).alias("_v")).where(F.col(segment).isNotNull() & F.col("_v").isNotNull())
     s = d.groupBy(segment).agg(N().alias("n"), F.avg("_v").alias("mean"), F.var_samp("_v").alias("var"))
     return s.join(quantiles_wide(d, [segment], "_v", {"median": 0.5}), segment)
 
 
-def compare_segments(df: DataFrame, segment: str, metric: str, test: str = "auto", with_p: bool = True) -> DataFrame:
-    """All pairs of segments with test statistic, effect size and Bonferroni-adjusted p.
+def _wins(batch: pa.Table) -> pa.Table:
+    """The win matrix of one range of values: rows ``s, v, c`` by segment and value, NULL values being the counts before the range.
 
-    ``auto`` takes Mann-Whitney when any segment has fewer than 30 rows or fails
-    the normality test, else Welch. Pairs are formed from segment summaries and
-    value counts, never from rows.
+    A running vector of counts over all segments goes up along the values, so all pairs are updated by one product.
     """
-    d = df.select(segment, clean(metric).alias("_v")).where(F.col(segment).isNotNull() & F.col("_v").isNotNull())
-    s = d.groupBy(segment).agg(N().alias("n"), F.avg("_v").alias("mean"), F.var_samp("_v").alias("var"))
-    if test == "auto":
-        odd = normality(d, [segment], "_v").agg(F.max((F.col("n") < 30) | (F.coalesce("p_value", F.lit(0.0)) < 0.05)).alias("x")).first()["x"]
-        test = "mann-whitney" if odd else "welch-t"
-    pairs = _pairs(s, segment)
-    side = lambda tag: s.select(F.col(segment).alias(f"seg_{tag}"), F.col("n").alias(f"n_{tag}"), F.col("mean").alias(f"mean_{tag}"), F.col("var").alias(f"var_{tag}"))
-    wide = welch_t(pairs.join(side("a"), "seg_a").join(side("b"), "seg_b"), with_p=with_p and test == "welch-t")
-    wide = wide.withColumn("effect_size", -F.col("cohens_d"))
-    if test == "welch-t":
-        out = wide.withColumn("stat", F.col("t_stat"))
-    else:
-        counts = d.groupBy(segment, "_v").agg(N().alias("c"))
-        both = pairs.select("seg_a", "seg_b", F.explode(F.array(F.struct(F.col("seg_a").alias("s"), F.lit(True).alias("is_a")), F.struct(F.col("seg_b").alias("s"), F.lit(False).alias("is_a")))).alias("x"))
-        side_c = both.select("seg_a", "seg_b", F.col("x.s").alias(segment), F.col("x.is_a").alias("is_a")).join(counts, segment)
-        merged = side_c.groupBy("seg_a", "seg_b", "_v").agg(F.sum(F.when(F.col("is_a"), F.col("c")).otherwise(0)).alias("c_a"), F.sum(F.when(~F.col("is_a"), F.col("c")).otherwise(0)).alias("c_b"))
-        mw = mann_whitney(merged, ["seg_a", "seg_b"], with_p).drop("n_a", "n_b", "z")
-        out = wide.join(mw, ["seg_a", "seg_b"]).withColumn("stat", F.col("u_stat"))
-    out = out.withColumn("test_used", F.lit(test))
-    keep = ["seg_a", "seg_b", "test_used", "stat", "effect_size"]
+    names, index = np.unique(np.array(batch.column("s").to_pylist(), object), return_inverse=True)
+    value, count = batch.column("v").to_numpy(), batch.column("c").to_numpy().astype(float)
+    k = len(names)
+    start = np.isnan(value)
+    running = np.bincount(index[start], count[start], k)
+    index, value, count = index[~start], value[~start], count[~start]
+    order = np.argsort(value, kind="stable")
+    index, value, count = index[order], value[order], count[order]
+    place = np.cumsum(np.concatenate([[0], value[1:] != value[:-1]])) if len(value) else np.empty(0, int)
+    u, squares, cubes = np.zeros((k, k)), np.zeros((k, k)), np.zeros(k)
+    step, at = max(1, (1 << 20) // k), 0
+    while at < len(value):
+        to = int(np.searchsorted(place, place[at] + step))
+        c = np.zeros((int(place[to - 1] - place[at]) + 1, k))
+        c[place[at:to] - place[at], index[at:to]] = count[at:to]
+        upto = np.cumsum(c, axis=0) + running
+        u += c.T @ (upto - c / 2)
+        squares += (c * c).T @ c
+        cubes += (c ** 3).sum(0)
+        running, at = upto[-1], to
+    a, b = np.triu_indices(k, 1)
+    return pa.table({"seg_a": pa.array(names[a].tolist(), pa.string()), "seg_b": pa.array(names[b].tolist(), pa.string()), "u": u[a, b], "t3": cubes[a] + cubes[b] + 3 * (squares[a, b] + squares[b, a])})
+
+
+def win_matrix(d: DataFrame, segment: str, value: str) -> DataFrame:
+    """``seg_a, seg_b, u, t3`` for all pairs of segments (as text): the U statistic of the first and the sum of cubes of ties.
+
+    Values are counted once by (segment, value) and cut into ranges. The counts before a range are prefix sums by segment; inside a
+    range all pairs are updated together, so no count is copied for each other segment.
+    """
+    counts = value_counts(d.select(F.col(segment).cast("string").alias("s"), F.col(value).alias("v")), ["s"], "v")
+    splits = split_count(counts)
+    cut = range_buckets(counts, [], "v", splits)
+    at = cut.groupBy("s", "_b").agg(F.sum("n").alias("c"))
+    every = counts.select("s").distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    before = F.sum("c").over(W.partitionBy("s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    led = every.join(at, ["s", "_b"], "left").select("_b", "s", F.lit(float("nan")).alias("v"), F.coalesce(before, F.lit(0)).alias("c"))
+    rows = cut.select("_b", "s", "v", F.col("n").alias("c")).unionByName(led)
+    return rows.groupBy("_b").applyInArrow(_wins, "seg_a string, seg_b string, u double, t3 double").groupBy("seg_a", "seg_b").agg(F.sum("u").alias("u"), F.sum("t3").alias("t3"))
+
+
+def compare_segments(df: DataFrame, segment: str, metric: str, with_p: bool = True) -> DataFrame:
+    """All pairs of segments (as text) with Welch's t, Mann-Whitney's U and both effect sizes; with ``with_p`` both p-values as well.
+
+    ``advised`` names the test to read: Mann-Whitney where one of the two segments has fewer than 30 rows or fails the
+    normality test, else Welch; ``p_adjusted`` is Bonferroni's over all pairs for that one. Pairs are formed from segment summaries and the win matrix.
+    """
+    d = df.select(F.col(segment).cast("string").alias("s"), clean(metric).alias("_v")).where(F.col("s").isNotNull() & F.col("_v").isNotNull())
+    s = d.groupBy("s").agg(N().alias("n"), F.avg("_v").alias("mean"), F.var_samp("_v").alias("var"))
+    k2 = normality(d, ["s"], "_v", with_p=False).select(F.col("s").alias("_s"), F.coalesce(F.exp(-F.col("k2") / 2) < 0.05, F.lit(True)).alias("odd"))  # the tail of two degrees of freedom
+    s = s.join(k2, F.col("s") == F.col("_s")).select("s", "n", "mean", "var", (F.col("odd") | (F.col("n") < 30)).alias("odd"))
+    side = lambda tag: s.select(F.col("s").alias(f"seg_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in ("n", "mean", "var", "odd")])
+    wide = win_matrix(d, "s", "_v").join(side("a"), "seg_a").join(side("b"), "seg_b")
+    wide = welch_t(wide, with_p=with_p)
+    na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    n = na + nb
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - ratio(F.col("t3") - n, n * (n - 1))))
+    z = ratio(F.greatest(F.col("u"), na * nb - F.col("u")) - na * nb / 2 - 0.5, sd)
+    out = wide.withColumn("advised", F.when(F.col("odd_a") | F.col("odd_b"), "mann-whitney").otherwise("welch-t")).withColumn("rank_biserial", 1 - 2 * ratio("u", na * nb)).withColumn("_z", z)
+    keep = ["seg_a", "seg_b", "n_a", "n_b", "t_stat", F.col("u").alias("u_stat"), (-F.col("cohens_d")).alias("effect_size"), "rank_biserial", "advised"]
     if with_p:
-        m = N().over(W.partitionBy(F.lit(0)))
-        out = out.withColumn("p_adjusted", F.least(F.col("p_value") * m, F.lit(1.0))).withColumn("significant", F.col("p_adjusted") < 0.05)
-        keep += ["p_value", "p_adjusted", "significant"]
+        m = N().over(W.partitionBy(F.lit(0)))  # a row for each pair: the result itself
+        out = out.withColumn("p_welch", F.col("p_value")).withColumn("p_mann_whitney", F.when(F.col("_z") > 0, norm_sf2_udf("_z")).otherwise(1.0))
+        out = out.withColumn("p_adjusted", F.least(F.when(F.col("advised") == "welch-t", F.col("p_welch")).otherwise(F.col("p_mann_whitney")) * m, F.lit(1.0)))
+        out = out.withColumn("significant", F.col("p_adjusted") < 0.05)
+        keep += ["p_welch", "p_mann_whitney", "p_adjusted", "significant"]
     return out.select(*keep)

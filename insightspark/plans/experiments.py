@@ -94,11 +94,35 @@ def k5b(t):
     return S.chi_squared(t.lineitem.withColumn("big", F.col("l_quantity") > 20), "l_linestatus", "big", with_p=False)
 
 
-@query("k6_bootstrap_ci")
+_STEPS = " + ".join(f"CAST(drawn >= {step} AS INT)" for step in S.POISSON_STEPS)
+
+
+def _mix(start, name):
+    """The 32-bit finalizer of an expression, in steps that are columns."""
+    return f"""CAST({start} AS UBIGINT) AS {name}_0, xor({name}_0, {name}_0 >> 16) * 2146121005::UBIGINT % 4294967296 AS {name}_1, xor({name}_1, {name}_1 >> 15) * 2221713035::UBIGINT % 4294967296 AS {name}_2, xor({name}_2, {name}_2 >> 16) AS {name}"""
+
+
+def _boot_sql(num, den):
+    """Every row and replicate with its Poisson weight, from the same hash of key and replicate."""
+    return f"""WITH k AS (SELECT CAST(event_id % 4294967296 AS UBIGINT) AS low, CAST(event_id // 4294967296 AS UBIGINT) AS high, {num} AS x, {den} AS w FROM events),
+a AS (SELECT *, {_mix("xor(high, 7::UBIGINT)", "z")}, {_mix("xor(low, z)", "one")}, {_mix("(one + low + 1) % 4294967296", "two")} FROM k),
+h AS (SELECT b, x, w, {_mix("xor(one, CAST(b AS UBIGINT) * 2654435769::UBIGINT % 4294967296)", "turn")}, {_mix("(turn + two) % 4294967296", "drawn")} FROM (SELECT x, w, one, two FROM a), range(1, 1001) r(b)),
+s AS (SELECT b, sum(x * k) / sum(w * k) AS stat FROM (SELECT b, x, w, {_STEPS} AS k FROM h) GROUP BY 1)
+SELECT round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high, round(stddev_samp(stat), 6) AS boot_se, count(*) AS replicates, (SELECT round(sum(x) / sum(w), 6) FROM k) AS estimate FROM s"""
+
+
+@query("k6_bootstrap_ci", _boot_sql("coalesce(value, 0)", "CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0.0 END"))
 def k6(t):
     return S.bootstrap_mean_ci(t.events, "event_id", "value")
 
 
+@query("k6_bootstrap_ratio_ci", _boot_sql("CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END", "CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END"))
+def k6c(t):
+    """Revenue for each view."""
+    e = t.events.select("event_id", F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0).alias("revenue"), (F.col("event_type") == "view").cast("double").alias("views"))
+    return S.bootstrap_mean_ci(e, "event_id", "revenue", "views")
+
+
 @query("k6_bootstrap_median_ci")
 def k6b(t):
     return S.bootstrap_quantile_ci(t.lineitem, "l_extendedprice", 0.5)
@@ -175,19 +199,27 @@ def k12(t):
     return p.select("l_suppkey", S.significance(F.col("p"), 0.025).alias("verdict"), S.effect_label(F.col("d")).alias("effect"))
 
 
-@query("k13_compare_segments", """
-WITH d AS (SELECT c_mktsegment AS s, c_acctbal AS v FROM customer), p AS (SELECT DISTINCT a.s AS sa, b.s AS sb FROM d a JOIN d b ON a.s < b.s),
+_NORMAL = """n8 AS (SELECT s, CAST(count(*) AS DOUBLE) AS n, avg(pow(v - m, 3))/pow(max(sd), 3) AS g1, max(k) AS g2 FROM d JOIN (SELECT s, avg(v) AS m, stddev_pop(v) AS sd, kurtosis_pop(v) AS k FROM d GROUP BY 1) USING (s) GROUP BY 1),
+a8 AS (SELECT *, g1*sqrt((n+1)*(n+3)/(6*(n-2))) AS y, 3*(n*n+27*n-70)*(n+1)*(n+3)/((n-2)*(n+5)*(n+7)*(n+9)) AS b, (g2 + 3 - 3*(n-1)/(n+1))/sqrt(24*n*(n-2)*(n-3)/((n+1)*(n+1)*(n+3)*(n+5))) AS x,
+ 6*(n*n-5*n+2)/((n+7)*(n+9))*sqrt(6*(n+3)*(n+5)/(n*(n-2)*(n-3))) AS rb FROM n8),
+b8 AS (SELECT *, sqrt(2*(b-1)) - 1 AS w2, 6 + 8/rb*(2/rb + sqrt(1 + 4/(rb*rb))) AS a FROM a8),
+odd AS (SELECT s, n < 30 OR exp(-(pow(1/sqrt(0.5*ln(w2))*ln(y/sqrt(2/(w2-1)) + sqrt(y/sqrt(2/(w2-1))*y/sqrt(2/(w2-1)) + 1)), 2) + pow((1 - 2/(9*a) - cbrt((1 - 2/a)/(1 + x*sqrt(2/(a-4)))))/sqrt(2/(9*a)), 2))/2) < 0.05 AS odd FROM b8)"""
+
+
+@query("k13_compare_segments", f"""
+WITH d AS (SELECT c_mktsegment AS s, c_acctbal AS v FROM customer), {_NORMAL}, p AS (SELECT DISTINCT a.s AS sa, b.s AS sb FROM d a JOIN d b ON a.s < b.s),
 x AS (SELECT sa, sb, v, s = sa AS is_a FROM p JOIN d ON s = sa OR s = sb), r AS (SELECT *, rank() OVER (PARTITION BY sa, sb ORDER BY v) + (count(*) OVER (PARTITION BY sa, sb, v) - 1)/2.0 AS ar FROM x),
-g AS (SELECT sa, sb, sum(CASE WHEN is_a THEN ar END) - count(CASE WHEN is_a THEN 1 END)*(count(CASE WHEN is_a THEN 1 END)+1)/2.0 AS u, (avg(CASE WHEN is_a THEN v END) - avg(CASE WHEN NOT is_a THEN v END)) /
- sqrt(((count(CASE WHEN is_a THEN 1 END)-1)*var_samp(CASE WHEN is_a THEN v END) + (count(CASE WHEN NOT is_a THEN 1 END)-1)*var_samp(CASE WHEN NOT is_a THEN v END))/(count(*)-2)) AS es FROM r GROUP BY 1, 2)
-SELECT sa AS seg_a, sb AS seg_b, 'mann-whitney' AS test_used, round(u, 1) AS stat, round(es, 6) AS effect_size FROM g""")
+g AS (SELECT sa, sb, count(CASE WHEN is_a THEN 1 END) AS na, count(CASE WHEN NOT is_a THEN 1 END) AS nb, sum(CASE WHEN is_a THEN ar END) - count(CASE WHEN is_a THEN 1 END)*(count(CASE WHEN is_a THEN 1 END)+1)/2.0 AS u,
+ avg(CASE WHEN is_a THEN v END) AS ma, avg(CASE WHEN NOT is_a THEN v END) AS mb, var_samp(CASE WHEN is_a THEN v END) AS va, var_samp(CASE WHEN NOT is_a THEN v END) AS vb FROM r GROUP BY 1, 2)
+SELECT sa AS seg_a, sb AS seg_b, na AS n_a, nb AS n_b, round((ma - mb)/sqrt(va/na + vb/nb), 6) AS t_stat, round(u, 1) AS u_stat, round((ma - mb)/sqrt(((na-1)*va + (nb-1)*vb)/(na + nb - 2)), 6) AS effect_size,
+ round(1 - 2*u/(CAST(na AS DOUBLE)*nb), 6) AS rank_biserial, CASE WHEN o.odd OR q.odd THEN 'mann-whitney' ELSE 'welch-t' END AS advised FROM g JOIN odd o ON o.s = sa JOIN odd q ON q.s = sb""")
 def k13(t):
-    return S.compare_segments(t.customer, "c_mktsegment", "c_acctbal", "mann-whitney", with_p=False).withColumn("stat", F.round("stat", 1))
+    return S.compare_segments(t.customer, "c_mktsegment", "c_acctbal", with_p=False).withColumn("u_stat", F.round("u_stat", 1))
 
 
 @query("k13_compare_segments_auto")
 def k13b(t):
-    return S.compare_segments(t.customer, "c_mktsegment", "c_acctbal", "auto")
+    return S.compare_segments(t.customer, "c_mktsegment", "c_acctbal")
 
 
 @query("k13_segment_summary", "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean, round(var_samp(c_acctbal), 2) AS var, round(median(c_acctbal), 4) AS median FROM customer GROUP BY 1", digits=4)
