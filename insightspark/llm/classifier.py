@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -16,6 +16,8 @@ from insightspark.llm.common import free_name, slices, table_of, text_of
 
 #: Labelled documents used for fitting at most, preference pairs drawn from them, and the strength of the ridge.
 SAMPLE_ROWS, PAIRS, RIDGE = 20_000, 200_000, 1e-3
+#: Bins of a raw score in which labels are counted for the threshold; raw scores are cut off at this size.
+BINS, LARGEST = 1024, 64.0
 #: Score at the learnt threshold.
 ACCEPT = 0.7
 _SYMBOLS, _UPPER, _DIGITS, _MARKS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58)), b".,;:!?"
@@ -48,7 +50,7 @@ class Ranker:
     threshold: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -10, 10) @ self.weights
+        return np.clip(np.clip((x - self.mean) / self.scale, -10, 10) @ self.weights, -LARGEST, LARGEST)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; exactly ``ACCEPT`` at the threshold."""
@@ -60,8 +62,7 @@ class Ranker:
 def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = 3) -> Ranker:
     """Newton steps on the logistic loss of feature differences (better minus worse).
 
-    The threshold is the quantile of the training scores with the best balanced accuracy. Without both labels nothing can
-    be learnt: all scores are then ``ACCEPT``.
+    The threshold is the :func:`cut` of the rows given. Without both labels nothing can be learnt: all scores are then ``ACCEPT``.
     """
     good, bad = np.nonzero(label == 1)[0], np.nonzero(label == 0)[0]
     if not len(good) or not len(bad):
@@ -78,14 +79,24 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = RID
         w += step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-6:
             break
-    raw = z @ w
-    cuts = np.unique(np.quantile(raw, np.linspace(0.001, 0.999, 999)))
-    bad_sorted, good_sorted = np.sort(raw[bad]), np.sort(raw[good])
-    kept_good = 1 - np.searchsorted(good_sorted, cuts) / len(good)
-    lost_bad = np.searchsorted(bad_sorted, cuts) / len(bad)
-    both = kept_good + lost_bad
-    best = cuts[both >= both.max() - 1e-12]
-    return Ranker(mean, scale, w, float(best[len(best) // 2]))
+    ranker = Ranker(mean, scale, w, 0.0)
+    bins, quality = np.floor(ranker.raw(x) * BINS).astype(np.int64), np.asarray(label)
+    values = np.unique(bins)
+    return replace(ranker, threshold=cut(values, *[np.bincount(np.searchsorted(values, bins[quality == q]), minlength=len(values)) for q in (1, 0)]))
+
+
+def cut(bins: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The score quantile with the best balanced accuracy, from counts of both labels by score bin (ascending; a bin is ``1 / BINS`` wide).
+
+    Of the thousandths of all scores counted, the middle one of the best is taken; its bin's lower edge is the cut.
+    """
+    both = np.cumsum(good + bad)
+    at = np.unique(np.searchsorted(both, np.linspace(0.001, 0.999, 999) * both[-1], side="left"))
+    kept_good = 1 - (np.cumsum(good) - good)[at] / max(1, good.sum())
+    lost_bad = (np.cumsum(bad) - bad)[at] / max(1, bad.sum())
+    balanced = kept_good + lost_bad
+    best = bins[at[balanced >= balanced.max() - 1e-12]]
+    return float(best[len(best) // 2]) / BINS
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,19 +109,40 @@ def held_out(doc_id: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(True))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, quality`` outside the held-out quarter, one row for each id; labels other than 0 and 1 are left out."""
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    return known.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
+def _binned(ranker: Ranker):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            x = np.array([features(t) for t in batch.column(1).to_pylist()]).reshape(-1, N_FEATURES)
+            yield pa.record_batch({"doc_id": batch.column(0), "bin": pa.array(np.floor(ranker.raw(x) * BINS).astype(np.int64))})
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Ranker:
-    """Fit on at most about ``rows`` labelled documents outside the held-out quarter, chosen by a hash of their id.
+    """Weights from at most ``rows`` labelled documents outside the held-out quarter, those first in the order of a hash of
+    their id; the threshold from the scores of all labelled documents outside that quarter, counted by bins.
 
-    Labels other than 0 and 1 are left out. Of documents that repeat an id one text is used.
+    Labels other than 0 and 1 are left out. Of documents that repeat an id one text is used for the weights, all count for the threshold.
     """
-    usable = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, rows / max(1, usable.count()))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(rows)
+    usable = usable_labels(labels)
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))  # at most ``rows`` short rows are broadcast
     got = sample.select("quality", "text").mapInArrow(_features, "quality int, x array<double>").collect()
     got.sort(key=lambda r: (r.quality, r.x))
-    return fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.quality for r in got]))
+    ranker = fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.quality for r in got]))
+    bins = texts.mapInArrow(_binned(ranker), T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("bin", T.LongType())]))
+    met = bins.join(usable, "doc_id").groupBy("bin").agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # as many rows as scores have bins
+    if not met or not ranker.weights.any():
+        return ranker
+    at, good, n = (np.array([r[i] for r in met], np.int64) for i in range(3))
+    return replace(ranker, threshold=cut(at, good, n - good))
 
 
 def scored(docs: DataFrame, ranker: Ranker, text: str = "text") -> tuple[DataFrame, str]:

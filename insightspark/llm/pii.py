@@ -24,8 +24,9 @@ LOOSE = {
 }
 #: States of an instance.
 REFUTED, OPEN, KNOWN = 0, 1, 2
-#: Rounds of scoring; a pattern is trusted from this score and this number of different known instances on.
-ROUNDS, TRUST, SUPPORT = 3, 0.8, 5
+#: Rounds of scoring at most; a pattern is trusted from this score and this number of different seeds on; seeds that a pattern
+#: needs where it only confirms an instance believed already.
+ROUNDS, TRUST, SUPPORT, CONFIRM = 4, 0.8, 5, 2
 
 
 def _guard(text: Column, kind: str, loose: bool) -> Column:
@@ -106,37 +107,57 @@ def _instance(rank: int, kind: str, loose: bool = False):
     return made
 
 
-def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """``pattern`` of those that score ``trust`` or more, from the graph of patterns and instances.
+def grown_patterns(seen: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT, confirm: int = CONFIRM) -> tuple[DataFrame, DataFrame]:
+    """``pattern, full`` of the trusted patterns and ``instance`` of the open instances believed, from the graph of both.
 
-    An edge joins a pattern with each different instance met in it. Known instances count 1 and refuted ones 0; a pattern
-    scores the mean of its instances if it has ``support`` known ones; an open instance counts 1 - prod(1 - score) over its
-    scored patterns. Scores are passed to and fro ``rounds`` times. Edges are distinct before they are counted, so a very common context or a much
-    repeated number is aggregated in the map-side combine and never gathered.
+    An edge joins a pattern with each different instance met in it. Known instances are the first seeds and count 1, refuted ones
+    0, open ones their belief, at first 0. In each round a pattern with ``support`` seeds scores the mean of its instances; an open
+    instance is believed by 1 - prod(1 - score) over its scored patterns, and from ``trust`` on it is a seed itself: it counts for
+    the support of its other patterns, so contexts without any known instance can follow. It ends when no seed is new, or after ``rounds``.
+    Patterns that score ``trust`` with ``support`` seeds are ``full``; others with ``confirm`` seeds only confirm instances that are believed already.
+    Edges are distinct before they are counted, so a very common context or a much repeated number is aggregated in the
+    map-side combine and never gathered.
     """
     edges = stored(seen.select("state", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("state").alias("state")), "edges")
-    counted = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("state") == KNOWN).cast("long")).alias("n_known")).where(F.col("n_known") >= support)
-    scores = stored(counted.select("pattern", "n", "n_known", (F.col("n_known") / F.col("n")).alias("score")), "scores")
-    open_edges = edges.where(F.col("state") == OPEN)
+    open_edges = edges.where(F.col("state") == OPEN).select("pattern", "instance")
+
+    def scored(belief: DataFrame | None) -> DataFrame:
+        valued = edges.withColumn("belief", F.lit(0.0)) if belief is None else edges.join(belief, "instance", "left")
+        value = F.when(F.col("state") == KNOWN, 1.0).when(F.col("state") == OPEN, F.coalesce("belief", F.lit(0.0))).otherwise(0.0)
+        seed = (F.col("state") == KNOWN) | ((F.col("state") == OPEN) & (F.coalesce("belief", F.lit(0.0)) >= trust))
+        out = valued.groupBy("pattern").agg(F.avg(value).alias("score"), F.count_if(seed).alias("seeds")).where(F.col("seeds") >= confirm)
+        return stored(out, "scores")
+
+    scores, belief, before = scored(None), None, -1
     for _ in range(rounds):
-        belief = open_edges.join(scores, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("belief"))
-        gained = open_edges.join(belief, "instance").groupBy("pattern").agg(F.sum("belief").alias("gained"))
-        scores = stored(scores.select("pattern", "n", "n_known").join(gained, "pattern", "left").select("pattern", "n", "n_known", ((F.col("n_known") + F.coalesce("gained", F.lit(0.0))) / F.col("n")).alias("score")), "scores")
-    return scores.where((F.col("score") >= trust) & (F.col("n_known") >= F.col("n") / 2)).select("pattern")  # at least half of its instances are known
+        voices = scores.where(F.col("seeds") >= support)
+        now = open_edges.join(voices, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("belief"))
+        belief = stored(now, "belief")
+        scores = scored(belief)
+        seeds = belief.agg(F.count_if(F.col("belief") >= trust)).first()[0]
+        if seeds == before:
+            break
+        before = seeds
+    patterns = scores.where(F.col("score") >= trust).select("pattern", (F.col("seeds") >= support).alias("full"))
+    believed = belief.where(F.col("belief") >= trust).select("instance") if belief is not None else edges.where(F.lit(False)).select("instance")
+    return patterns, believed
 
 
 def pii_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
     """``doc_id, base, spans`` for every row: arrays of ``rank, start, end, kind`` (code points, ends exclusive).
 
-    Base spans are the seeds. The words around them are lexical patterns, scored on the graph of patterns and instances;
-    spans of a looser shape in a trusted pattern are added. Base spans always stay; added ones overlap none of them.
+    Base spans are the first seeds. The words in the 64 characters before and after a span are its lexical patterns, scored on the graph of
+    patterns and instances in up to ``rounds`` rounds, in which instances of high belief become seeds (:func:`grown_patterns`). Added are
+    spans of a looser shape in a trusted pattern, and spans of instances believed through other contexts where the pattern confirms them.
+    Base spans always stay; added ones overlap none of them.
     Every row is searched by its own whole text, also if its id is NULL or repeated; NULL texts are empty; an empty
     table gives no rows.
     """
     rows = stored(base_and_loose(docs, text, doc_id).withColumn("row", F.monotonically_increasing_id()), "spans")
     seen = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    trusted = stored(trusted_patterns(seen, rounds, trust, support), "trusted")
-    found = seen.where(F.col("state") == OPEN).select("row", "rank", "start", "end", "kind", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
+    patterns, believed = grown_patterns(seen, rounds, trust, support)
+    found = seen.where(F.col("state") == OPEN).select("row", "rank", "start", "end", "kind", "instance", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+    found = found.join(believed.withColumn("believed", F.lit(True)), "instance", "left").where("full or believed")
     added = found.groupBy("row").agg(F.collect_set(F.struct("rank", "start", "end", "kind")).alias("added"))  # bounded by the spans of one text
     return rows.join(added, "row", "left").select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<rank:int,start:bigint,end:bigint,kind:string>>)")))).alias("spans"))
 
