@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from insightspark.llm.common import table_of, text_of
+from insightspark.llm.mixing import stretch
 from insightspark.llm.tokens import encoder, vocabulary
 
 WINDOW = 1024
@@ -125,18 +126,21 @@ def _pack(path: str, spaced: bool, end: int, window: int):
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, spaced: bool = True, end: int = 0, window: int = WINDOW, order: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, spaced: bool = True, end: int = 0, window: int = WINDOW, order: str | None = None, places: int | None = None) -> DataFrame:
     """Pieces ``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` (ids: little-endian unsigned 32 bit).
 
     Every partition packs its own documents in the order in which it reads them, so there is no shuffle and a retried
     task gives the same pieces. Sequence ids are the partition's number times 2^32 plus a running number. NULL texts
     are empty and have the end id only. With ``order`` (a column) the rows are first dealt into ranges of it and sorted inside,
-    so sequence ids follow it from range to range, and inside a range but for the windows still open. Each row is a document, whether or not its ``doc_id`` is NULL or repeated.
+    so sequence ids follow it from range to range, and inside a range but for the windows still open. Where ``order`` numbers the rows
+    from 0 without gaps, ``places`` (their count) spares the sampling of ranges, which would run all before it once more. Each row is a document, whether or not its ``doc_id`` is NULL or repeated.
     Texts of any length are cut into full windows and one remainder. An empty table gives no rows.
     """
     if order is not None:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        docs = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.col(order).alias("order")).repartitionByRange(parts, "order").sortWithinPartitions("order")
+        docs = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.col(order).alias("order"))
+        docs = docs.repartitionByRange(parts, "order") if places is None else docs.repartitionById(parts, stretch(F.col("order"), places, parts))
+        docs = docs.sortWithinPartitions("order")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text"))
     path = tokenizer or vocabulary("byte_bpe_50k.json")
     return rows.mapInArrow(_pack(path, spaced, end, window), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
