@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Files are not read in the order in which they were written, so the places are found again from ids and sources.
     """
     placed, name = mixing.mixed(docs)
-    pieces = packing.pack(placed, order=f"{name}.position")
+    pieces = packing.pack(placed, order=f"{name}.position", places=docs.count())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
