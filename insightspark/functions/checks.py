@@ -45,6 +45,12 @@ def emit(df: DataFrame, rows: list[Column], keys: tuple = ()) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
+def as_checks(df: DataFrame, check: str, subject, severity, value=None, keys: tuple = ()) -> DataFrame:
+    """Result rows of an operator with columns of its own, as check rows; only PASS counts as ok."""
+    severity = severity if isinstance(severity, Column) else F.lit(severity)
+    return df.select(*keys, check_row(check, subject, severity == "PASS", severity, value).alias("_c")).select(*keys, "_c.*")
+
+
 @dataclass
 class Probe:
     """Aggregates by name plus the rows made from them."""

@@ -24,6 +24,17 @@ LAYERS = {
     "structural": ["null_rate", "structural_severity"], "logical": ["agg_severity", "missing_dates"], "business": ["business_severity"],
     "simpsons": ["paradox_count"], "cross_verification": ["cv_score"], "reproducibility": ["repro_status"],
 }
+#: Lowest score of a factor that passes, and that only warns.
+BANDS = {
+    "data_completeness": (12, 5), "structural_integrity": (15, 10), "aggregation_consistency": (15, 8), "temporal_consistency": (15, 5),
+    "business_plausibility": (15, 10), "simpsons_paradox_risk": (15, 8), "sample_size": (8, 3), "cross_verification": (8, 4), "reproducibility": (5, 3),
+}
+#: Check names whose worst severity feeds a factor.
+SEVERITY_OF = {
+    "structural_severity": ["primary_key_nulls", "primary_key_duplicates", "referential_integrity", "schema", "schema_type"],
+    "agg_severity": ["aggregation_total", "aggregation_group", "segment_exhaustive"],
+    "business_severity": ["range", "rate", "yoy"],
+}
 # Theme keywords, dimension words.
 THEME_KEYWORDS = {
     "Funnel": ["funnel", "conversion", "drop-off", "dropout", "drop off", "checkout", "cart"],
@@ -42,6 +53,44 @@ def grade(score):
     return chain
 
 
+def inputs_from_checks(checks: DataFrame, run: list[str]) -> DataFrame:
+    """The inputs of :func:`confidence_factors` from check rows of any number of runs, in one aggregate.
+
+    ``checks`` holds ``run`` and the columns of a check row, as the structural, logical and business validators return them;
+    other results join them through ``as_checks``: ``yoy`` and ``rate`` by their severity, ``simpsons`` (one row for each
+    segment column, value 1 where a paradox was found, severity WARNING where the metric is no core metric), ``cross_verification``
+    (value: score of 0 to 10), ``reproducibility`` (severity: its status). A column that is not there counts as wholly missing, a
+    column of an empty table as complete. An input whose checks did not run is NULL, and its factor MISSING.
+    """
+    name, value, severity = F.col("check_name"), F.col("value"), F.upper("severity")
+    rank = F.when(severity.isin("BLOCKER", "FAIL"), 3).when(severity.isin("WARNING", "WARN"), 2).otherwise(1)
+    word = lambda r: F.when(r == 3, "BLOCKER").when(r == 2, "WARNING").when(r == 1, "PASS")
+    among = lambda names, x: F.when(name.isin(names), x)
+    ran = lambda names: F.count_if(name.isin(names)) > 0
+    gone = F.coalesce(F.col("detail") == "missing column", F.lit(False))
+    aggs = [F.avg(among(["completeness"], F.when(gone, 1.0).otherwise(F.coalesce(value, F.lit(0.0))))).alias("null_rate")]
+    aggs += [word(F.max(among(names, rank))).alias(out) for out, names in SEVERITY_OF.items()]
+    found = among(["simpsons"], value) > 0
+    return checks.groupBy(*run).agg(
+        *aggs, F.max(among(SEVERITY_OF["agg_severity"], value)).alias("agg_diff"),
+        F.when(ran(["temporal_missing"]), F.coalesce(F.sum(among(["temporal_missing"], value)), F.lit(0.0))).cast("long").alias("missing_dates"),
+        F.when(ran(["trend_continuity"]), F.coalesce(F.sum(among(["trend_continuity"], value)), F.lit(0.0))).cast("long").alias("break_count"),
+        (F.count_if((name == "trend_continuity") & (rank == 3)) > 0).alias("trend_blocker"),
+        F.when(ran(["simpsons"]), F.count_if(found)).alias("paradox_count"), (F.count_if(found & (severity != "WARNING")) > 0).alias("paradox_core"),
+        F.max(among(["row_count"], value)).cast("long").alias("row_count"), F.min(among(["cross_verification"], value)).cast("int").alias("cv_score"),
+        F.max_by(among(["reproducibility"], severity), among(["reproducibility"], rank)).alias("repro_status"))
+
+
+def factors_from_checks(checks: DataFrame, run: list[str]) -> DataFrame:
+    """The nine factors of each run from its check rows, with their status."""
+    return confidence_factors(inputs_from_checks(checks, run), run)
+
+
+def score_from_checks(checks: DataFrame, run: list[str]) -> DataFrame:
+    """Score and grade of each run from its check rows."""
+    return confidence_score(inputs_from_checks(checks, run), run)
+
+
 def confidence_factors(inputs: DataFrame, run: list[str]) -> DataFrame:
     """(run, factor, score, max_score, status) rows; a NULL input is MISSING.
 
@@ -72,13 +121,10 @@ def confidence_factors(inputs: DataFrame, run: list[str]) -> DataFrame:
         "cross_verification": c("cv_score"),
         "reproducibility": F.when(c("repro_status").isNotNull(), repro),
     }
-    # lowest score that still passes / only warns, per factor
-    bands = {"data_completeness": (12, 5), "structural_integrity": (15, 10), "aggregation_consistency": (15, 8), "temporal_consistency": (15, 5),
-             "business_plausibility": (15, 10), "simpsons_paradox_risk": (15, 8), "sample_size": (8, 3), "cross_verification": (8, 4), "reproducibility": (5, 3)}
     structs = []
     for name, s in scores.items():
         s = s.cast("int")
-        status = F.when(s.isNull(), "MISSING").when(s >= bands[name][0], "PASS").when(s >= bands[name][1], "WARNING").otherwise("BLOCKER")
+        status = F.when(s.isNull(), "MISSING").when(s >= BANDS[name][0], "PASS").when(s >= BANDS[name][1], "WARNING").otherwise("BLOCKER")
         structs.append(F.struct(F.lit(name).alias("factor"), F.coalesce(s, F.lit(0)).alias("score"), F.lit(FACTOR_MAX[name]).alias("max_score"), status.alias("status")))
     return inputs.select(*run, F.inline(F.array(*structs)))
 

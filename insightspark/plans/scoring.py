@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from insightspark.functions.checks import as_checks, stack_rows
+from insightspark.operators import business as B
+from insightspark.operators import logical as L
+from insightspark.operators import paradox as P
 from insightspark.operators import scoring as S
-from insightspark.plans.paradox import _OC, oc
+from insightspark.operators import structural as ST
+from insightspark.operators import verification as V
+from insightspark.plans.paradox import _OC, _paradox_sql, oc
 from insightspark.plans.registry import query
 
 N = lambda: F.count(F.lit(1))
@@ -51,14 +57,19 @@ def v1(t):
     return S.confidence_score(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"])
 
 
+def _status_sql(n):
+    """Status of the factor whose score is the column ``n``."""
+    return f"CASE WHEN {n} IS NULL THEN 'MISSING' WHEN {n} >= {S.BANDS[n][0]} THEN 'PASS' WHEN {n} >= {S.BANDS[n][1]} THEN 'WARNING' ELSE 'BLOCKER' END AS status"
+
+
 _FACTORS = ["data_completeness", "structural_integrity", "aggregation_consistency", "temporal_consistency", "business_plausibility", "simpsons_paradox_risk",
             "sample_size", "cross_verification", "reproducibility"]
 
 
 @query("v1_confidence_factors", _INPUTS + " " + " UNION ALL ".join(
-    f"SELECT c_mktsegment, o_orderpriority, '{n}' AS factor, CAST(coalesce({n}, 0) AS INT) AS score, {S.FACTOR_MAX[n]} AS max_score FROM f" for n in _FACTORS))
+    f"SELECT c_mktsegment, o_orderpriority, '{n}' AS factor, CAST(coalesce({n}, 0) AS INT) AS score, {S.FACTOR_MAX[n]} AS max_score, {_status_sql(n)} FROM f" for n in _FACTORS))
 def v1b(t):
-    return S.confidence_factors(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"]).drop("status")
+    return S.confidence_factors(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"])
 
 
 @query("v2_merge_scores", _INPUTS + """, m AS (SELECT c_mktsegment, CAST(round_even(avg(score), 0) AS INT) AS score, count(*) AS n_runs, CAST(sum(n_blockers) AS BIGINT) AS n_blockers, bool_or(grade IN ('D','F')) AS low FROM z GROUP BY 1)
@@ -67,10 +78,88 @@ def v2(t):
     return S.merge_scores(S.confidence_score(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"]), ["c_mktsegment"])
 
 
-@query("v2_merge_factors", _INPUTS + " SELECT factor, CAST(min(score) AS INT) AS score, CAST(max(max_score) AS INT) AS max_score FROM (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS factor, coalesce({n}, 0) AS score, {S.FACTOR_MAX[n]} AS max_score FROM f" for n in _FACTORS) + ") GROUP BY 1")
+@query("v2_merge_factors", _INPUTS + " SELECT factor, CAST(min(score) AS INT) AS score, CAST(max(max_score) AS INT) AS max_score, min_by(status, CASE status WHEN 'BLOCKER' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'MISSING' THEN 2 ELSE 3 END) AS status FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS factor, coalesce({n}, 0) AS score, {S.FACTOR_MAX[n]} AS max_score, {_status_sql(n)} FROM f" for n in _FACTORS) + ") GROUP BY 1")
 def v2b(t):
-    return S.merge_factors(S.confidence_factors(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"])).drop("status")
+    return S.merge_factors(S.confidence_factors(confidence_inputs(t), ["c_mktsegment", "o_orderpriority"]))
+
+
+_COLUMNS = {"orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"], "customer": ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"],
+            "lineitem": ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"]}
+
+
+def validator_rows(t):
+    """Check rows of three runs, one for each table: orders by all layers, lineitem without paradox and reproducibility, customer by structure and ranges."""
+    run = lambda name, *frames: stack_rows(list(frames)).withColumn("run", F.lit(name))
+    placed, bought, buyers = t.orders, t.lineitem, t.customer
+    tables = {"orders": placed, "lineitem": bought, "customer": buyers}
+    structure = lambda name, key, child, parent, parent_key: ST.run_structural(
+        tables[name], {"columns": _COLUMNS[name], "primary_key": key, "references": [(child, parent, parent_key)]})
+    monthly = placed.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("revenue"))
+    yearly = bought.groupBy(F.lit("all").alias("scope"), F.year("l_shipdate").alias("year")).agg(F.sum("l_extendedprice").alias("revenue"))
+    paradox = P.simpsons(oc(t), "o_totalprice", ["c_mktsegment", "o_orderpriority"], "o_orderstatus")
+    stated = placed.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("stated"))
+    whole = V.parts_to_whole(stated, placed, ["o_orderpriority"], "stated", "o_totalprice").select(F.lit("A").alias("type"), "status")
+    lines = bought.select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice")
+    parts = V.parts_to_whole(placed, lines, ["o_orderkey"], "o_totalprice", "l_extendedprice").select(F.lit("B").alias("type"), "status")
+    crossed = lambda rows: as_checks(V.cv_score(rows), "cross_verification", "totals", F.when(F.col("overall_status") == "PASS", "PASS").otherwise("WARNING"), F.col("score"))
+    again = V.reproducibility([placed, placed.repartition(5)])
+    orders = run("orders", structure("orders", ["o_orderkey"], "o_custkey", buyers, "c_custkey"),
+                 L.run_logical(placed, {"segment": ("o_orderpriority", "o_totalprice"), "total": "o_totalprice"}, stated.withColumnRenamed("stated", "o_totalprice")),
+                 L.temporal_consistency(monthly, "month", "revenue", "month"), L.trend_continuity(monthly, "month", "revenue"),
+                 B.run_business(placed, {"ranges": [{"column": "o_totalprice", "min": 0, "max": 490000, "label": "order value"}]}),
+                 as_checks(paradox, "simpsons", F.col("segment_column"), F.when(F.col("paradox_detected"), "BLOCKER").otherwise("PASS"), F.col("paradox_detected").cast("int")),
+                 crossed(whole), as_checks(again, "reproducibility", "orders", F.col("status")))
+    lineitem = run("lineitem", structure("lineitem", ["l_orderkey", "l_linenumber"], "l_orderkey", placed, "o_orderkey"),
+                   L.run_logical(bought, {"segment": ("l_returnflag", "l_extendedprice")}), L.aggregation_total(bought, bought.where("l_quantity >= 2"), "l_extendedprice", 0.05),
+                   B.run_business(bought, {"ranges": [{"column": "l_discount", "min": 0, "max": 0.1, "label": "discount"}]}),
+                   as_checks(B.yoy(yearly, ["scope"], "year", "revenue"), "yoy", F.col("year"), F.col("severity"), F.col("change")), crossed(parts))
+    customer = run("customer", structure("customer", ["c_custkey"], "c_nationkey", t.nation, "n_nationkey"),
+                   B.run_business(buyers, {"ranges": [{"column": "c_acctbal", "min": 0, "max": None, "label": "balance"}]}))
+    return stack_rows([orders, lineitem, customer])
+
+
+def _structure_sql(table, keys, child, parent, parent_key):
+    nulls = "(" + " + ".join(f"count(CASE WHEN {c} IS NULL THEN 1 END)" for c in _COLUMNS[table]) + f") / (count(*) * {float(len(_COLUMNS[table]))}) "
+    any_null = " OR ".join(f"{k} IS NULL" for k in keys)
+    return (f"SELECT '{table}' AS run, {nulls} AS null_rate, count(*) AS row_count, (SELECT count(*) FROM (SELECT {', '.join(keys)} FROM {table} GROUP BY {', '.join(keys)} HAVING count(*) > 1 OR {any_null})) AS bad_keys, "
+            f"(SELECT count(*) FROM {table} x LEFT JOIN {parent} y ON x.{child} = y.{parent_key} WHERE x.{child} IS NOT NULL AND y.{parent_key} IS NULL) / count(*) AS orphans FROM {table}")
+
+
+_BAND = "CASE WHEN {x} > 0.05 THEN 5 WHEN {x} > 0 THEN 10 ELSE 15 END"
+_LADDER = "CASE WHEN min(CASE WHEN {d} > {tol} * 10 THEN 2 WHEN {d} > {tol} THEN 1 ELSE 0 END) IS NULL THEN 5 WHEN max(CASE WHEN {d} > {tol} * 10 THEN 2 WHEN {d} > {tol} THEN 1 ELSE 0 END) = 2 THEN {bad} WHEN max(CASE WHEN {d} > {tol} THEN 1 ELSE 0 END) = 1 THEN {warn} ELSE 10 END"
+_FROM_CHECKS = f"""WITH {_OC}, st AS ({_structure_sql("orders", ["o_orderkey"], "o_custkey", "customer", "c_custkey")} UNION ALL {_structure_sql("lineitem", ["l_orderkey", "l_linenumber"], "l_orderkey", "orders", "o_orderkey")}
+ UNION ALL {_structure_sql("customer", ["c_custkey"], "c_nationkey", "nation", "n_nationkey")}),
+mo AS (SELECT date_trunc('month', o_orderdate) AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1), sp AS (SELECT m, v, lag(v) OVER (ORDER BY m) AS p FROM mo),
+tm AS (SELECT date_diff('month', min(m), max(m)) + 1 - count(*) AS miss, count(CASE WHEN abs(v - p)/abs(p) > 0.5 THEN 1 END) AS breaks FROM sp),
+yr AS (SELECT year(l_shipdate) AS y, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1), yc AS (SELECT abs(v - lag(v) OVER (ORDER BY y)) / lag(v) OVER (ORDER BY y) AS ch FROM yr),
+ys AS (SELECT CASE WHEN max(ch) > 2 THEN 5 WHEN max(ch) > 1 THEN 10 ELSE 15 END AS score FROM yc),
+px AS (SELECT count(CASE WHEN paradox_detected THEN 1 END) AS n FROM ({_paradox_sql(["c_mktsegment", "o_orderpriority"], "o_orderstatus")})),
+gap AS (SELECT sum(CASE WHEN l_quantity < 2 THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice) AS g FROM lineitem),
+pt AS (SELECT abs(o_totalprice - coalesce(p, 0)) / o_totalprice AS d FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+ro AS (SELECT count(CASE WHEN o_totalprice < 0 OR o_totalprice > 490000 THEN 1 END) / count(o_totalprice) AS o FROM orders), rl AS (SELECT count(CASE WHEN l_discount < 0 OR l_discount > 0.1 THEN 1 END) / count(l_discount) AS o FROM lineitem),
+rc AS (SELECT count(CASE WHEN c_acctbal < 0 THEN 1 END) / count(c_acctbal) AS o FROM customer),
+f AS (SELECT run, CASE WHEN null_rate < 0.01 THEN 15 WHEN null_rate < 0.05 THEN 12 WHEN null_rate < 0.1 THEN 9 WHEN null_rate < 0.2 THEN 5 ELSE 2 END AS data_completeness,
+ CASE WHEN bad_keys > 0 OR orphans > 0.05 THEN 3 WHEN orphans > 0 THEN 10 ELSE 15 END AS structural_integrity,
+ CASE run WHEN 'orders' THEN 15 WHEN 'lineitem' THEN (SELECT CASE WHEN g > 0.05 THEN 3 WHEN g > 0.01 THEN 8 ELSE 15 END FROM gap) END AS aggregation_consistency,
+ CASE run WHEN 'orders' THEN (SELECT CASE WHEN breaks > 2 THEN 3 WHEN breaks > 0 OR miss > 5 THEN 5 WHEN miss > 0 THEN 10 ELSE 15 END FROM tm) END AS temporal_consistency,
+ CASE run WHEN 'orders' THEN (SELECT {_BAND.format(x="o")} FROM ro) WHEN 'lineitem' THEN (SELECT least({_BAND.format(x="o")}, score) FROM rl, ys) ELSE (SELECT {_BAND.format(x="o")} FROM rc) END AS business_plausibility,
+ CASE run WHEN 'orders' THEN (SELECT CASE WHEN n > 0 THEN 2 ELSE 15 END FROM px) END AS simpsons_paradox_risk,
+ CASE WHEN row_count > 10000 THEN 10 WHEN row_count > 1000 THEN 8 WHEN row_count > 100 THEN 5 WHEN row_count > 30 THEN 3 ELSE 1 END AS sample_size,
+ CASE run WHEN 'orders' THEN 10 WHEN 'lineitem' THEN (SELECT {_LADDER.format(d="d", tol=V.tolerance("parts_to_whole"), bad=2, warn=6)} FROM pt) END AS cross_verification, CASE run WHEN 'orders' THEN 5 END AS reproducibility FROM st),
+l AS ({" UNION ALL ".join(f"SELECT run, '{n}' AS factor, CAST(coalesce({n}, 0) AS INT) AS score, {S.FACTOR_MAX[n]} AS max_score, {_status_sql(n)} FROM f" for n in _FACTORS)})"""
+
+
+@query("v1_checks_to_factors", _FROM_CHECKS + " SELECT * FROM l")
+def v1c(t):
+    return S.factors_from_checks(validator_rows(t), ["run"])
+
+
+@query("v1_checks_to_score", _FROM_CHECKS + """, s AS (SELECT run, CAST(round_even(100.0 * sum(CASE WHEN status <> 'MISSING' THEN score END) / sum(CASE WHEN status <> 'MISSING' THEN max_score END), 0) AS INT) AS score,
+ count(CASE WHEN status = 'BLOCKER' THEN 1 END) AS n_blockers, count(CASE WHEN status <> 'MISSING' THEN 1 END) AS n_factors, run <> 'orders' AS partial FROM l GROUP BY 1)
+SELECT run, score, CASE WHEN score >= 85 AND NOT partial THEN 'A' WHEN score >= 70 AND NOT partial THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade, n_blockers, n_factors, partial FROM s""")
+def v1d(t):
+    return S.score_from_checks(validator_rows(t), ["run"])
 
 
 _DIMS = ["o_orderpriority", "c_mktsegment", "c_nationkey"]

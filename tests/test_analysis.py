@@ -67,6 +67,28 @@ def test_confidence(spark, row, score, grade):
     assert (r["score"], r["grade"]) == (score, grade)
 
 
+def test_confidence_from_check_rows(spark):
+    cols = "run int, check_name string, subject string, ok boolean, severity string, value double, expected string, detail string"
+    row = lambda run, check, severity, value=None, detail=None: (run, check, "x", severity == "PASS", severity, value, None, detail)
+    checks = [
+        row(1, "completeness", "PASS", 0.0), row(1, "completeness", "WARNING", 0.08), row(1, "primary_key_nulls", "PASS", 0.0), row(1, "referential_integrity", "WARNING", 0.01),
+        row(1, "aggregation_total", "PASS", 0.02), row(1, "temporal_missing", "PASS", 0.0), row(1, "trend_continuity", "BLOCKER", 3.0), row(1, "range", "FAIL", 0.5),
+        row(1, "simpsons", "WARNING", 1.0), row(1, "simpsons", "PASS", 0.0), row(1, "row_count", "PASS", 1000.0), row(1, "cross_verification", "WARNING", 6.0), row(1, "reproducibility", "WARN"),
+        row(2, "completeness", "BLOCKER", None, "missing column"), row(2, "completeness", "WARNING"), row(2, "simpsons", "BLOCKER", 1.0),
+        row(3, "temporal_missing", "PASS", 0.0), row(3, "reproducibility", "SKIPPED")]
+    got = {(r["run"], r["factor"]): (r["score"], r["status"]) for r in rows(SC.factors_from_checks(spark.createDataFrame(checks, cols), ["run"]))}
+    assert {f: got[1, f] for f in SC.FACTOR_MAX} == {
+        "data_completeness": (12, "PASS"), "structural_integrity": (10, "WARNING"), "aggregation_consistency": (8, "WARNING"), "temporal_consistency": (3, "BLOCKER"),
+        "business_plausibility": (5, "BLOCKER"), "simpsons_paradox_risk": (8, "WARNING"), "sample_size": (5, "WARNING"), "cross_verification": (6, "WARNING"), "reproducibility": (3, "WARNING")}
+    assert got[2, "data_completeness"] == (2, "BLOCKER") and got[2, "simpsons_paradox_risk"] == (2, "BLOCKER")
+    assert got[3, "temporal_consistency"] == (15, "PASS") and got[3, "reproducibility"] == (5, "PASS")
+    assert got[2, "structural_integrity"] == got[3, "data_completeness"] == (0, "MISSING")
+    score = {r["run"]: r for r in rows(SC.score_from_checks(spark.createDataFrame(checks, cols), ["run"]))}
+    assert (score[1]["score"], score[1]["grade"], score[1]["partial"]) == (52, "D", False) and score[3]["grade"] == "C" and score[3]["score"] == 100
+    assert rows(SC.factors_from_checks(spark.createDataFrame([], cols), ["run"])) == []
+
+
+
 def findings(spark, data):
     cols = "finding_id long, metric_name string, direction string, affected_pct double, confidence double, description string, category string, metric_value double, baseline_value double, actionable boolean, p_value double, effect_size double"
     return spark.createDataFrame(data, cols)
