@@ -62,15 +62,7 @@ def st5(t):
 
 @query("st6_per_user_state", "SELECT user_id, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1")
 def st6(t):
-    path = work_path(t.spark, "st6-state")
-
-    def store(df, batch_id):
-        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    S.run_batches(S.per_user_state(events_stream(t), "user_id", "ts"), "st6", store, "update")
-    rows = t.spark.read.option("basePath", path).parquet(path)
-    latest = rows.groupBy("user_id").agg(F.max_by(F.struct("n_events", "first_seen", "last_seen"), "batch_id").alias("s"))
-    return latest.select("user_id", "s.*")
+    return S.per_user_state(events_stream(t), "user_id", "ts", "st6").drop("n_expired")
 
 
 @query("st6_status_changes", f"""

@@ -6,10 +6,15 @@ timestamp and returns a streaming DataFrame, unless it says otherwise.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from insightspark.functions.checks import check_row, emit
@@ -18,6 +23,7 @@ from insightspark.session import work_path
 from insightspark.sources.tables import is_file
 
 N = lambda: F.count(F.lit(1))
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
 
 
@@ -89,10 +95,75 @@ def interval_join(left: DataFrame, right: DataFrame, user: str, lts: str, rts: s
     return l.alias("l").join(r.alias("r"), cond)
 
 
-def per_user_state(events: DataFrame, user: str, ts: str) -> DataFrame:
-    """Running count, first and last time per user. Built-in aggregation keeps the
-    map-side combine, so a hot user does not send every event to one task."""
-    return events.groupBy(user).agg(N().alias("n_events"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+def per_user_state(events: DataFrame, user: str, ts: str, label: str, idle: str = "14 days", slot: str = "1 hour", late: str = "2 hours", folder: str | None = None) -> DataFrame:
+    """Count, first and last time per user from keyed state that expires; drains the stream and returns (user, n_events, first_seen, last_seen, n_expired).
+
+    Events are summed per user and ``slot`` by Spark's own aggregate, with its map-side combine, so that a hot user is one row per task and slot. Closed slots
+    go to one value per user in the state store, with a timer ``idle`` after the user's last event: when the watermark passes it, the value leaves
+    the state and becomes a row of ``folder``/expired; a user who comes back starts a new one. The result folds the open slots and the values,
+    both read from the state store of the checkpoint, with what has expired. Called again with the same ``folder``, the stream goes on after
+    the files it has read. Rows behind the watermark (``late``) are dropped, rows without a time are left out; NULL users share a state.
+    """
+    spark = events.sparkSession
+    folder = folder or work_path(spark, label)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    out = T.StructType([T.StructField("k", events.schema[user].dataType), T.StructField("n", T.LongType()), T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType())])
+
+    class Seen(StatefulProcessor):
+        def init(self, handle):
+            self.handle, self.seen = handle, handle.getValueState("seen", "n long, first_us long, last_us long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            old = self.seen.get() if self.seen.exists() else None
+            n, first, last = old or (0, 2**63 - 1, -(2**63))
+            for frame in rows:
+                n, first, last = n + int(frame["n"].sum()), min(first, int(frame["first_us"].min())), max(last, int(frame["last_us"].max()))
+            self.seen.update((n, first, last))
+            if old is None or last > old[2]:
+                if old is not None:
+                    self.handle.deleteTimer(old[2] // 1000 + wait)
+                self.handle.registerTimer(last // 1000 + wait)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            n, first, last = self.seen.get()
+            self.seen.clear()
+            yield pd.DataFrame({"k": pd.Series([key[0]], dtype=object), "n": [n], "first_us": [first], "last_us": [last]})
+
+        def close(self):
+            pass
+
+    us = F.unix_micros("at")
+    slots = (events.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(F.col(ts).alias("at"), F.col(user).alias("k")).groupBy(F.window("at", slot).alias("w"), "k")
+             .agg(F.sum(F.lit(1)).alias("n"), F.min(us).alias("first_us"), F.max(us).alias("last_us")))
+    # the columns that the processor sees must not begin with an underscore
+    gone = (slots.select("k", "n", "first_us", "last_us", F.window_time("w").alias("closed_at"))
+            .groupBy("k").transformWithStateInPandas(Seen(), out, "Append", "EventTime"))
+    with rocksdb_state(spark):
+        q = (gone.writeStream.format("parquet").option("path", f"{folder}/expired").option("checkpointLocation", f"{folder}/checkpoint")
+             .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = spark.read.format("state-metadata").load(f"{folder}/checkpoint")
+    ids = {r["operatorName"]: r["operatorId"] for r in held.select("operatorName", "operatorId").distinct().collect()}  # two rows
+    state = lambda op: spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("operatorId", ids[op])
+    parts = [
+        state("stateStoreSave").load().select("key.k", F.col("value.sum").alias("n"), F.col("value.min").alias("first_us"), F.col("value.max").alias("last_us"), F.lit(False).alias("gone")),
+        state("transformWithStateInPandasExec").option("stateVarName", "seen").load().select("key.k", "value.*", F.lit(False).alias("gone")),
+        spark.read.schema(out).parquet(f"{folder}/expired").withColumn("gone", F.lit(True))]
+    return reduce(DataFrame.unionByName, parts).groupBy(F.col("k").alias(user)).agg(
+        F.sum("n").alias("n_events"), F.timestamp_micros(F.min("first_us")).alias("first_seen"), F.timestamp_micros(F.max("last_us")).alias("last_seen"),
+        F.coalesce(F.sum(F.when(F.col("gone"), F.col("n"))), F.lit(0)).alias("n_expired"))
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which keyed state with timers needs; the session's setting comes back after it."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
 
 
 def with_thresholds(events: DataFrame, thresholds: DataFrame, key: str, value: str, limit: str) -> DataFrame:
@@ -137,29 +208,57 @@ def dropped_late_rows(stream: DataFrame, label: str) -> DataFrame:
     return stream.sparkSession.createDataFrame([(int(seen), int(dropped))], "input_rows long, dropped_rows long")
 
 
-def alert_stream(events: DataFrame, ts: str, dim: str, label: str, lower: float, width: str = "1 hour") -> DataFrame:
-    """Windowed counts merged into a history, evaluated and stored per micro-batch.
+def alert_step(changed: DataFrame, before: DataFrame | None, label: str, lower: float, late: str) -> DataFrame:
+    """One step of an alert: windows that changed, laid over the open windows of the step before.
 
-    Every batch overwrites its own folders, so a replayed batch leaves the same
-    result. Returns the notices of the last evaluation.
+    ``changed`` holds (window_start, window_end, dim1, value) with the whole count of each window so far; ``before`` is the result of the step before
+    (None: there is none). Phase 'open' windows may still change. Phase 'closed' windows end ``late`` before the newest window of the step before:
+    rows for them would be dropped from now on, so their notice is final. Phase 'carried' is the last closed window of each dimension value, kept as the
+    status that the next one is compared with. Size and work follow the windows within ``late`` and those that changed, not the age of the stream.
+    """
+    new = changed.select("window_start", "window_end", "dim1", "value", F.lit(False).alias("carried"))
+    if before is None:
+        rows, limit = new, F.lit(None).cast("timestamp")
+    else:
+        settled = F.col("phase") != "open"
+        last = W.partitionBy("dim1", settled).orderBy(F.desc("window_start"))
+        old = before.withColumn("_r", F.row_number().over(last)).where((F.col("phase") == "open") | (F.col("_r") == 1))
+        rows = new.unionByName(old.select("window_start", "window_end", "dim1", "value", settled.alias("carried")))
+        limit = before.agg((F.max("window_start") - F.expr(f"INTERVAL {late}")).alias("limit")).scalar()
+    # a count only grows, so the largest is the newest
+    rows = rows.groupBy("dim1", "window_start", "window_end").agg(F.max("value").alias("value"), F.bool_or("carried").alias("carried"))
+    rows = rows.withColumn("status", F.when(F.col("value") < lower, "FAIL").otherwise("PASS"))
+    previous = F.coalesce(F.lag("status").over(W.partitionBy("dim1").orderBy("window_start")), F.lit("PASS"))
+    notice = F.when((F.col("status") != previous) & ~F.col("carried"), F.when(F.col("status") == "FAIL", "FIRED").otherwise("RECOVERED"))
+    phase = F.when(F.col("carried"), "carried").when(F.col("window_end") <= limit, "closed").otherwise("open")
+    return rows.select(F.lit(label).alias("alert"), "window_start", "window_end", "dim1", "value", "status", notice.alias("notice"), phase.alias("phase"))
+
+
+def alert_stream(events: DataFrame, ts: str, dim: str, label: str, lower: float, width: str = "1 hour", late: str = "2 hours", folder: str | None = None) -> DataFrame:
+    """Counts per window and dimension value, judged per micro-batch; returns the notices so far.
+
+    The counts are kept by Spark's state store, which gives every batch the windows it changed and forgets those behind the watermark.
+    :func:`alert_step` lays them over the step before, and its result is stored by batch id: a replayed batch reads the same step before and overwrites
+    its own folder, so it changes nothing. Final notices come from all steps, those of open windows from the last one. Called again with the
+    same ``folder``, the stream goes on after the files it has read.
     """
     spark = events.sparkSession
-    history, alerts = work_path(spark, f"{label}-history"), work_path(spark, f"{label}-alerts")
+    folder = folder or work_path(spark, label)
+    steps = f"{folder}/steps"
+    w = F.window(ts, width)
+    counts = events.withWatermark(ts, late).groupBy(w.alias("w"), F.col(dim).cast("string").alias("dim1")).agg(N().alias("value"))
 
     def evaluate(batch: DataFrame, batch_id: int):
-        part = batch.groupBy(F.window(ts, width).alias("w"), F.col(dim).cast("string").alias("dim1")).agg(N().alias("n"))
-        part.select(F.col("w.start").alias("window_start"), "dim1", "n").write.mode("overwrite").parquet(f"{history}/batch_id={batch_id}")
-        merged = spark.read.option("basePath", history).parquet(history).where(F.col("batch_id") <= batch_id)
-        values = merged.groupBy("window_start", "dim1").agg(F.sum("n").alias("value"))
-        status = values.withColumn("status", F.when(F.col("value") < lower, "FAIL").otherwise("PASS"))
-        from insightspark.operators.alerts import recovery_filter
-        rows = status.select(F.lit(label).alias("alert"), F.col("window_start").alias("validation_date"), "dim1", F.lit(None).cast("string").alias("dim2"), "value", "status")
-        recovery_filter(rows).write.mode("overwrite").parquet(f"{alerts}/batch_id={batch_id}")
-
-    run_batches(events, label, evaluate, "append")
-    done = spark.read.option("basePath", alerts).parquet(alerts)
+        before = batch.sparkSession.read.parquet(f"{steps}/batch_id={batch_id - 1}") if batch_id else None
+        alert_step(batch, before, label, lower, late).write.mode("overwrite").parquet(f"{steps}/batch_id={batch_id}")
+
+    changed = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "dim1", "value")
+    q = (changed.writeStream.foreachBatch(evaluate).option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start())
+    q.awaitTermination()
+    done = spark.read.option("basePath", steps).parquet(steps)
     last = done.agg(F.max("batch_id")).scalar()
-    return done.where(F.col("batch_id") == last).select("alert", F.col("validation_date").alias("window_start"), "dim1", "value", "notice")
+    final = (F.col("phase") == "closed") | ((F.col("phase") == "open") & (F.col("batch_id") == last))
+    return done.where(F.col("notice").isNotNull() & final).select("alert", "window_start", "dim1", "value", "notice")
 
 
 def quality_stream(events: DataFrame, label: str, columns: list[str]) -> DataFrame:
