@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from insightspark.functions.columns import ratio
+from insightspark.functions.ranks import split_count
 
 N = lambda: F.count(F.lit(1))
 
@@ -35,35 +40,110 @@ FEEDBACK_PRIORITY = {
     "Scope Challenge": "P3", "Output Format": "P4", "Political/Organizational": "P4",
 }
 
-# Relative width of a value bucket: just above the 0.1 % match tolerance.
-_BUCKET = 0.0011
+#: Relative tolerance of a value match.
+TOLERANCE = 0.001
 
 
-def _bucket(v):
-    return F.floor(F.ln(F.abs(v)) / F.lit(_BUCKET)).cast("long")
+def _as_number(column: str, kind: str):
+    """The column as a double, NULL where it is no finite number."""
+    number = F.col(column).cast("double") if kind != "string" else F.expr(f"try_cast(`{column}` AS double)")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
+def _is_text(column: str, kind: str):
+    return F.lit(False) if kind != "string" else F.expr(f"try_cast(`{column}` AS double)").isNull()
+
+
+def _band_hits(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Number and smallest id of the held values of one range that lie in the band of each probe.
+
+    The band is one run of the sorted values, so its ends are found by bisection with the match rule itself, its number is a difference of
+    running counts and its smallest id comes from minima over runs of powers of two.
+    """
+    held = held.sort_values("x")
+    x, n, ids = held["x"].to_numpy(), held["n"].to_numpy(), held["q"].to_numpy()
+    v = probes["v"].to_numpy()
+    size = len(x)
+    met = lambda i: np.abs(v - x[np.minimum(i, size - 1)]) / np.abs(v) < TOLERANCE
+    centre = np.searchsorted(x, v)
+    # first value at or after the centre that is out of the band, and first value before it that is in
+    low, high = centre.copy(), np.full(len(v), size)
+    while (low < high).any():
+        mid = (low + high) // 2
+        inside = met(mid)
+        low, high = np.where((low < high) & inside, mid + 1, low), np.where((low < high) & ~inside, mid, high)
+    end = low
+    low, high = np.zeros(len(v), dtype=np.int64), centre.copy()
+    while (low < high).any():
+        mid = (low + high) // 2
+        inside = met(mid)
+        low, high = np.where((low < high) & ~inside, mid + 1, low), np.where((low < high) & inside, mid, high)
+    start = low
+    some = end > start
+    totals = np.concatenate([[0], np.cumsum(n)])
+    names, codes = np.unique(ids.astype(object), return_inverse=True)
+    minima, best = codes.astype(np.int64), np.full(len(v), len(names))
+    width = 1
+    while width <= size:
+        now = some & (end - start >= width) & (end - start < 2 * width)
+        if now.any():
+            best[now] = np.minimum(minima[start[now]], minima[end[now] - width])
+        if 2 * width > size:
+            break
+        minima = np.minimum(minima[:-width], minima[width:])
+        width *= 2
+    return pd.DataFrame({"v": v[some], "n": (totals[end] - totals[start])[some], "q": pd.Series(names[best[some]], dtype=object)})
+
+
+def value_bands(values: DataFrame, held: DataFrame) -> DataFrame:
+    """(v, n, q) per value of ``values`` (v): number ``n`` and smallest ``q`` of the rows of ``held`` (x, n, q) within the tolerance of v.
+
+    Both sides hold distinct values. They are cut into ranges of about equal numbers of values and band ends; the two ends of a band are searched in the
+    ranges they fall in, and the ranges between them count as wholes, by running totals and minima of ranges. So neither the number of values in a
+    band nor that of bands over a value makes pairs of rows.
+    """
+    edge = lambda k: [F.col("v") - F.abs("v") * k, F.col("v") + F.abs("v") * k]
+    # an end lies between these two whatever the rounding
+    (out_l, out_h), (in_l, in_h) = edge(TOLERANCE * (1 + 1e-9)), edge(TOLERANCE * (1 - 1e-9))
+    splits = split_count(held)
+    points = held.select("x").unionByName(values.select(F.explode(F.array(in_l, in_h)).alias("x")))
+    probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    bounds = points.agg(F.percentile_approx("x", probs, F.lit(max(1000, 4 * splits))).alias("b")).scalar()
+    place = lambda c: F.size(F.filter(F.col("_bounds"), lambda b: b < c))
+    held = held.withColumn("_bounds", bounds).select("x", "n", "q", place(F.col("x")).alias("range"))
+    probes = values.withColumn("_bounds", bounds).select("v", *[place(c).alias(n) for n, c in (("ol", out_l), ("il", in_l), ("ih", in_h), ("oh", out_h))])
+    ends = probes.select("v", F.explode(F.array_distinct(F.concat(F.sequence("ol", "il"), F.sequence("ih", "oh")))).alias("range"))
+    at_ends = ends.groupBy("range").cogroup(held.groupBy("range")).applyInPandas(
+        lambda left, right: _band_hits(left, right) if len(left) and len(right) else pd.DataFrame({"v": [], "n": [], "q": []}, dtype=object), "v double, n long, q string")
+    # one row per range, at most as many as the shuffle has partitions
+    per = held.groupBy("range").agg(F.sum("n").alias("n"), F.min("q").alias("q"))
+    whole = per.agg(F.map_from_entries(F.collect_list(F.struct("range", F.struct("n", "q")))).alias("m")).scalar()
+    between = probes.where("ih - il > 1").withColumn("_m", whole).withColumn("_r", F.filter(F.transform(F.sequence(F.col("il") + 1, F.col("ih") - 1), lambda r: F.col("_m")[r]), lambda s: s.isNotNull()))
+    between = between.where(F.size("_r") > 0).select("v", F.aggregate("_r", F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("n"), F.array_min(F.transform("_r", lambda s: s["q"])).alias("q"))
+    return at_ends.unionByName(between).groupBy("v").agg(F.sum("n").alias("n"), F.min("q").alias("q"))
 
 
 def match_claims(entries: DataFrame, claims: DataFrame) -> DataFrame:
     """Per claim: number of matching log entries, the first of them and the method.
 
-    Explicit claim ids win; other claims match entries whose value lies within
-    0.1 %. Both sides are reduced to distinct values first and meet on log-scale
-    buckets (own and neighbours), so no pairs of rows are formed for repeated values.
+    Explicit claim ids win. Other claims match entries whose value lies within 0.1 % of theirs (see :func:`value_bands`); where ``value`` or
+    ``result_value`` is a string column, strings that are numbers count as numbers and the others match on equality. A claim of zero, NaN, an
+    infinity or NULL matches nothing by its value.
     """
     explicit = (entries.select("query_id", F.explode("claim_ids").alias("claim_id")).groupBy("claim_id")
                 .agg(F.count_distinct("query_id").alias("n_explicit"), F.min("query_id").alias("q_explicit")))
     base = claims.join(explicit, "claim_id", "left")
-    open_values = base.where("n_explicit IS NULL AND value IS NOT NULL AND value <> 0").select("value").distinct()
-    near = (open_values.withColumn("_s", F.signum("value")).withColumn("_k", _bucket(F.col("value")))
-            .withColumn("_k", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1))))
-    vals = (entries.where("result_value IS NOT NULL AND result_value <> 0").groupBy("result_value").agg(N().alias("n"), F.min("query_id").alias("q"))
-            .withColumn("_s", F.signum("result_value")).withColumn("_k", _bucket(F.col("result_value"))))
-    hits = (near.join(vals, ["_s", "_k"]).where(F.abs(F.col("value") - F.col("result_value")) / F.abs("value") < 0.001)
-            .groupBy("value").agg(F.sum("n").alias("n_value"), F.min("q").alias("q_value")))
-    out = base.join(hits, "value", "left")
+    kind, held_kind = claims.schema["value"].dataType.simpleString(), entries.schema["result_value"].dataType.simpleString()
+    base = base.withColumn("_v", F.when(F.col("n_explicit").isNull(), F.nullif(_as_number("value", kind), F.lit(0.0))))
+    base = base.withColumn("_t", F.when(F.col("n_explicit").isNull() & _is_text("value", kind), F.col("value").cast("string")))
+    held = entries.select("query_id", _as_number("result_value", held_kind).alias("x"), F.when(_is_text("result_value", held_kind), F.col("result_value").cast("string")).alias("_t"))
+    numbers = held.where("x IS NOT NULL").groupBy("x").agg(N().alias("n"), F.min("query_id").alias("q"))
+    texts = held.where("_t IS NOT NULL").groupBy("_t").agg(N().alias("n_text"), F.min("query_id").alias("q_text"))
+    bands = value_bands(base.where("_v IS NOT NULL").select(F.col("_v").alias("v")).distinct(), numbers)
+    out = base.join(bands.select(F.col("v").alias("_v"), F.col("n").alias("n_value"), F.col("q").alias("q_value")), "_v", "left").join(texts, "_t", "left")
     return out.select(
-        "claim_id", F.coalesce("n_explicit", "n_value", F.lit(0)).alias("n_matches"), F.coalesce("q_explicit", F.when(F.col("n_explicit").isNull(), F.col("q_value"))).alias("first_query"),
-        F.when(F.col("n_explicit").isNotNull(), "explicit").when(F.col("n_value").isNotNull(), "value").otherwise("none").alias("method"))
+        "claim_id", F.coalesce("n_explicit", "n_value", "n_text", F.lit(0)).alias("n_matches"), F.coalesce("q_explicit", "q_value", "q_text").alias("first_query"),
+        F.when(F.col("n_explicit").isNotNull(), "explicit").when(F.col("n_value").isNotNull(), "value").when(F.col("n_text").isNotNull(), "text").otherwise("none").alias("method"))
 
 
 def claim_coverage(entries: DataFrame, claims: DataFrame) -> DataFrame:
@@ -103,44 +183,69 @@ def last_errors(log: DataFrame, ts: str, key: str, n: int = 5) -> DataFrame:
 
 # -- text ------------------------------------------------------------------
 
-_EDGES = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
+_SEGMENTS = re.compile(r"\w+|\W+")
 
 
-def _alias_index(aliases: list[dict]):
-    """Aliases by first word: [(word, [(alias, pieces)])]; lower case."""
-    index: dict[str, list[tuple[str, int]]] = {}
+def _trie(aliases: list[dict]) -> dict:
+    """Aliases as a tree over their segments (runs of word characters and runs of others), lower case; the key None holds (length, alias)."""
+    root: dict = {}
     for a in aliases:
-        text = a["alias"].lower()
-        pieces = [p for p in re.split(r"(?<=\w)(?=\W)|(?<=\W)(?=\w)", text) if p]
-        index.setdefault(pieces[0], []).append((text, len(pieces)))
-    return index
+        node = root
+        for piece in _SEGMENTS.findall(a["alias"].lower()):
+            node = node.setdefault(piece, {})
+        node[None] = a["alias"].lower()
+    return root
+
+
+def _tags(text: str, root: dict) -> list[tuple[int, str]]:
+    """(segment, alias) of the matches in a text: longer aliases first, then earlier ones, no overlaps."""
+    pieces = _SEGMENTS.findall(text.lower())
+    hits = []
+    for i in [i for i, piece in enumerate(pieces) if piece in root]:
+        node, at = root[pieces[i]], i
+        while node:
+            at += 1
+            alias = node.get(None)
+            if alias is not None:
+                hits.append((-len(alias), i, at, alias))
+            node = node.get(pieces[at]) if at < len(pieces) else None
+    hits.sort()
+    used, kept = bytearray(len(pieces)), []
+    for _, i, end, alias in hits:
+        if 1 not in used[i:end]:
+            used[i:end] = b"\x01" * (end - i)
+            kept.append((i, alias))
+    return kept
 
 
 def entity_tagging(df: DataFrame, key: str, text: str, aliases: list[dict]) -> DataFrame:
     """Word-bounded, case-free dictionary matches over whole texts; longer aliases first, no overlaps.
 
-    ``aliases`` is the dictionary (alias, entity, type, display_name), a parameter
-    of bounded size. The match runs inside each row with array functions: no text
-    is split over rows and nothing is shuffled.
+    ``aliases`` is the dictionary (alias, entity, type, display_name). It goes to the tasks as a tree over the segments of its aliases, and a text is walked
+    once: the work of a text depends on its own length and its matches, not on the size of the dictionary. ``position`` is the number of the
+    segment, counted from 0. Nothing is shuffled. Of aliases that differ in case only the last counts; an empty alias matches nothing.
     """
-    index = _alias_index(aliases)
-    firsts = F.create_map(*[x for w, items in index.items() for x in (
-        F.lit(w), F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(k).alias("k")) for a, k in items]))])
-    spans = df.where(F.col(text).isNotNull()).select(key, F.split(F.lower(text), _EDGES).alias("_seg")).withColumn("_dict", firsts)
-    spans = spans.withColumn("_at", F.filter(F.transform("_seg", lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: F.map_contains_key(F.col("_dict"), x["s"])))
-    hits = F.flatten(F.transform("_at", lambda x: F.filter(
-        F.transform(F.col("_dict")[x["s"]], lambda a: F.struct((-F.length(a["alias"])).alias("neg"), x["i"].alias("i"), (x["i"] + a["k"]).alias("e"), a["alias"].alias("alias"))),
-        lambda h: F.array_join(F.slice(F.col("_seg"), h["i"] + 1, h["e"] - h["i"]), "") == h["alias"])))
-    spans = spans.withColumn("_hits", F.array_sort(hits))
-    empty = F.filter("_hits", lambda h: F.lit(False))
-    kept = F.aggregate("_hits", empty, lambda acc, h: F.when(
-        F.exists(acc, lambda k: (h["i"] < k["e"]) & (h["e"] > k["i"])), acc).otherwise(F.concat(acc, F.array(h))))
-    found = spans.select(key, F.explode(kept).alias("h")).select(key, F.col("h.i").alias("position"), F.col("h.alias").alias("alias"))
-    info = {a["alias"].lower(): a for a in aliases}
-    lookup = lambda f: F.create_map(*[x for a, d in info.items() for x in (F.lit(a), F.lit(f(a, d)))])[F.col("alias")]
-    return found.select(
-        key, "position", "alias", lookup(lambda a, d: d["entity"]).alias("entity"), lookup(lambda a, d: d["type"]).alias("type"),
-        lookup(lambda a, d: 1.0 if a in (d["entity"], (d.get("display_name") or "").lower()) else 0.8).alias("confidence"))
+    aliases = [a for a in aliases if a["alias"]]
+    root = _trie(aliases)
+    info = {a["alias"].lower(): (a["entity"], a["type"], 1.0 if a["alias"].lower() in (a["entity"], (a.get("display_name") or "").lower()) else 0.8) for a in aliases}
+
+    schema = T.StructType([df.schema[key], T.StructField("position", T.IntegerType()), T.StructField("alias", T.StringType()),
+                           T.StructField("entity", T.StringType()), T.StructField("type", T.StringType()), T.StructField("confidence", T.DoubleType())])
+
+    def tag(batches):
+        for batch in batches:
+            rows, at, alias = [], [], []
+            for row, content in enumerate(batch.column(1)):
+                tags = _tags(content.as_py(), root)
+                rows += [row] * len(tags)
+                at += [i for i, _ in tags]
+                alias += [a for _, a in tags]
+            about = [info[a] for a in alias]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(alias, pa.string()),
+                 *[pa.array([x[i] for x in about], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))]], schema.names)
+
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(tag, schema)
 
 
 def credential_scan(df: DataFrame, text: str, keys: list[str] = ()) -> DataFrame:

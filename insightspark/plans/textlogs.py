@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from insightspark.operators import textlogs as X
@@ -45,6 +47,23 @@ def w1(t):
     return X.match_claims(query_log(t), claim_table(t))
 
 
+_PRIORITY = "CASE c_nationkey % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' ELSE 'none' END"
+
+
+@query("w1_match_text_claims", f"""
+WITH e AS (SELECT 'q_' || CAST(o_orderkey AS VARCHAR) AS query_id, CASE WHEN o_orderkey % 4 <> 1 THEN o_totalprice / 50 END AS rv, CASE WHEN o_orderkey % 4 = 1 THEN o_orderpriority END AS rt FROM orders),
+c AS (SELECT c_custkey AS claim_id, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS v, CASE WHEN c_custkey % 3 = 0 THEN {_PRIORITY} END AS t FROM customer),
+n AS (SELECT claim_id, count(*) AS n, min(query_id) AS q FROM c JOIN e ON v <> 0 AND abs(v - rv)/abs(v) < 0.001 GROUP BY 1), p AS (SELECT rt, count(*) AS n, min(query_id) AS q FROM e WHERE rt IS NOT NULL GROUP BY 1)
+SELECT c.claim_id, coalesce(n.n, p.n, 0) AS n_matches, coalesce(n.q, p.q) AS first_query, CASE WHEN n.n IS NOT NULL THEN 'value' WHEN p.n IS NOT NULL THEN 'text' ELSE 'none' END AS method
+FROM c LEFT JOIN n ON n.claim_id = c.claim_id LEFT JOIN p ON p.rt = c.t""")
+def w1b(t):
+    entries = t.orders.select(
+        F.concat(F.lit("q_"), F.col("o_orderkey").cast("string")).alias("query_id"), F.array().cast("array<bigint>").alias("claim_ids"),
+        F.when(F.col("o_orderkey") % 4 == 1, F.col("o_orderpriority")).otherwise((F.col("o_totalprice") / 50).cast("string")).alias("result_value"))
+    claims = t.customer.select(F.col("c_custkey").alias("claim_id"), F.when(F.col("c_custkey") % 3 == 0, F.expr(_PRIORITY)).otherwise(F.col("c_acctbal").cast("string")).alias("value"))
+    return X.match_claims(entries, claims)
+
+
 @query("w2_claim_coverage", f"""WITH {_LOG}, c AS (SELECT count(*) AS total_claims, count(CASE WHEN n_matches > 0 THEN 1 END) AS matched_claims FROM m)
 SELECT total_claims, matched_claims, round(matched_claims/total_claims, 4) AS coverage, (SELECT count(*) FROM e WHERE query_id LIKE 'backfill%') AS backfilled_count, CASE WHEN matched_claims/total_claims >= 0.8 THEN 'PASS' ELSE 'WARN' END AS status FROM c""")
 def w2(t):
@@ -94,7 +113,19 @@ def w5(t):
     return X.entity_tagging(t.documents, "doc_id", "text", ALIASES)
 
 
-@query("w5_entity_counts")
+def _alternation():
+    """Matches by one alternation, longest alias first. Characters that are not of a word are doubled, so that neighbours do not share one."""
+    other = r"[^\p{L}\p{N}_]"
+    double = lambda a: re.sub(r"(\W)", r"\1\1", a)
+    names = "|".join(re.escape(double(a["alias"])).replace("\\ ", " ") for a in sorted(ALIASES, key=lambda a: -len(a["alias"])))
+    info = ", ".join(f"('{double(a['alias'])}', '{a['entity']}', '{a['type']}', {1.0 if a['alias'] in (a['entity'], a['display_name'].lower()) else 0.8}::DOUBLE)" for a in ALIASES)
+    return f"""
+WITH d(alias, entity, type, confidence) AS (VALUES {info}), t AS (SELECT doc_id, regexp_replace(lower(text), '({other})', '\\1\\1', 'g') AS x FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, unnest(regexp_extract_all(x, '(?:^|{other})({names})(?:$|{other})', 1)) AS alias FROM t)
+SELECT entity, type, confidence, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM m JOIN d USING (alias) GROUP BY 1, 2, 3"""
+
+
+@query("w5_entity_counts", _alternation())
 def w5b(t):
     return X.entity_tagging(t.documents, "doc_id", "text", ALIASES).groupBy("entity", "type", "confidence").agg(
         N().alias("mentions"), F.count_distinct("doc_id").alias("documents"))
