@@ -40,20 +40,34 @@ def missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
+def distinct_counts(df: DataFrame, values: dict[int, str]) -> DataFrame:
+    """(position, n_unique): number of distinct non-NULL values of each SQL expression over ``df``.
+
+    Each expression is grouped by itself. Distinct counts that share an aggregate make a copy of every row, as wide as all the expressions, for each of
+    them; here a column is read alone and equal values collapse in the map-side combine. So ``df`` is read once per expression.
+    """
+    return reduce(DataFrame.unionByName, [
+        df.select(F.expr(v).alias("v")).where("v IS NOT NULL").distinct().agg(F.lit(i).alias("position"), F.count(F.lit(1)).alias("n_unique"))
+        for i, v in values.items()])
+
+
 def profile_columns(df: DataFrame, exact_distinct: bool = True, samples: bool = False) -> DataFrame:
     """One row per column: type, nulls, distinct values and numeric or length statistics.
 
     ``exact_distinct=False`` uses a bounded sketch, the choice for wide tables at
     scale; ``samples`` adds frequent values from a bounded top-k sketch. Everything
-    comes from one aggregate over the full table.
+    but the exact distinct values (see :func:`distinct_counts`) comes from one aggregate
+    over the full table.
     """
-    aggs, rows = ["count(1) AS n"], []
+    aggs, rows, values = ["count(1) AS n"], [], {}
     for i, f in enumerate(df.schema.fields):
         kind, col = family(f.dataType), f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             col = f"nullif({col}, double('NaN'))"
         aggs.append(f"count({col}) AS p{i}")
-        aggs.append(f"count(DISTINCT {col}) AS u{i}" if exact_distinct else f"approx_count_distinct({col}, 0.02) AS u{i}")
+        values[i] = col
+        if not exact_distinct:
+            aggs.append(f"approx_count_distinct({col}, 0.02) AS u{i}")
         measure = {"numeric": f"double({col})", "string": f"double(length({col}))"}.get(kind)
         if measure:
             aggs += [f"min({measure}) AS a{i}", f"max({measure}) AS b{i}", f"avg({measure}) AS c{i}", f"stddev_samp({measure}) AS d{i}"]
@@ -66,14 +80,18 @@ def profile_columns(df: DataFrame, exact_distinct: bool = True, samples: bool =
         fields = {
             "position": str(i), "column_name": f"'{f.name}'", "data_type": f"'{f.dataType.simpleString()}'", "family": f"'{kind}'",
             "row_count": "n", "nullable": f"n > p{i}", "null_count": f"n - p{i}",
-            "null_pct": f"round(coalesce(try_divide(100.0D * (n - p{i}), n), 0D), 2)", "n_unique": f"u{i}",
+            "null_pct": f"round(coalesce(try_divide(100.0D * (n - p{i}), n), 0D), 2)", "n_unique": "bigint(NULL)" if exact_distinct else f"u{i}",
             "min_value": pick("a", "numeric"), "max_value": pick("b", "numeric"), "mean_value": pick("c", "numeric"),
             "std_value": pick("d", "numeric"), "min_len": pick("a", "string"), "max_len": pick("b", "string"),
             "avg_len": f"round({pick('c', 'string')}, 1)"}
         if samples:
             fields["sample_values"] = f"s{i}" if kind != "other" else "CAST(NULL AS array<string>)"
         rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")")
-    return df.agg(*[F.expr(x) for x in aggs]).selectExpr(f"inline(array({', '.join(rows)}))")
+    out = df.agg(*[F.expr(x) for x in aggs]).selectExpr(f"inline(array({', '.join(rows)}))")
+    if not exact_distinct:
+        return out
+    # one row per column on either side
+    return out.drop("n_unique").join(F.broadcast(distinct_counts(df, values)), "position").select(*out.columns)
 
 
 def profile_source(tables: dict[str, DataFrame], exact_distinct: bool = True) -> DataFrame:
@@ -401,7 +419,7 @@ def anomaly_bands(series: DataFrame, order: str, metrics: list[str], window: int
 
 def frame_fingerprint(df: DataFrame, label: str) -> DataFrame:
     """(label, metric, column_name, value, text) rows that identify a table's content."""
-    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    aggs, rows, values = [F.count(F.lit(1)).alias("n")], [], {}
 
     def row(metric, column, value, text=None):
         rows.append(F.struct(F.lit(label).alias("label"), F.lit(metric).alias("metric"), F.lit(column).alias("column_name"),
@@ -411,9 +429,10 @@ def frame_fingerprint(df: DataFrame, label: str) -> DataFrame:
     row("column_count", "*", F.lit(len(df.columns)))
     for i, f in enumerate(df.schema.fields):
         kind = family(f.dataType)
-        aggs += [F.count_if(missing(df, f.name)).alias(f"nul{i}"), F.count_distinct(f.name).alias(f"u{i}")]
+        aggs.append(F.count_if(missing(df, f.name)).alias(f"nul{i}"))
+        values[i] = f"`{f.name}`"
         row("null_count", f.name, F.col(f"nul{i}"))
-        row("distinct_count", f.name, F.col(f"u{i}"))
+        row("distinct_count", f.name, F.col("u")[i])
         if kind == "numeric":
             aggs.append(F.sum(clean(f.name)).alias(f"s{i}"))
             row("numeric_sum", f.name, F.coalesce(F.col(f"s{i}"), F.lit(0.0)))
@@ -421,7 +440,10 @@ def frame_fingerprint(df: DataFrame, label: str) -> DataFrame:
             aggs += [F.min(F.to_date(f.name)).alias(f"a{i}"), F.max(F.to_date(f.name)).alias(f"b{i}")]
             row("date_min", f.name, F.lit(None), F.col(f"a{i}"))
             row("date_max", f.name, F.lit(None), F.col(f"b{i}"))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    one = df.agg(*aggs)
+    if values:  # one entry per column
+        one = one.withColumn("u", distinct_counts(df, values).agg(F.map_from_entries(F.collect_list(F.struct("position", "n_unique")))).scalar())
+    return one.select(F.inline(F.array(*rows)))
 
 
 def dominant_values(df: DataFrame, cols: list[str], share: float = 0.5) -> DataFrame:
