@@ -8,7 +8,7 @@ bounded quantile sketch), so no single task sorts a whole group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,6 +37,17 @@ def split_count(df: DataFrame) -> int:
     return max(SPLITS, min(4096, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def places_in(bounds, values: list[Column], splits: int) -> Column:
+    """For each of ``values`` the number of the ascending ``bounds`` (an array of ``splits`` - 1) below it, as an array.
+
+    By bisection: the work of a row grows with the logarithm of the number of ranges. ``bounds`` is named once, so a column that holds a scalar subquery is not copied into rows.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((splits - 1).bit_length()))])
+    # the first ``at`` bounds are below; a place past the end is NULL and adds nothing
+    below = lambda b, value: F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(b, at + step - 1) < value, step).otherwise(0))
+    return F.transform(F.array(bounds), lambda b: F.transform(F.array(*values), lambda value: below(b, value)))[0]
+
+
 def range_buckets(distinct: DataFrame, keys: list[str], value: str, splits: int | None = None) -> DataFrame:
     """Add ``_b``, the range bucket of ``value`` inside its group.
 
@@ -46,7 +57,7 @@ def range_buckets(distinct: DataFrame, keys: list[str], value: str, splits: int
     splits = splits or split_count(distinct)
     probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     sketch = F.percentile_approx(F.col(value).cast("double"), probs, F.lit(max(1000, 4 * splits)))
-    within = F.size(F.filter(F.col("_bounds"), lambda x: x < F.col(value).cast("double")))
+    within = places_in(F.col("_bounds"), [F.col(value).cast("double")], splits)[0]
     if keys:
         bounds = distinct.groupBy(*keys).agg(sketch.alias("_bounds"))
         joined = join_null_safe(distinct, bounds, keys)

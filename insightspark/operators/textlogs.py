@@ -8,12 +8,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from insightspark.functions.columns import ratio
-from insightspark.functions.ranks import split_count
+from insightspark.functions.ranks import places_in, split_count
 
 N = lambda: F.count(F.lit(1))
 
@@ -81,8 +83,9 @@ def _band_hits(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     start = low
     some = end > start
     totals = np.concatenate([[0], np.cumsum(n)])
-    names, codes = np.unique(ids.astype(object), return_inverse=True)
-    minima, best = codes.astype(np.int64), np.full(len(v), len(names))
+    order = pc.sort_indices(pa.array(ids, pa.string()), null_placement="at_end").to_numpy().astype(np.int64)
+    minima, best = np.empty(size, dtype=np.int64), np.full(len(v), size)
+    minima[order] = np.arange(size)
     width = 1
     while width <= size:
         now = some & (end - start >= width) & (end - start < 2 * width)
@@ -92,7 +95,7 @@ def _band_hits(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             break
         minima = np.minimum(minima[:-width], minima[width:])
         width *= 2
-    return pd.DataFrame({"v": v[some], "n": (totals[end] - totals[start])[some], "q": pd.Series(names[best[some]], dtype=object)})
+    return pd.DataFrame({"v": v[some], "n": (totals[end] - totals[start])[some], "q": pd.Series(ids[order[best[some]]], dtype=object)})
 
 
 def value_bands(values: DataFrame, held: DataFrame) -> DataFrame:
@@ -109,17 +112,24 @@ def value_bands(values: DataFrame, held: DataFrame) -> DataFrame:
     points = held.select("x").unionByName(values.select(F.explode(F.array(in_l, in_h)).alias("x")))
     probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     bounds = points.agg(F.percentile_approx("x", probs, F.lit(max(1000, 4 * splits))).alias("b")).scalar()
-    place = lambda c: F.size(F.filter(F.col("_bounds"), lambda b: b < c))
-    held = held.withColumn("_bounds", bounds).select("x", "n", "q", place(F.col("x")).alias("range"))
-    probes = values.withColumn("_bounds", bounds).select("v", *[place(c).alias(n) for n, c in (("ol", out_l), ("il", in_l), ("ih", in_h), ("oh", out_h))])
+    held = held.withColumn("_bounds", bounds).select("x", "n", "q", places_in(F.col("_bounds"), [F.col("x")], splits)[0].alias("range"))
+    probes = values.withColumn("_bounds", bounds).select("v", places_in(F.col("_bounds"), [out_l, in_l, in_h, out_h], splits).alias("p")).select("v", *[F.col("p")[i].alias(n) for i, n in enumerate(("ol", "il", "ih", "oh"))])
     ends = probes.select("v", F.explode(F.array_distinct(F.concat(F.sequence("ol", "il"), F.sequence("ih", "oh")))).alias("range"))
     at_ends = ends.groupBy("range").cogroup(held.groupBy("range")).applyInPandas(
         lambda left, right: _band_hits(left, right) if len(left) and len(right) else pd.DataFrame({"v": [], "n": [], "q": []}, dtype=object), "v double, n long, q string")
-    # one row per range, at most as many as the shuffle has partitions
-    per = held.groupBy("range").agg(F.sum("n").alias("n"), F.min("q").alias("q"))
-    whole = per.agg(F.map_from_entries(F.collect_list(F.struct("range", F.struct("n", "q")))).alias("m")).scalar()
-    between = probes.where("ih - il > 1").withColumn("_m", whole).withColumn("_r", F.filter(F.transform(F.sequence(F.col("il") + 1, F.col("ih") - 1), lambda r: F.col("_m")[r]), lambda s: s.isNotNull()))
-    between = between.where(F.size("_r") > 0).select("v", F.aggregate("_r", F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("n"), F.array_min(F.transform("_r", lambda s: s["q"])).alias("q"))
+    # one row per range: the rows of the ranges before it, and the minima of the runs of 1, 2, 4, ... ranges that begin with it
+    every = held.sparkSession.range(splits).select(F.col("id").cast("int").alias("range"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("q"))
+    per = held.select("range", "n", "q").unionByName(every).groupBy("range").agg(F.sum("n").alias("n"), F.min("q").alias("q"))
+    along = W.partitionBy(F.lit(0)).orderBy("range")
+    minima = F.array(*[F.min("q").over(along.rowsBetween(0, (1 << k) - 1)) for k in range(splits.bit_length())])
+    per = per.select("range", F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), minima.alias("minima"))
+    whole = per.agg(F.sort_array(F.collect_list(F.struct("range", "before", "minima")))).scalar()
+    first, end = F.col("il") + 1, F.col("ih")
+    # the longest of these runs that fits, from the first range on and up to the last
+    run = F.floor(F.log2(end - first)).cast("int")
+    least = lambda w: F.least(w[first]["minima"][run], w[end - F.pow(F.lit(2), run).cast("int")]["minima"][run])
+    found = F.transform(F.array("_w"), lambda w: F.struct((w[end]["before"] - w[first]["before"]).alias("n"), least(w).alias("q")))[0]
+    between = probes.where("ih - il > 1").withColumn("_w", whole).select("v", found.alias("s")).select("v", "s.n", "s.q").where("n > 0")
     return at_ends.unionByName(between).groupBy("v").agg(F.sum("n").alias("n"), F.min("q").alias("q"))
 
 
