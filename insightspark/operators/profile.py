@@ -44,11 +44,11 @@ def distinct_counts(df: DataFrame, values: dict[int, str]) -> DataFrame:
     """(position, n_unique): number of distinct non-NULL values of each SQL expression over ``df``.
 
     Each expression is grouped by itself. Distinct counts that share an aggregate make a copy of every row, as wide as all the expressions, for each of
-    them; here a column is read alone and equal values collapse in the map-side combine. So ``df`` is read once per expression.
+    them; here a column is read alone and equal values collapse in the map-side combine. So ``df`` is read once per expression. One shuffle adds up all counts.
     """
-    return reduce(DataFrame.unionByName, [
-        df.select(F.expr(v).alias("v")).where("v IS NOT NULL").distinct().agg(F.lit(i).alias("position"), F.count(F.lit(1)).alias("n_unique"))
-        for i, v in values.items()])
+    one = [df.select(F.expr(v).alias("v")).where("v IS NOT NULL").distinct().select(F.lit(i).alias("position"), F.lit(1).alias("n")) for i, v in values.items()]
+    none = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(i) for i in values])).alias("position"), F.lit(0).alias("n"))
+    return reduce(DataFrame.unionByName, [none, *one]).groupBy("position").agg(F.sum("n").alias("n_unique"))
 
 
 def profile_columns(df: DataFrame, exact_distinct: bool = True, samples: bool = False) -> DataFrame:
